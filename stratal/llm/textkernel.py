@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 
@@ -96,7 +97,7 @@ def split_words(column: pa.Array, lower: bool = False) -> Words:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes of text each, one document at least."""
-    size = np.asarray(pa.compute.binary_length(column).fill_null(0), np.int64)
+    size = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
     total = np.cumsum(size)
     at = 0
     while at < len(size):
@@ -112,16 +113,16 @@ def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, have, power, block, size = np.zeros(n, np.uint64), 0, _B, hashes, 1
+    out, have, power, block, size = np.zeros(n, np.uint64), 0, int(_B), hashes, 1
     left = k
     while left:
         if left & 1:
-            out = out * power + block[have : have + n]
+            out = out * np.uint64(power) + block[have : have + n]
             have += size
         left >>= 1
         if left:
-            block = block[: len(block) - size] * power + block[size:]
-            power = power * power
+            block = block[: len(block) - size] * np.uint64(power) + block[size:]
+            power = power * power & 0xFFFFFFFFFFFFFFFF
             size *= 2
     return mix64(out)
 
