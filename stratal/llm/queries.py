@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratal.llm import ngram_join, rlz, sharding, token_store
+from stratal.llm import langid, ngram_join, quality, rlz, sharding, token_store
 from stratal.llm.scratch import new_path
 
 N_SHARDS = 40
@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(langid.part(docs["doc_id"], 5) != 0))
+    found = langid.predict(docs, profiles)
+    return found.select("doc_id", quality.held_out(found["doc_id"], 5, 0).alias("held_out"), "lang_pred", "score", "nearness")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -85,6 +92,14 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.describe(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels")
+    labels = labels.where(langid.part(labels["doc_id"], 3) != 1).select("doc_id", labels["quality"].alias("label"))
+    found = quality.score(stats, quality.fit(stats, labels))
+    return found.select("doc_id", quality.held_out(found["doc_id"], 3, 1).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
