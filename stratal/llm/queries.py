@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratal.llm import langid, ngram_join, quality, rlz, sharding, token_store
+from stratal.llm import langid, ngram_join, quality, rlz, sharding, spotsigs, token_store
 from stratal.llm.scratch import new_path
 
 N_SHARDS = 40
@@ -71,6 +71,39 @@ def op4_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (
+  SELECT doc_id, text, length(text) AS n,
+         coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt
+  FROM t),
+e AS (SELECT *, substr(text, 1, n - n // 3) || substr(nxt, 1, n // 3) AS edited FROM o),
+x AS (SELECT text FROM e UNION SELECT edited FROM e),
+w AS (
+  SELECT text, list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda z: z <> '') AS w
+  FROM x),
+c AS (
+  SELECT text, w, list_filter(w, lambda z: z NOT IN (%(common)s)) AS c,
+         list_filter(list_transform(w, lambda z, i: CASE WHEN z IN (%(common)s) THEN i END), lambda i: i IS NOT NULL) AS p
+  FROM w),
+f AS (
+  SELECT text, list_sort(list_distinct(list_concat(
+    [substr(md5(CASE WHEN len(c) = 0 THEN '^ ' || text WHEN len(c) = 1 THEN '^ ' || c[1] ELSE '^ ' || c[1] || ' ' || c[2] END), 1, 8)],
+    list_filter(list_transform(p, lambda q, k: CASE WHEN q - k + 1 < len(c)
+      THEN substr(md5(w[q] || ' ' || c[q - k + 1] || ' ' || c[q - k + 2]), 1, 8) END), lambda h: h IS NOT NULL)))) AS f
+  FROM c)
+SELECT e.doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+       array_to_string(a.f, '-') AS fingerprint, array_to_string(b.f, '-') AS edited_fingerprint,
+       len(list_intersect(a.f, b.f))::DOUBLE / len(list_distinct(list_concat(a.f, b.f))) AS near_edited,
+       len(list_intersect(a.f, d.f))::DOUBLE / len(list_distinct(list_concat(a.f, d.f))) AS near_next
+FROM e JOIN f AS a ON a.text = e.text JOIN f AS b ON b.text = e.edited JOIN f AS d ON d.text = e.nxt
+""" % {"common": spotsigs.COMMON}
+
+
 def op6_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.remove_copies(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -105,4 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op6_relative_lz": OP6_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op5_spotsigs": OP5_SQL, "op6_relative_lz": OP6_SQL}
