@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratal.llm import langid, ngram_join, quality, rlz, sharding, spotsigs, token_store
+from stratal.llm import decontam, langid, ngram_join, quality, rlz, sharding, spotsigs, spviterbi, token_store
 from stratal.llm.scratch import new_path
 
 N_SHARDS = 40
@@ -125,6 +125,10 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spviterbi.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.describe(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels")
@@ -133,6 +137,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(found["doc_id"], 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
