@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratal.llm import decontam, langid, ngram_join, quality, rlz, sharding, spotsigs, spviterbi, token_store
+from stratal.llm import decontam, gru_lm, langid, ngram_join, quality, rlz, sharding, spotsigs, spviterbi, token_store
 from stratal.llm.scratch import new_path
 
 N_SHARDS = 40
@@ -141,6 +141,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, counts = gru_lm.learn(gru_lm.training(docs))
+    found = gru_lm.score(docs, model, counts)
+    held_out = quality.held_out(found["doc_id"], 10, 0).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
