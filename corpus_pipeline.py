@@ -1,15 +1,57 @@
-"""The corpus pipeline, one operator a stage."""
+"""The corpus pipeline: five of the training-data operators, one a stage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from stratal.llm import decontam, langid, ngram_join, rlz, spviterbi
+from stratal.llm.queries import find_package, table, tokenizer_path
+from stratal.llm.scratch import materialize
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that fit no language profile go; the profiles are those of the documents' own languages."""
+    find_package(spark)
+    return langid.keep(docs, langid.learn(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least doc_id stays."""
+    find_package(spark)
+    return ngram_join.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of fifty words and more that an earlier document has are cut out."""
+    find_package(spark)
+    return rlz.rewrite(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids of every document left."""
+    find_package(spark)
+    return spviterbi.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("encoding", encoding),
+]
+
+#: Profiles, fingerprints and Viterbi scores are beyond SQL; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -16,6 +16,8 @@ PROFILE = 400
 #: Training documents a language, as expected from a draw by hash; the only sample taken here.
 MAX_TRAIN = 4000
 UNKNOWN = "und"
+#: A text in another language or of random letters is less near than this to every profile.
+LEAST = 0.25
 _PIECE = 1 << 20
 _BITS = np.uint64(21)
 
@@ -169,3 +171,18 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(_predict(profiles), "doc_id long, lang_pred string, score double, nearness double")
+
+
+def _keep(profiles: Profiles, column: str, least: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profiles.predict(t.as_py()) for t in batch.column(column)]
+            yield batch.filter(pa.array([lang != UNKNOWN and near >= least for lang, _, near in found], pa.bool_()))
+
+    return run
+
+
+def keep(docs: DataFrame, profiles: Profiles, least: float = LEAST) -> DataFrame:
+    """``docs`` without the rows that no profile fits: those of ``und``, and those nearer than ``least`` to
+    none. All columns stay as they are."""
+    return docs.mapInArrow(_keep(profiles, "text", least), docs.schema)

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from stratal.llm import textkernel as tk
 from stratal.llm.components import components
@@ -342,3 +343,20 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     joined = surveyed.join(named, ["cid", "cid2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """``docs`` with the document of least doc_id of each component. Of rows that share a doc_id the first by
+    the hash of their text stays; rows without words or without a doc_id stay as they are."""
+    found = materialize(ngram_components(docs, k), "components")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    many = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("many_id"))
+    if not many.take(1):
+        return kept
+    many = materialize(many, "repeated")
+    alone = kept.join(many, kept["doc_id"] == many["many_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    first = kept.join(many, kept["doc_id"] == many["many_id"], "left_semi").select(F.struct(*(kept[f"`{c}`"] for c in docs.columns)).alias("r"), kept["doc_id"].alias("doc_id"), kept["text"].alias("text"))
+    first = first.withColumn("rank", rank).where("rank = 1").select("r.*")
+    return alone.unionByName(first)

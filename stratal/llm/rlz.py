@@ -169,3 +169,22 @@ def remove_copies(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, w
     joined = rows.join(spans(rows, window, anchor), ["doc_id", "mark"], "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_remove(window, with_text), schema)
+
+
+def rewrite(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars, any others) with the words of ``remove_copies`` gone from the texts that
+    have such; their n_chars follows. A document of which nothing is left goes. Other columns stay."""
+    rest = F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), rest.alias("rest"))
+    rows = rows.withColumn("mark", F.hash("text"))
+    joined = rows.join(spans(rows.drop("rest"), window, anchor), ["doc_id", "mark"], "left")
+    kind = rows.schema["rest"].dataType.simpleString()
+    schema = f"doc_id long, rest {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    kept = joined.mapInArrow(_remove(window, True), schema).where("n_removed = 0 OR n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text")}
+    columns = []
+    for i, (c, t) in enumerate(docs.dtypes):
+        old = F.col(f"rest.c{i}")
+        columns.append((F.when(changed, new[c].cast(t)).otherwise(old) if c in new else old).alias(c))
+    return kept.select(*columns)
