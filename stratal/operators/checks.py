@@ -21,11 +21,14 @@ class Judged:
 
 
 def judge(df: DataFrame, rules: list[Rule]) -> Judged:
-    """Without rules every row is valid."""
+    """Without rules every row is valid. Rows are parted by a disjunction, which stops at the first
+    violation; reasons are gathered for rejected rows alone."""
     marks = [F.when(r.violated(df), F.lit(f"{r.column}::{r.reason}")) for r in rules]
     found: Column = F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
-    judged = df.withColumn(REASONS, found)
-    return Judged(judged.where(F.size(REASONS) == 0).drop(REASONS), judged.where(F.size(REASONS) > 0), judged)
+    bad = F.lit(False)
+    for r in rules:
+        bad = bad | r.violated(df)
+    return Judged(df.where(~bad), df.where(bad).withColumn(REASONS, found), df.withColumn(REASONS, found))
 
 
 def joined_reasons(rejected: DataFrame, name: str = "reasons") -> DataFrame:
