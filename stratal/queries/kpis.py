@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from stratal.queries import query
 from stratal.queries.star import AS_OF, STAR, agents, facts, payments, policies, quotations, table, with_date
 from stratal.semantic.catalog import dashboard_one, dashboard_two, growth
-from stratal.semantic.engine import AGING, aging_bucket, arrow_label, divide, growth_label, restrict, sign_color
+from stratal.semantic.engine import AGING, aging_bucket, arrow_label, divide, growth_label, restrict, sign_color, year_over_year
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -386,3 +386,119 @@ WITH {STAR} SELECT year_number, quarter(full_date)::INTEGER AS quarter, month_nu
 def kpi_date_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = with_date(quotations(spark, sf_dir), "quoted_date")
     return f.groupBy("year_number", F.quarter("full_date").alias("quarter"), "month_number").agg(F.count("*").alias("total_quotations"))
+
+
+def _long_growth(m, names: dict[str, str], difference: tuple[str, ...] = ()) -> DataFrame:
+    """measure, year_number, value, prior, growth for several measures: all evaluated at once, then turned."""
+    wide = m.evaluate(list(names), ["year_number"]).toDF("year_number", *names.values())
+    pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in names.values())
+    rows = wide.select("year_number", F.expr(f"stack({len(names)}, {pairs}) AS (measure, value)"))
+    share = year_over_year(rows.where(~F.col("measure").isin(list(difference))), "year_number", "value", ["measure"])
+    if not difference:
+        return plain(share)
+    return plain(share.unionByName(year_over_year(rows.where(F.col("measure").isin(list(difference))), "year_number", "value", ["measure"], difference=True)))
+
+
+def _long_sql(parts: list[tuple[str, list[tuple[str, str]]]], difference: tuple[str, ...] = ()) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS measure, year_number, ({e})::DOUBLE AS v FROM {fact} GROUP BY year_number" for fact, es in parts for n, e in es)
+    names = ", ".join(f"'{d}'" for d in difference) or "''"
+    g = f"CASE WHEN a.measure IN ({names}) THEN a.v - b.v ELSE {div('a.v - b.v', 'b.v', 'NULL')} END"
+    years = " UNION ".join(f"SELECT year_number FROM {fact}" for fact, _ in parts)
+    spine = f"SELECT measure, year_number FROM (SELECT DISTINCT measure FROM x0), ({years})"
+    return f"""
+WITH {STAR}, x0 AS ({rows}), x AS (SELECT s.measure, s.year_number, x0.v FROM ({spine}) AS s LEFT JOIN x0 ON s.measure = x0.measure AND s.year_number = x0.year_number)
+SELECT a.measure, a.year_number, {r('a.v')} AS value, {r('b.v')} AS prior, {r(g)} AS growth
+FROM x AS a LEFT JOIN x AS b ON a.measure = b.measure AND a.year_number = b.year_number + 1
+"""
+
+
+@query(_long_sql([
+    ("fq", [("quotations", Q_ALL), ("accepted", Q_WON), ("conversion", f"{Q_CONV}::DOUBLE / {Q_ALL}")]),
+    ("fp", [("issued", "count(*)"), ("in_force", "count(*) FILTER (status = 'ACTIVE')"), ("customers", "count(DISTINCT CASE WHEN status = 'ACTIVE' THEN customer_key END)"),
+            ("premium", "sum(premium_amount)"), ("avg_premium", "sum(premium_amount)::DOUBLE / count(*)")]),
+], ("conversion",)))
+def kpi_growth_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every year-over-year measure of dashboard one; the conversion rate changes in points."""
+    names = {
+        "Total Quotations": "quotations", "Accepted Quotations": "accepted", "Conversion Rate": "conversion", "Policies Issued": "issued", "Policies In Force": "in_force",
+        "Active Customers": "customers", "Total Written Premium (VND)": "premium", "Avg Written Premium per Policy (VND)": "avg_premium",
+    }
+    return _long_growth(one(spark, sf_dir), names, ("conversion",))
+
+
+_SOON = f"count(*) FILTER (status = 'ACTIVE' AND end_date <= DATE '{AS_OF}' + 30)"
+
+
+@query(_long_sql([
+    ("fpe", [("active", "count(*) FILTER (status = 'ACTIVE')"), ("expired", "count(*) FILTER (status = 'EXPIRED')"), ("premium", "sum(premium_amount)"),
+             ("avg_premium", "sum(premium_amount)::DOUBLE / count(*)"), ("soon", _SOON)]),
+    ("fpay", [("total", "sum(payment_amount)"), ("rate", "count(*) FILTER (status = 'PAID')::DOUBLE / count(*)"), ("failed", "count(*) FILTER (status = 'FAILED')::DOUBLE / count(*)"),
+              ("avg_value", "sum(payment_amount)::DOUBLE / count(*)"), ("collected", "sum(CASE WHEN status = 'PAID' THEN payment_amount END)")]),
+]))
+def kpi_growth_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year-over-year measures of dashboard two."""
+    names = {
+        "Active Policies": "active", "Expired Policies": "expired", "Total Written Premium (VND)": "premium", "Avg Premium per Policy": "avg_premium", "Policies Expiring Soon": "soon",
+        "Total payment amount": "total", "Successful Payment Rate": "rate", "Failed rate": "failed", "Avg Payment Value": "avg_value", "Collected Premium Revenue": "collected",
+    }
+    m = two(spark, sf_dir)
+    m.measure("Total payment amount", "pay_total", lambda c: c)
+    m.measure("Failed rate", "pay_failed pay", lambda n, d: divide(n, d))
+    return _long_growth(m, names)
+
+
+@query(f"""
+WITH {STAR}, d AS (SELECT full_date, year_month, {Q_ALL} AS n, {Q_CONV} AS c FROM fq GROUP BY ALL)
+SELECT full_date::VARCHAR AS full_date, (sum(n) OVER w)::BIGINT AS quotations_mtd, {r('(sum(c) OVER w)::DOUBLE / (sum(n) OVER w)')} AS conversion_mtd
+FROM d WINDOW w AS (PARTITION BY year_month ORDER BY full_date ROWS UNBOUNDED PRECEDING)
+""")
+def kpi_month_to_date_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ratio to date is the ratio of the sums to date."""
+    m = one(spark, sf_dir).frame(["Conversion Rate"], ["full_date", "year_month"])
+    w = Window.partitionBy("year_month").orderBy("full_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n, c = F.sum("q").over(w), F.sum("q_converted").over(w)
+    return plain(m.select("full_date", n.alias("quotations_mtd"), divide(c, n, 0.0).alias("conversion_mtd")))
+
+
+@query(f"""
+WITH {STAR}
+SELECT agent_name, count(*) AS total_quotations, {r(Q_CONV + '::DOUBLE / count(*)')} AS conversion_rate, {r('sum(premium_amount)')} AS premium FROM fq
+WHERE year_number = 1997 AND provider_code IN ('BV', 'MIC') AND region = (SELECT min(r_name) FROM region) GROUP BY 1
+""")
+def visual_with_slicers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart: a field, measures, slicers, sorted by the first measure."""
+    m = one(spark, sf_dir)
+    m.base("q_premium", "fact_quotation", "sum(premium_amount)")
+    m.measure("Premium", "q_premium", lambda c: c)
+    first = table(spark, sf_dir, "region").agg(F.min("r_name")).first()[0]
+    where = f"year_number = 1997 AND provider_code IN ('BV', 'MIC') AND region = '{first}'"
+    return plain(m.evaluate(["Total Quotations", "Conversion Rate", "Premium"], ["agent_name"], where)).orderBy(F.desc("total_quotations"), "agent_name")
+
+
+@query(f"WITH {STAR} SELECT package_code, count(*) AS total_quotations FROM fq GROUP BY 1")
+def kpi_quotations_by_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one(spark, sf_dir).evaluate(["Total Quotations"], ["package_code"])
+
+
+@query(f"""
+WITH {STAR}, q AS (SELECT agent_name, {Q_CONV}::DOUBLE / {Q_ALL} AS v FROM fq GROUP BY 1), p AS (SELECT agent_name, count(*) AS n, sum(premium_amount)::DOUBLE / count(*) AS a FROM fp GROUP BY 1)
+SELECT q.agent_name, {r('v')} AS conversion_rate, {r('coalesce(a, 0)')} AS avg_written_premium_per_policy_vnd, coalesce(n, 0) AS policies_issued FROM q LEFT JOIN p ON q.agent_name = p.agent_name
+""")
+def kpi_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies issued, conversion rate and average premium by agent."""
+    return plain(one(spark, sf_dir).evaluate(["Conversion Rate", "Avg Written Premium per Policy (VND)", "Policies Issued"], ["agent_name"]))
+
+
+@query("SELECT count(DISTINCT s_name) AS active_providers FROM supplier WHERE s_acctbal >= 0 AND upper(s_name) <> 'UNKNOWN'")
+def kpi_active_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known members of the dimension whose flag is set."""
+    s = table(spark, sf_dir, "supplier").withColumn("active_flag", (F.col("s_acctbal") >= 0).cast("int"))
+    return s.where("active_flag = 1 AND upper(s_name) <> 'UNKNOWN'").agg(F.count_distinct("s_name").alias("active_providers"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE upper(c_name) = (SELECT upper(c_name) FROM customer WHERE c_custkey = 3) ORDER BY c_custkey LIMIT 1")
+def login_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One member by its name, whatever the case."""
+    c = table(spark, sf_dir, "customer")
+    name = c.where("c_custkey = 3").agg(F.upper(F.first("c_name")).alias("n"))
+    return c.join(F.broadcast(name), F.upper("c_name") == F.col("n")).orderBy("c_custkey").limit(1).select("c_custkey", "c_name")
