@@ -36,9 +36,10 @@ def joined_reasons(rejected: DataFrame, name: str = "reasons") -> DataFrame:
 
 
 def reject_log(rejected: DataFrame, batch: Column, table: str, record_id: str) -> DataFrame:
-    """One row for each record and failed rule, with the record as JSON; never worth a retry."""
+    """One row for each record and failed rule, with the record as JSON; never worth a retry. (Rejected rows
+    have reasons, so the outer explode gives the same rows, and Spark adds no filter that builds the array twice.)"""
     record = F.to_json(F.struct(*(c for c in rejected.columns if c != REASONS)))
-    rows = rejected.select(F.col(record_id).cast("string").alias("record_id"), record.alias("record"), batch.alias("batch_id"), F.explode(REASONS).alias("r"))
+    rows = rejected.select(F.col(record_id).cast("string").alias("record_id"), record.alias("record"), batch.alias("batch_id"), F.explode_outer(REASONS).alias("r"))
     return rows.select(
         "batch_id", F.lit(table).alias("table_name"), "record_id", F.substring_index("r", "::", 1).alias("column_name"),
         F.expr("substring(r, instr(r, '::') + 2)").alias("reason"), "record", F.lit("DQ_VALIDATION").alias("error_type"), F.lit(False).alias("retryable"),
