@@ -204,7 +204,8 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = np.repeat(size, size)
         pairs = []
         for gap in range(1, SMALL):
-            i = np.flatnonzero((member[: len(key) - gap] > 1) & (key[gap:] == key[: len(key) - gap]) & ((member[: len(key) - gap] <= SMALL) | (gap == 1)))
+            m = max(0, len(key) - gap)
+            i = np.flatnonzero((member[:m] > 1) & (key[gap:] == key[:m]) & ((member[:m] <= SMALL) | (gap == 1)))
             pairs.append((i, i + gap))
         big = np.flatnonzero(member > SMALL)
         for b in np.flatnonzero(size > SMALL):
