@@ -189,6 +189,25 @@ def test_rtree_keeps_every_pair_that_can_link():
     assert {tuple(sorted(p)) for p in both} == {p for p in want if (p[0] + p[1]) % 2}
 
 
+@pytest.mark.parametrize("groups", [1, 4, 512])
+def test_finer_counts_keep_every_link(monkeypatch, groups):
+    """Also where groups hold more than a byte counts."""
+    monkeypatch.setattr(ngram_join, "FINE", groups)
+    rng = np.random.default_rng(groups)
+    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    rows, links = [], []
+    for i in range(60):
+        n = int(rng.integers(5, 2000))
+        a = np.unique(rng.choice(pool, n))
+        b = np.unique(np.concatenate([a[: int(len(a) * rng.uniform(0.7, 1))], rng.choice(pool, int(rng.integers(1, 1 + n // 6)))]))
+        rows.append((i, i, ngram_join.fine_point(a), ngram_join.fine_point(b), len(a), len(b)))
+        links.append(180 * len(np.intersect1d(a, b)) >= 80 * (len(a) + len(b)))
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["a", "b", "fa", "fb", "na", "nb"])
+    kept = {i for out in ngram_join._fine(iter([batch])) for i in out.column("a").to_pylist()}
+    assert kept >= {i for i, link in enumerate(links) if link} and any(links)
+    assert groups < 512 or len(kept) < 60
+
+
 def test_join_odd_rows(spark, odd, empty):
     got = ngram_join.ngram_components(odd).collect()
     assert len(got) == len(ODD)
