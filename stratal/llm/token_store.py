@@ -11,13 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratal.llm.scratch import materialize
+from stratal.llm.scratch import materialize, settings
 
 #: Blocks (files) at most; what is gathered of them is bounded by it. A file holds about BLOCK_BYTES of text, more beyond that many.
 MAX_BLOCKS = 10_000
 BLOCK_BYTES = 24 << 20
 SEGMENT_IDS = 1 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 MAGIC = b"STK1"
 _HEAD = struct.Struct("<4sQBQQqQQQ")  # magic, bytes of the segment, id width, documents, documents without an id, least doc_id, ids, bytes of two codes
 
@@ -249,7 +249,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
     dealt = ids.repartition(max(len(cuts) + 1, 1), "block").sortWithinPartitions("block", F.asc_nulls_first("doc_id"), "mark", "ids")
     packed = dealt.select("block", "doc_id", "ids").mapInArrow(_pack(width), "block string, blob binary")
     # the text sink writes a string's bytes as they are: the blob and a line feed, by any file system Spark knows
-    packed.select("block", F.col("blob").cast("string").alias("value")).write.partitionBy("block").text(path)
+    # small batches to Python: the words of one are held there several times over
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
+        packed.select("block", F.col("blob").cast("string").alias("value")).write.partitionBy("block").text(path)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
