@@ -30,6 +30,8 @@ SKETCH_BITS = 18
 CHUNK = 1 << 12
 SMALL = 8
 LEAF = 32
+#: Groups of the finer counts that a pair must pass before its sets are brought together.
+FINE = 512
 #: A block is joined in tiles of so many members; more tiles for a larger block, each a task's work of its own.
 TILE = 4096
 
@@ -110,6 +112,12 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((tk.mix64(s) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
 
 
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts in FINE groups, a byte each, and after them the sum of what goes beyond 255."""
+    c = np.bincount((tk.mix64(s) >> np.uint64(32)).astype(np.int64) % FINE, minlength=FINE)
+    return np.minimum(c, 255).astype(np.uint8).tobytes() + int(np.maximum(c - 255, 0).sum()).to_bytes(4, "little")
+
+
 def _describe(k: int, levels: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,6 +236,16 @@ def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(enough(np.minimum(a, b).sum(1), a.sum(1), b.sum(1)))).select(["a", "b"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs whose finer summed minima suffice; what lies beyond a byte overlaps in the smaller excess at most."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE + 4) for c in ("fa", "fb"))
+            over = np.minimum(*(np.ascontiguousarray(x[:, FINE:]).view("<u4")[:, 0].astype(np.int64) for x in (a, b)))
+            most = np.minimum(a[:, :FINE], b[:, :FINE]).sum(1, dtype=np.int64) + over
+            yield batch.filter(pa.array(enough(most, batch.column("na").to_numpy(), batch.column("nb").to_numpy()))).select(["a", "b"])
+
+
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """R-tree join of a tile: of its own members, or of those with side 0 with those with side 1."""
     for block in _blocks(batches, "tile"):
@@ -254,7 +272,8 @@ def _sets(k: int) -> Callable:
                 one = [names_of(s)[0] for s in found]
                 # a doc_id with several texts has several sets; only the one asked for is kept
                 keep = [x == y for x, y in zip(one, part.column("cid").to_pylist(), strict=True)]
-                yield pa.record_batch([pa.array(one, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], ["cid", "set"]).filter(pa.array(keep, pa.bool_()))
+                cols = [pa.array(one, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([fine_point(s) for s in found], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())]
+                yield pa.record_batch(cols, ["cid", "n", "fine", "set"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -270,6 +289,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link. Sets are large, so only pairs that the finer counts let pass have theirs compared."""
+    a = sets.select(F.col("cid").alias("a"), F.col("fine").alias("fa"), F.col("n").alias("na"))
+    b = sets.select(F.col("cid").alias("b"), F.col("fine").alias("fb"), F.col("n").alias("nb"))
+    near = pairs.join(a, "a").join(b, "b").select("a", "b", "fa", "fb", "na", "nb").mapInArrow(_fine, "a long, b long")
+    pairs = materialize(near, "near")
     a = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
@@ -313,8 +337,8 @@ def join_classes(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFram
     members = first.where("b IS NULL").select("key", F.col("a").alias("cid"), "n")
     need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(members.select("cid")).distinct()
     need = classes.select("cid", F.col("rep").alias("doc_id")).join(need, "cid")
-    sets = rows.join(need, "doc_id").select("cid", "text").mapInArrow(_sets(k), "cid long, set binary")
-    sets = materialize(sets.groupBy("cid").agg(F.first("set").alias("set")), "sets")
+    sets = rows.join(need, "doc_id").select("cid", "text").mapInArrow(_sets(k), "cid long, n long, fine binary, set binary")
+    sets = materialize(sets.dropDuplicates(["cid"]), "sets")
     # round one: each class with its least partner and its greatest
     stars = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(pairs.groupBy("a").agg(F.max("b").alias("b")).select("a", "b"))
     links = materialize(verified(stars.distinct(), sets), "links1")
