@@ -7,7 +7,8 @@ A class is a point: its shingles counted in GROUPS hash groups. The sum over the
 the smaller count bounds the overlap from above, for two points and for the upper corners of
 two boxes alike, so a packed R-tree of a block's points leaves few pairs to verify.
 Components need no link inside a component twice: large blocks first give a few pairs for each
-class, and then only pairs between components.
+class, then each class with its most similar partner outside its component, and last all pairs
+between components.
 """
 
 from __future__ import annotations
@@ -246,21 +247,40 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(enough(most, batch.column("na").to_numpy(), batch.column("nb").to_numpy()))).select(["a", "b"])
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """R-tree join of a tile: of its own members, or of those with side 0 with those with side 1."""
-    for block in _blocks(batches, "tile"):
-        tile, cid, n, root, side = (block[c].to_numpy()[: block["cut"]] for c in ("tile", "cid", "n", "root", "side"))
-        vec = np.frombuffer(b"".join(block["vec"].to_pylist()[: block["cut"]]), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        edges = np.append(np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])), len(tile))
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if (root[lo:hi] == root[lo]).all():
-                continue
-            left, right = (lo + np.flatnonzero(side[lo:hi] == s) for s in (0, 1))
-            left, right = (x[np.argsort(n[x], kind="stable")] for x in (left, right))
-            second = (vec[right], n[right], root[right]) if len(right) else None
-            for i, j in rtree_pairs(vec[left], n[left], root[left], second):
-                a, b = cid[left[i]], cid[(right if second else left)[j]]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _tile_pairs(best_only: bool) -> Callable:
+    """R-tree join of a tile: of its own members, or of those with side 0 with those with side 1. Either all pairs
+    that the bound lets pass, or for each member the one of greatest bounded similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, "tile"):
+            tile, cid, n, root, side = (block[c].to_numpy()[: block["cut"]] for c in ("tile", "cid", "n", "root", "side"))
+            vec = np.frombuffer(b"".join(block["vec"].to_pylist()[: block["cut"]]), "<u4").reshape(-1, GROUPS).astype(np.int64)
+            edges = np.append(np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])), len(tile))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if (root[lo:hi] == root[lo]).all():
+                    continue
+                left, right = (lo + np.flatnonzero(side[lo:hi] == s) for s in (0, 1))
+                left, right = (x[np.argsort(n[x], kind="stable")] for x in (left, right))
+                second = (vec[right], n[right], root[right]) if len(right) else None
+                top, partner = np.zeros(hi - lo), np.full(hi - lo, -1)
+                for i, j in rtree_pairs(vec[left], n[left], root[left], second):
+                    x, y = left[i], (right if second else left)[j]
+                    if not best_only:
+                        yield pa.record_batch([pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y]))], ["a", "b"])
+                        continue
+                    most = np.minimum(vec[x], vec[y]).sum(1)
+                    alike = most / (n[x] + n[y] - most)
+                    for u, v in ((x, y), (y, x)):
+                        order = np.lexsort((cid[v], -alike, u))
+                        first = order[np.concatenate([[True], u[order][1:] != u[order][:-1]])]
+                        first = first[alike[first] > top[u[first] - lo]]
+                        top[u[first] - lo], partner[u[first] - lo] = alike[first], v[first]
+                if best_only:
+                    x = lo + np.flatnonzero(partner >= 0)
+                    y = partner[x - lo]
+                    yield pa.record_batch([pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y]))], ["a", "b"])
+
+    return run
 
 
 def _sets(k: int) -> Callable:
@@ -343,14 +363,18 @@ def join_classes(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFram
     stars = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(pairs.groupBy("a").agg(F.max("b").alias("b")).select("a", "b"))
     links = materialize(verified(stars.distinct(), sets), "links1")
     roots = components(links, "round1")
-    # round two: whatever could link two components
-    vec = classes.select("cid", "vec")
-    tiled = tiles(rooted(members, roots, "cid", "root").join(vec, "cid"))
-    across = tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs, "a long, b long")
-    left = rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
-    more = materialize(verified(left.unionByName(across).distinct(), sets), "links2")
-    if more.take(1):
-        roots = components(links.unionByName(more), "round2")
+    # then each class with its most similar partner outside its component, which joins copies to what they were copied
+    # from, and last whatever could still link two components
+    members = materialize(members.join(classes.select("cid", "vec"), "cid"), "members")
+    for best_only in (True, True, False):
+        left = rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+        tiled = tiles(rooted(members, roots, "cid", "root"))
+        across = tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(best_only), "a long, b long")
+        found = across.distinct() if best_only else left.unionByName(across).distinct()
+        more = materialize(verified(found, sets), "links")
+        if more.take(1):
+            links = materialize(links.unionByName(more), "all-links")
+            roots = components(links, "round")
     return surveyed.where("chunk IS NULL"), roots, classes
 
 
