@@ -37,10 +37,6 @@ RATE = 6e-3
 SMOOTH = 0.1
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def log_prob(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-probability of one place in each row of logits, which the clipped gradients keep small."""
     return x[np.arange(len(x)), at] - np.log(np.exp(x).sum(1))
@@ -76,20 +72,27 @@ class Gru:
         self.p["bc"][:] = np.log(np.concatenate([c[: 1 + RARE], top.sum(1)]))
         self.p["bw"][:] = np.log(top)
 
-    def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
         """States after each of the steps (time, stream); where ``fresh`` the state before is zero."""
         p, d = self.p, self.hidden
         x = p["x"][inputs]
-        out, memo = np.empty((*inputs.shape, d), np.float32), []
+        x[..., : 2 * d] += p["bu"][: 2 * d]
+        bn, u, on = p["bu"][2 * d :], p["u"], ~fresh[..., None]
+        out = np.empty((*inputs.shape, d), x.dtype)
+        memo = (np.empty_like(out), np.empty((*inputs.shape, 2 * d), x.dtype), np.empty_like(out), np.empty_like(out)) if keep else ()
         for t in range(len(inputs)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            g = h @ p["u"] + p["bu"]
-            zr = sigmoid(x[t][:, : 2 * d] + g[:, : 2 * d])
-            z, r = zr[:, :d], zr[:, d:]
-            n = np.tanh(x[t][:, 2 * d :] + r * g[:, 2 * d :])
-            new = n + z * (h - n)
+            h = h * on[t]
+            g = h @ u
+            zr = g[:, : 2 * d] + x[t, :, : 2 * d]
+            np.negative(zr, zr)
+            np.exp(zr, zr)
+            zr += 1
+            np.reciprocal(zr, zr)
+            gn = g[:, 2 * d :] + bn
+            n = np.tanh(x[t, :, 2 * d :] + zr[:, d:] * gn)
+            new = n + zr[:, :d] * (h - n)
             if keep:
-                memo.append((h, z, r, n, g[:, 2 * d :]))
+                memo[0][t], memo[1][t], memo[2][t], memo[3][t] = h, zr, n, gn
             out[t] = h = new
         return out, memo
 
@@ -110,72 +113,76 @@ class Gru:
             out[rows] += log_prob(h[rows] @ p["w"][k] + p["bw"][k], (targets[rows] - 1 - RARE) % CLASS_WORDS)
         return out
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h0: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Of the mean negative log-likelihood over one window; the state that goes on; the loss."""
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h0: np.ndarray, live: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
+        """Of the mean negative log-likelihood over the ``live`` places of one window; the state that goes on; the loss."""
         p, d = self.p, self.hidden
         hs, memo = self.states(inputs, fresh, h0, keep=True)
         flat, goal = hs.reshape(-1, d), targets.ravel()
-        n, cls = len(goal), self.classes(goal)
+        on = np.arange(len(goal)) if live is None else np.flatnonzero(live)
+        n, cls = len(on), self.classes(goal)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         logs = log_softmax(flat @ p["c"] + p["bc"])
-        loss = -logs[np.arange(n), cls].sum()
+        loss = -logs[on, cls[on]].sum()
         e = np.exp(logs)
-        e[np.arange(n), cls] -= 1
+        e[np.arange(len(goal)), cls] -= 1
+        if n < len(goal):
+            e[~live.ravel()] = 0
         grad["c"], grad["bc"] = flat.T @ e, e.sum(0)
         dh = e @ p["c"].T
-        for k in range(self.groups):
-            rows = np.flatnonzero(cls == 1 + RARE + k)
-            if len(rows):
-                at = np.arange(len(rows)), (goal[rows] - 1 - RARE) % CLASS_WORDS
-                logs = log_softmax(flat[rows] @ p["w"][k] + p["bw"][k])
-                loss -= logs[at].sum()
-                e = np.exp(logs)
-                e[at] -= 1
-                grad["w"][k], grad["bw"][k] = flat[rows].T @ e, e.sum(0)
-                dh[rows] += e @ p["w"][k].T
+        inside = on[goal[on] > RARE]
+        inside = inside[np.argsort(cls[inside], kind="stable")]
+        edges = np.flatnonzero(np.diff(cls[inside], prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = inside[a:b]
+            k = cls[rows[0]] - 1 - RARE
+            at = np.arange(len(rows)), (goal[rows] - 1 - RARE) % CLASS_WORDS
+            mine = flat[rows]
+            logs = log_softmax(mine @ p["w"][k] + p["bw"][k])
+            loss -= logs[at].sum()
+            e = np.exp(logs)
+            e[at] -= 1
+            grad["w"][k], grad["bw"][k] = mine.T @ e, e.sum(0)
+            dh[rows] += e @ p["w"][k].T
         dh = dh.reshape(hs.shape)
-        back = np.zeros_like(h0)
-        dx = np.empty((*inputs.shape, 3 * d), np.float32)
+        h, zr, m, gn = memo
+        z, r, on = zr[..., :d], zr[..., d:], ~fresh[..., None]
+        slope = (1 - z) * (1 - m * m)
+        through = np.concatenate([(h - m) * z * (1 - z), slope * gn * r * (1 - r), slope * r], -1).reshape(*inputs.shape, 3, d)
+        dg, dt, back, turned = np.empty_like(through), np.empty_like(dh), np.zeros_like(dh[0]), np.ascontiguousarray(p["u"].T)
         for t in reversed(range(len(inputs))):
-            h, z, r, m, gn = memo[t]
-            dt = dh[t] + back
-            dn = dt * (1 - z) * (1 - m * m)
-            dz = dt * (h - m) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            grad["u"] += h.T @ dg
-            grad["bu"] += dg.sum(0)
-            back = np.where(fresh[t][:, None], np.float32(0), dt * z + dg @ p["u"].T)
-        np.add.at(grad["x"], inputs.ravel(), dx.reshape(-1, 3 * d))
+            now = np.add(dh[t], back, out=dt[t])
+            np.multiply(through[t], now[:, None], out=dg[t])
+            back = (now * z[t] + dg[t].reshape(-1, 3 * d) @ turned) * on[t]
+        dg, dx = dg.reshape(-1, 3 * d), np.concatenate([dg[..., :2, :].reshape(*inputs.shape, 2 * d), dt * slope], -1)
+        grad["u"], grad["bu"] = h.reshape(-1, d).T @ dg, dg.sum(0)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        seen, first = np.unique(inputs.ravel()[order], return_index=True)
+        grad["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * d)[order], first, 0)
         return {k: g / n for k, g in grad.items()}, hs[-1], float(loss) / n
 
     def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> list[float]:
-        """Adam over windows of STEPS tokens of STREAMS streams of documents; losses by epoch."""
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        step, losses = 0, []
-        total = sum(map(len, docs)) // (STREAMS * STEPS) * epochs + epochs
-        for _ in range(epochs):
-            inputs, targets, fresh, live, _ = lay_out([docs[i] for i in rng.permutation(len(docs))], STREAMS)
-            h, seen = np.zeros((inputs.shape[1], self.hidden), np.float32), []
-            for at in range(0, len(inputs), STEPS):
-                s = slice(at, at + STEPS)
-                if live[s].mean() < 0.5:  # the ends of a few long streams
-                    break
-                grad, h, loss = self.gradients(inputs[s], targets[s], fresh[s], h)
-                step += 1
-                size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                lr = rate * min(1, step / 20) * max(0.05, 1 - step / total)
-                for k, g in grad.items():
-                    g = g * min(1, 1 / (size + 1e-9))
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.005 * (g * g - v[k])
-                    self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.995**step)) + 1e-8)).astype(np.float32)
-                seen.append(loss)
-            losses.append(float(np.mean(seen)) if seen else 0.0)
-        return losses
+        """Passes over all tokens of ``docs``; losses by epoch."""
+        adam = Adam.of(self)
+        return [self.train_once(docs, adam, epoch, epochs, rate, seed) for epoch in range(epochs)]
+
+    def train_once(self, docs: list[np.ndarray], adam: Adam, epoch: int = 0, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> float:
+        """One pass of Adam over windows of STEPS tokens of STREAMS streams of documents, to the end of the longest
+        stream; the loss. Windows in which few streams are left add up until they have half the tokens of a full one."""
+        rng = np.random.default_rng([seed, epoch])
+        total = sum(map(len, docs))
+        h, loss, done, held, tokens = np.zeros((min(STREAMS, len(docs)), self.hidden), np.float32), 0.0, 0, None, 0
+        for inputs, targets, fresh, live in windows([docs[i] for i in rng.permutation(len(docs))], STREAMS, STEPS):
+            grad, h, mean = self.gradients(inputs, targets, fresh, h[: inputs.shape[1]], live)
+            n = int(live.sum())
+            done, loss = done + n, loss + mean * n
+            if held is not None or n < STREAMS * STEPS // 2:
+                held = {k: g * n + (held[k] if held else 0) for k, g in grad.items()}
+                tokens += n
+                if tokens < STREAMS * STEPS // 2 and done < total:
+                    continue
+                grad, held, tokens = {k: (g / tokens).astype(np.float32) for k, g in held.items()}, None, 0
+            adam.update(self, grad, rate * max(0.05, 1 - (epoch + done / total) / epochs))
+        return loss / max(total, 1)
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each whole document, window after window with the state carried on."""
@@ -194,17 +201,67 @@ class Gru:
         return out
 
 
-def lay_out(docs: list[np.ndarray], slots: int) -> tuple[np.ndarray, ...]:
-    """Documents (symbols, end last) end to end in up to ``slots`` streams of like length, longest stream first:
-    (inputs, targets, fresh, live, owner), each (time, stream). The input before a document is the end."""
-    lengths = np.array([len(d) for d in docs])
-    slots = min(slots, len(docs))
+@dataclass
+class Adam:
+    """Running means of the gradients and of their squares, and the number of updates."""
+
+    m: dict[str, np.ndarray]
+    v: dict[str, np.ndarray]
+    step: float = 0
+
+    @classmethod
+    def of(cls, gru: Gru) -> Adam:
+        return cls(*({k: np.zeros_like(x) for k, x in gru.p.items()} for _ in range(2)))
+
+    def update(self, gru: Gru, grad: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        rate *= min(1, self.step / 20)
+        for k, g in grad.items():
+            g = g * np.float32(min(1, 1 / (size + 1e-9)))
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.005 * (g * g - self.v[k])
+            gru.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.995**self.step)) + 1e-8)).astype(np.float32)
+
+
+def deal(lengths: np.ndarray, slots: int) -> list[list[int]]:
+    """Documents dealt to up to ``slots`` streams of like length, longest stream first."""
+    slots = min(slots, len(lengths))
     heap, streams = [(0, i) for i in range(slots)], [[] for _ in range(slots)]
     for d in np.argsort(-lengths, kind="stable").tolist():
         size, i = heapq.heappop(heap)
         streams[i].append(d)
         heapq.heappush(heap, (size + int(lengths[d]), i))
-    streams.sort(key=lambda s: -sum(int(lengths[d]) for d in s))
+    return sorted(streams, key=lambda s: -sum(int(lengths[d]) for d in s))
+
+
+def windows(docs: list[np.ndarray], slots: int, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(inputs, targets, fresh, live), each (time, stream), of all tokens of documents laid out in streams: window
+    after window, of the streams that still go on."""
+    streams = deal(np.array([len(d) for d in docs]), slots)
+    if not streams:
+        return
+    order = [d for s in streams for d in s]
+    targets = np.concatenate([docs[d] for d in order])
+    before = np.append(0, targets[:-1])  # a document's last symbol is the end, which is the input before the next
+    fresh = np.zeros(len(targets), bool)
+    fresh[np.append(0, np.cumsum([len(docs[d]) for d in order])[:-1])] = True
+    size = np.array([sum(len(docs[d]) for d in s) for s in streams])
+    begin = np.cumsum(size) - size
+    for at in range(0, int(size[0]), steps):
+        used = int(np.searchsorted(-size, -at, "left"))
+        time = np.arange(at, min(at + steps, int(size[0])))[:, None]
+        live = time < size[:used]
+        place = np.where(live, begin[:used] + time, 0)
+        yield before[place], np.where(live, targets[place], 0), fresh[place] & live, live
+
+
+def lay_out(docs: list[np.ndarray], slots: int) -> tuple[np.ndarray, ...]:
+    """Documents (symbols, end last) end to end in up to ``slots`` streams of like length, longest stream first:
+    (inputs, targets, fresh, live, owner), each (time, stream). The input before a document is the end."""
+    lengths = np.array([len(d) for d in docs])
+    streams = deal(lengths, slots)
+    slots = len(streams)
     steps = max(sum(int(lengths[d]) for d in s) for s in streams)
     inputs, targets, owner = (np.zeros((steps, slots), np.int32) for _ in range(3))
     fresh, live = (np.zeros((steps, slots), bool) for _ in range(2))

@@ -653,6 +653,22 @@ def test_state_is_carried_across_windows(monkeypatch):
     assert np.allclose(a, [m.score([d])[0] for d in docs], rtol=1e-5)
 
 
+def test_every_token_of_a_long_document_is_trained_on(monkeypatch):
+    """A document longer than all others together is trained on to its end, in each epoch."""
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(1, 57, n), 0).astype(np.int32) for n in (9000, *[20] * 300)]
+    seen, gradients = Counter(), gru_lm.Gru.gradients
+
+    def spy(self, inputs, targets, fresh, h, live=None):
+        seen.update(targets[np.ones_like(fresh) if live is None else live].tolist())
+        return gradients(self, inputs, targets, fresh, h, *(() if live is None else (live,)))
+
+    monkeypatch.setattr(gru_lm.Gru, "gradients", spy)
+    gru_lm.Gru(40).train(docs, epochs=2)
+    want = Counter(np.concatenate(docs).tolist())
+    assert seen == {k: 2 * n for k, n in want.items()}
+
+
 def test_language_model_odd_rows(spark, odd, empty):
     rows = odd.select("doc_id", "text")
     model, counts = gru_lm.learn(rows)
