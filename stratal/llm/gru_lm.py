@@ -3,13 +3,16 @@
 A document's tokens are its words and one end. The TOP most frequent words are outputs of their
 own, CLASS_WORDS to a class; all others fall into classes by their last byte, inside which a
 word has its smoothed relative frequency, so that every word has a probability. Counts come from all
-training documents. The recurrent weights are trained by truncated backpropagation on a
-sample of about ``max_tokens`` training tokens; state goes from window to window, and a
-document is scored from its first token to its end.
+training documents. The recurrent weights are trained by truncated backpropagation on all of
+them as well: documents are dealt by hash into shards of about ``max_tokens`` tokens, each pass
+trains every shard from the same weights, and the means over the shards, by their tokens, are
+the next pass' weights. State goes from window to window, and a document is scored from its
+first token to its end.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,6 +32,7 @@ RARE = 16
 HIDDEN = 24
 #: Words whose counts every worker holds, most frequent first; counts of the others are joined.
 HEAD = 1 << 18
+#: Training tokens of one shard.
 MAX_TOKENS = 600_000
 EPOCHS = 3
 STREAMS, STEPS = 128, 32
@@ -224,6 +228,20 @@ class Adam:
             gru.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.995**self.step)) + 1e-8)).astype(np.float32)
 
 
+def pack(gru: Gru, adam: Adam) -> np.ndarray:
+    """Weights, running means and number of updates in one vector."""
+    return np.concatenate([*(x[k].ravel() for x in (gru.p, adam.m, adam.v) for k in x), [adam.step]]).astype(np.float64)
+
+
+def unpack(vector: np.ndarray, gru: Gru, adam: Adam) -> None:
+    at = 0
+    for x in (gru.p, adam.m, adam.v):
+        for k in x:
+            x[k] = vector[at : at + x[k].size].reshape(x[k].shape).astype(np.float32)
+            at += x[k].size
+    adam.step = float(vector[at])
+
+
 def deal(lengths: np.ndarray, slots: int) -> list[list[int]]:
     """Documents dealt to up to ``slots`` streams of like length, longest stream first."""
     slots = min(slots, len(lengths))
@@ -334,19 +352,65 @@ def symbols_of(words: tk.Words, head: Head) -> tuple[np.ndarray, np.ndarray, np.
     return h, at, np.where(s > 0, s, rare).astype(np.int32)
 
 
-def _sample(head: Head) -> Callable:
+def _symbols(head: Head, kind: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lo, hi in tk.slices(batch.column(0)):
-                w = tk.split_words(batch.column(0).slice(lo, hi - lo), lower=True)
+            for lo, hi in tk.slices(batch.column("text")):
+                w = tk.split_words(batch.column("text").slice(lo, hi - lo), lower=True)
                 _, _, s = symbols_of(w, head)
-                out += [np.append(s[a:b], 0).astype("<i4").tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-            yield pa.record_batch([pa.array(out, pa.binary())], ["s"])
+                out = [np.append(s[a:b], 0).astype(kind).tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                yield pa.record_batch([batch.column("shard").slice(lo, hi - lo), pa.array(out, pa.binary())], ["shard", "s"])
 
     return run
 
 
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Documents of each shard, in an order of their own, from rows (shard, s) sorted by shard."""
+    docs, last = [], None
+    for batch in batches:
+        for shard, s in zip(batch.column("shard").to_pylist(), batch.column("s").to_pylist(), strict=True):
+            if shard != last and docs:
+                yield sorted(docs)
+                docs = []
+            docs.append(s)
+            last = shard
+    if docs:
+        yield sorted(docs)
+
+
+def _train(gru: Gru, adam: Adam, epoch: int, kind: str) -> Callable:
+    """Tokens of a task's shards, and the sum of what they make of the weights, times their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sums = 0, 0.0
+        for shard in shards_of(batches):
+            docs = [np.frombuffer(x, kind).astype(np.int32) for x in shard]
+            mine, state = copy.deepcopy((gru, adam))
+            mine.train_once(docs, state, epoch)
+            n = sum(map(len, docs))
+            tokens, sums = tokens + n, sums + pack(mine, state) * n
+        if tokens:
+            yield pa.record_batch([pa.array([tokens], pa.int64()), pa.array([sums.astype("<f8").tobytes()], pa.binary())], ["tokens", "sums"])
+
+    return run
+
+
+def train(rows: DataFrame, gru: Gru, head: Head, shards: int) -> int:
+    """Train on all ``rows`` (doc_id, text), dealt into ``shards``; the tokens of one pass. The driver holds
+    weights only, those of one task at a time."""
+    kind = "<u2" if 1 + RARE + gru.n_top <= 1 << 16 else "<i4"
+    shard = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(shards)).cast("int").alias("shard")
+    dealt = materialize(rows.select(shard, "text").mapInArrow(_symbols(head, kind), "shard int, s binary"), "symbols")
+    adam, tokens = Adam.of(gru), 0
+    for epoch in range(EPOCHS):
+        found = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_train(gru, adam, epoch, kind), "tokens long, sums binary")
+        tokens, sums = 0, 0.0
+        for r in materialize(found, "weights").toLocalIterator():
+            tokens, sums = tokens + r["tokens"], sums + np.frombuffer(r["sums"], "<f8")
+        unpack(sums / tokens, gru, adam)
+    return tokens
+
+
 @dataclass
 class Model:
     gru: Gru
@@ -356,6 +420,7 @@ class Model:
     ends: int  # training documents
     rare_tokens: np.ndarray  # by symbol 1..RARE
     rare_words: np.ndarray
+    trained: int = 0  # tokens that the recurrent weights learned from in each pass
 
     def log_total(self) -> float:
         return float(np.log10(self.tokens + SMOOTH * (self.distinct + 1)))
@@ -400,8 +465,8 @@ def _score(model: Model) -> Callable:
 
 
 def learn(rows: DataFrame, max_tokens: int = MAX_TOKENS, top: int = TOP, head_words: int = HEAD) -> tuple[Model, DataFrame]:
-    """(model, counts: h, rare, c) from ``rows`` (doc_id, text). Counts are those of all rows; the gated
-    units learn from about ``max_tokens`` tokens, of documents drawn by hash."""
+    """(model, counts: h, rare, c) from ``rows`` (doc_id, text). Counts are those of all rows, and the gated
+    units learn from all of them too, in shards of about ``max_tokens`` tokens."""
     counts = rows.select("text").mapInArrow(_count, "h long, rare int, c long").groupBy("h", "rare").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "counts")
     best = counts.orderBy(F.desc("c"), "h").limit(head_words).toArrow()
@@ -419,13 +484,8 @@ def learn(rows: DataFrame, max_tokens: int = MAX_TOKENS, top: int = TOP, head_wo
     np.subtract.at(words, rare[:n_top], 1)
     gru = Gru(max(n_top, 1))
     gru.start_from(np.concatenate([[ends], tokens[1:], c[:n_top] if n_top else [0]]))
-    if ends:
-        rate = min(1.0, max_tokens / n)
-        drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1_000_000)) < rate * 1_000_000)
-        sample = drawn.select("text").mapInArrow(_sample(head), "s binary").toArrow().column(0)
-        docs = sorted(np.frombuffer(x.as_py(), "<i4").tobytes() for x in sample)
-        gru.train([np.frombuffer(x, "<i4") for x in docs])
-    return Model(gru, head, n, v, ends, tokens, words), counts
+    trained = train(rows, gru, head, -(-n // max_tokens)) if ends else 0
+    return Model(gru, head, n, v, ends, tokens, words, trained), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:

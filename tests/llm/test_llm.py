@@ -669,6 +669,19 @@ def test_every_token_of_a_long_document_is_trained_on(monkeypatch):
     assert seen == {k: 2 * n for k, n in want.items()}
 
 
+def test_all_training_tokens_are_learned_from(spark):
+    """Words that only few documents have, spread over many shards, all move the weights; any layout gives the same."""
+    rows = [(i, f"{'a b c d ' * 10}only{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, _ = gru_lm.learn(df.repartition(3), max_tokens=300)
+    two, _ = gru_lm.learn(df.coalesce(1), max_tokens=300)
+    assert one.tokens == 60 * 42 and np.allclose(one.gru.p["x"], two.gru.p["x"], rtol=1e-4, atol=1e-6)
+    start = gru_lm.Gru(one.gru.n_top)
+    moved = np.abs(one.gru.p["x"] - start.p["x"]).max(1) > 1e-6
+    top = one.head.symbol[np.isin(one.head.counts, [1])]
+    assert len(top) == 60 and moved[top].all() and one.trained == one.tokens
+
+
 def test_language_model_odd_rows(spark, odd, empty):
     rows = odd.select("doc_id", "text")
     model, counts = gru_lm.learn(rows)
