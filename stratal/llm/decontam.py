@@ -3,8 +3,10 @@
 Every benchmark item is compared with the windows of its own number of words. Only windows
 that hold a shingle of the benchmark are fingerprinted: without one their similarity is 0.
 A fingerprint's BLOCKS bytes index the items; two fingerprints within RADIUS bits agree in some
-byte up to RADIUS // BLOCKS bits, so looking up all such bytes misses none. What is found
-within the radius is then judged by exact weighted Jaccard.
+byte up to RADIUS // BLOCKS bits, so looking up all such bytes misses none. A similar pair may lie
+beyond the radius, above all where items share much text of little weight; so windows that have
+the share SIMILARITY of their weight in shingles of the items of their size are compared with these
+by the shingles' postings as well, which misses none. What is found is then judged by exact weighted Jaccard.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from stratal.llm import textkernel as tk
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS = 8
-#: Equal weights and a Jaccard of 0.8 make 10 of 64 bits differ on average; over 23 do in about one case of 100,000.
+#: Equal weights and a Jaccard of 0.8 make 10 of 64 bits differ on average; over 23 do in about one case of 100,000,
+#: with unequal weights in more. Pairs beyond it are found by their postings.
 RADIUS = 23
 #: Benchmark text in one index. A larger benchmark is searched index by index, each over all documents.
 INDEX_BYTES = 32 << 20
@@ -55,6 +58,7 @@ class Index:
     weight: np.ndarray  # log(1 + items / items with the shingle)
     rare: float  # weight of a shingle that no item has
     groups: dict[int, tuple[list[int], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]  # words: ids, prints, counted shingles
+    posts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words: sorted shingles, item's place and count of each; items' weights
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index:
@@ -66,13 +70,18 @@ class Index:
             if b > a:
                 sets.append((item, int(b - a), *np.unique(pieces(hashes[a:b]), return_counts=True)))
         known, df = np.unique(np.concatenate([s[2] for s in sets]), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
-        out = cls(known, np.log1p(len(sets) / np.maximum(df, 1)), float(np.log1p(len(sets))), {})
+        out = cls(known, np.log1p(len(sets) / np.maximum(df, 1)), float(np.log1p(len(sets))), {}, {})
         for item, n, shingles, counts in sorted(sets, key=lambda s: s[0]):
             ids, marks, kept = out.groups.setdefault(n, ([], [], []))
             ids.append(item)
             marks.append(prints((signs(shingles) * (out.weights(shingles) * counts)[:, None]).sum(0)[None])[0])
             kept.append((shingles, counts))
         out.groups = {n: (ids, np.array(marks), kept) for n, (ids, marks, kept) in out.groups.items()}
+        for n, (_, _, kept) in out.groups.items():
+            shingles, counts = (np.concatenate([x[j] for x in kept]) for j in (0, 1))
+            place, order = np.repeat(np.arange(len(kept)), [len(x[0]) for x in kept]), np.argsort(shingles, kind="stable")
+            totals = np.bincount(place, out.weights(shingles) * counts, len(kept))
+            out.posts[n] = shingles[order], place[order], counts[order], totals
         return out
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
@@ -95,6 +104,25 @@ class Index:
         w = self.weights(both)
         return float((w * np.minimum(mine, theirs)).sum() / (w * np.maximum(mine, theirs)).sum())
 
+    def overlapping(self, n: int, local: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+        """(window, item's place) of all pairs that reach SIMILARITY: windows of ``size`` shingles of ``local`` from ``at`` on, items of ``n`` words."""
+        shingles, place, counts, totals = self.posts[n]
+        weight = self.weights(local)
+        lo = np.searchsorted(shingles, local, "left")
+        own = shingles[np.minimum(lo, len(shingles) - 1)] == local
+        if not own.any():
+            return
+        whole, mine = (np.append(0, np.cumsum(x)) for x in (weight, weight * own))
+        whole, mine = whole[at + size] - whole[at], mine[at + size] - mine[at]
+        for w in np.flatnonzero(mine >= SIMILARITY * whole - 1e-6).tolist():
+            found, first, times = np.unique(local[at[w] : at[w] + size], return_index=True, return_counts=True)
+            a = np.searchsorted(shingles, found, "left")
+            many = np.searchsorted(shingles, found, "right") - a
+            posts, each = tk.ranges(a, many), np.repeat(np.arange(len(found)), many)
+            both = np.bincount(place[posts], weight[at[w] + first][each] * np.minimum(times[each], counts[posts]), len(totals))
+            for i in np.flatnonzero(both >= (SIMILARITY - 1e-6) * (whole[w] + totals - both)).tolist():
+                yield w, i
+
     def matches(self, words: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of a document's best window for each item it holds.
         ``hit``: places of known shingles of SHINGLE words."""
@@ -122,8 +150,10 @@ class Index:
                 near |= _NEAR[found[:, b]][:, marks[:, b]]
             w, i = np.nonzero(near)
             close = _ONES[found[w] ^ marks[i]].sum(1) <= RADIUS
+            pairs = {*zip(w[close].tolist(), i[close].tolist(), strict=True), *self.overlapping(n, local, at, reach + 1)}
             best: dict[int, tuple[float, int]] = {}
-            for x, y in zip(at[w[close]].tolist(), i[close].tolist(), strict=True):
+            for x, y in sorted(pairs):
+                x = int(at[x])
                 s = self.similarity(local[x : x + reach + 1], *kept[y])
                 if s >= SIMILARITY and s > best.get(y, (0.0, 0))[0]:
                     best[y] = s, x

@@ -566,6 +566,17 @@ def test_hamming_index_misses_none():
         assert any(decontam._NEAR[x, y] for x, y in zip(a, b, strict=True))
 
 
+def test_items_of_shared_text_are_found_beyond_the_radius():
+    """Items that share 300 shingles and have five of their own, windows with four of these changed: similar, but often far in bits."""
+    template = [f"t{j}" for j in range(304)]
+    items = [(i, " ".join([*template, *(f"own{i}x{j}" for j in range(5))])) for i in range(200)]
+    index = decontam.Index.of(items)
+    rows = [(i, " ".join([*template, f"own{i}x0", *(f"new{i}x{j}" for j in range(4))])) for i in range(200)]
+    got = {(d, m[0]) for d, m in decontam.found_in(pa.array([t for _, t in rows]), index)}
+    assert {(i, i) for i in range(200)} <= got
+    assert {x for x in got if x[0] < 2} == set(brute_matches(rows[:2], items))
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "the dog ran to the house with a ball"), (2, None), (3, ""), (4, "one two"), (None, "word")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in decontam.matches(odd, items).collect()), key=repr)
