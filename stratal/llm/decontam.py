@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from stratal.llm import textkernel as tk
 
@@ -55,13 +55,15 @@ class Index:
     """Items of one index, grouped by their number of words."""
 
     known: np.ndarray  # sorted shingles of all items
+    weighed: np.ndarray  # sorted shingles whose weight is not that of a rare one
     weight: np.ndarray  # log(1 + items / items with the shingle)
-    rare: float  # weight of a shingle that no item has
+    rare: float  # weight of a shingle that no item has, or one
     groups: dict[int, tuple[list[int], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]  # words: ids, prints, counted shingles
     posts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words: sorted shingles, item's place and count of each; items' weights
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]]) -> Index:
+    def of(cls, items: list[tuple[int, str]], counted: tuple[np.ndarray, np.ndarray, int] | None = None) -> Index:
+        """``counted``: sorted shingles that several items of the whole benchmark have, these items' numbers, and that of all items."""
         texts = pa.array([t for _, t in items], pa.string())
         words = tk.split_words(texts, lower=True)
         hashes = words.hashes()
@@ -70,7 +72,8 @@ class Index:
             if b > a:
                 sets.append((item, int(b - a), *np.unique(pieces(hashes[a:b]), return_counts=True)))
         known, df = np.unique(np.concatenate([s[2] for s in sets]), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
-        out = cls(known, np.log1p(len(sets) / np.maximum(df, 1)), float(np.log1p(len(sets))), {}, {})
+        weighed, df, n_items = counted or (known, df, len(sets))
+        out = cls(known, weighed, np.log1p(n_items / np.maximum(df, 1)), float(np.log1p(n_items)), {}, {})
         for item, n, shingles, counts in sorted(sets, key=lambda s: s[0]):
             ids, marks, kept = out.groups.setdefault(n, ([], [], []))
             ids.append(item)
@@ -91,10 +94,10 @@ class Index:
         return self.known[place] == shingles
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.weighed):
             return np.full(len(shingles), self.rare)
-        place = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[place] == shingles, self.weight[place], self.rare)
+        place = np.minimum(np.searchsorted(self.weighed, shingles), len(self.weighed) - 1)
+        return np.where(self.weighed[place] == shingles, self.weight[place], self.rare)
 
     def similarity(self, window: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> float:
         """Weighted Jaccard: weights times the smaller counts over weights times the larger."""
@@ -199,11 +202,14 @@ def _without(index: Index) -> Callable:
     return run
 
 
+def usable(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
+
+
 def item_blocks(benchmark: DataFrame, limit: int = INDEX_BYTES) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of about ``limit`` bytes, read one after the other."""
     block, size = [], 0
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
+    for r in usable(benchmark).orderBy("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))
         size += len(r["text"].encode())
         if size >= limit:
@@ -213,7 +219,41 @@ def item_blocks(benchmark: DataFrame, limit: int = INDEX_BYTES) -> Iterator[list
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's different shingles, and a null for the item itself if it has words."""
+    for batch in batches:
+        for lo, hi in tk.slices(batch.column(0)):
+            words = tk.split_words(batch.column(0).slice(lo, hi - lo), lower=True)
+            hashes = words.hashes()
+            found = [np.unique(pieces(hashes[a:b])) for a, b in zip(words.first[:-1], words.first[1:], strict=True) if b > a]
+            if found:
+                yield pa.record_batch([pa.concat_arrays([pa.array(tk.signed(np.concatenate(found))), pa.nulls(len(found), pa.int64())])], ["h"])
+
+
+def count_shingles(benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Over all items: shingles that several have, sorted, in how many, and the number of items with words.
+    A shingle of one item weighs as much as one of none and needs no place here."""
+    counts = usable(benchmark).select("text").mapInArrow(_item_shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1 OR h IS NULL").toArrow()
+    own = counts.filter(counts.column("h").is_null())
+    counts = counts.filter(counts.column("h").is_valid())
+    h, n = counts.column("h").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order], own.column("n")[0].as_py() if own.num_rows else 0
+
+
+def indexes(benchmark: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
+    """An index for each block of items; all have the weights of the whole benchmark."""
+    counted, blocks = None, item_blocks(benchmark, limit)
+    block = next(blocks, None)
+    while block:
+        after = next(blocks, None)
+        if after and counted is None:
+            counted = count_shingles(benchmark)
+        yield Index.of(block, counted)
+        block = after
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, word, n_words, similarity: every item that a row of ``docs`` (doc_id, text) holds,
     at its best window (the first among equals).
 
@@ -225,14 +265,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     schema = "doc_id long, item_id long, word long, n_words long, similarity double"
     out = None
-    for block in item_blocks(benchmark):
-        found = rows.mapInArrow(_search(Index.of(block)), schema)
+    for index in indexes(benchmark, limit):
+        found = rows.mapInArrow(_search(index), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_BYTES) -> DataFrame:
     """``docs`` without the rows whose text holds an item; all columns stay, and no row is shuffled."""
-    for block in item_blocks(benchmark):
-        docs = docs.mapInArrow(_without(Index.of(block)), docs.schema)
+    for index in indexes(benchmark, limit):
+        docs = docs.mapInArrow(_without(index), docs.schema)
     return docs

@@ -577,6 +577,25 @@ def test_items_of_shared_text_are_found_beyond_the_radius():
     assert {x for x in got if x[0] < 2} == set(brute_matches(rows[:2], items))
 
 
+def test_blocks_have_the_weights_of_the_whole_benchmark(spark):
+    """A benchmark cut into several indexes finds the same, with the same similarities, as in one."""
+    rng = random.Random(3)
+    shared = [f"t{j}" for j in range(12)]
+    items = [(i, " ".join([*(shared if i % 3 else []), *(f"o{i}w{j}" for j in range(14))])) for i in range(24)] + [(90, " "), (91, "t0 t1")]
+    rows = []
+    for d in range(120):
+        w = words(items[d % 24][1])
+        for _ in range(d % 3):
+            w[rng.randrange(len(w))] = "edited"
+        rows.append((d, " ".join(w)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontam.matches(docs, bench).collect()))
+    many = sorted(map(tuple, decontam.matches(docs, bench, limit=500).collect()))
+    assert len(list(decontam.item_blocks(bench, 500))) > 3 and len(one) > 20
+    assert [r[:4] for r in one] == [r[:4] for r in many] and np.allclose([r[4] for r in one], [r[4] for r in many], rtol=1e-12)
+    assert {r["doc_id"] for r in decontam.clean(docs, bench, limit=500).collect()} == {r["doc_id"] for r in decontam.clean(docs, bench).collect()}
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "the dog ran to the house with a ball"), (2, None), (3, ""), (4, "one two"), (None, "word")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in decontam.matches(odd, items).collect()), key=repr)
