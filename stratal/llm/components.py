@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratal.llm.scratch import materialize
+from stratal.llm.scratch import discard, materialize
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -18,6 +18,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     live = materialize(live, name)
     labels = None
     while labels is None or live.take(1):
+        before = live
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
         up = materialize(up, f"{name}-up")
@@ -26,14 +27,19 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
             joined = up.join(above, "up").select("node", "up", "top")
             if not joined.where("up <> top").take(1):
                 break
-            up = materialize(joined.select("node", F.col("top").alias("up")), f"{name}-up")
+            up, old = materialize(joined.select("node", F.col("top").alias("up")), f"{name}-up"), up
+            discard(old)
         if labels is None:
-            labels = up.select("node", F.col("up").alias("root"))
+            labels = materialize(up.select("node", F.col("up").alias("root")), f"{name}-labels")
         else:
             step = up.select(F.col("node").alias("root"), F.col("up").alias("top"))
-            labels = labels.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        labels = materialize(labels, f"{name}-labels")
+            joined = labels.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            labels, old = materialize(joined, f"{name}-labels"), labels
+            discard(old)
         a, b = (up.select(F.col("node").alias(c), F.col("up").alias(f"{c}2")) for c in "ab")
         live = live.join(a, "a").join(b, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-        live = materialize(live.distinct(), name)
+        live, old = materialize(live.distinct(), name), before
+        discard(old)
+        discard(up)
+    discard(live)
     return labels

@@ -13,10 +13,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one if all threads are of this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="stratal-")
@@ -27,12 +29,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stratal/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there,
-    and a lost executor costs only the tasks that were running on it."""
+    and a lost executor costs only the tasks that were running on it. ``folders``: columns to part the files by."""
     path = new_path(df.sparkSession, name)
-    write(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write(df, path, folders)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the table that ``materialize`` returned as ``df``; nothing may read it any more."""
+    if df is not None:
+        drop_path(df.sparkSession, df.scratch_path)
 
 
 @contextmanager
@@ -48,10 +58,10 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def write(df: DataFrame, path: str) -> None:
+def write(df: DataFrame, path: str, folders: list[str] | None = None) -> None:
     """Write Parquet; the shuffle files of this one query go as soon as it has ended."""
     with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.parquet(path)
+        df.write.partitionBy(*folders or ()).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -120,11 +120,16 @@ def test_language_odd_rows(spark, odd, empty):
 # --- 2 n-gram Jaccard join
 
 
-def brute_components(rows):
+def brute_sets(rows):
     sets = {}
     for i, t in rows:
         w = words(lower(t))
         sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    return sets
+
+
+def brute_components(rows):
+    sets = brute_sets(rows)
     root = {i: i for i in sets}
 
     def find(i):
@@ -168,31 +173,64 @@ def test_components_against_brute_force(spark):
     assert got == brute_components(rows)
 
 
-def test_large_blocks_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE", 16)
+@pytest.mark.parametrize("limits", [{"TILE": 16}, {"TILE": 7, "SMALL": 2, "PIECE": 40}, {"HOT": 32, "HOT_SHARE": 1, "TILE": 64}, {"SMALL": 0, "GROUPS": 4, "LEAF": 2}])
+def test_large_blocks_in_tiles(spark, monkeypatch, limits):
+    """Blocks cut into tiles and pieces, hot keys dealt to several tasks, and a weak bound change no result."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(seed=9, groups=3, size=60)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if "HOT" in limits:
+        _, found = ngram_join.join_classes(docs)
+        assert found.members.count()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()}
     assert got == brute_components(rows)
 
 
-def test_rtree_keeps_every_pair_that_can_link():
+def test_links_against_brute_force(spark):
+    rows = near_copies(seed=5, groups=3, size=30)
+    members, links = ngram_join.class_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    sets = brute_sets(rows)
+    assert of.keys() == {d for d, s in sets.items() if s} and all(sets[d] == sets[c] for d, c in of.items())
+    reps = sorted(set(of.values()))
+    want = {(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = [tuple(r) for r in links.collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def points(sets):
+    return ngram_join.points_of([ngram_join.point(s) for s in sets])
+
+
+def test_tree_keeps_every_pair_that_can_link():
+    """The tree gives the same pairs as comparing all points; boxes and sizes leave out most of them."""
     rng = np.random.default_rng(2)
-    points = rng.integers(0, 6, (150, ngram_join.GROUPS))
-    points[75:] = points[:75] + (rng.random((75, ngram_join.GROUPS)) < 0.05)
-    n = points.sum(1)
-    order = np.argsort(n, kind="stable")
-    points, n, group = points[order], n[order], np.arange(150)
-    got = {(int(a), int(b)) for i, j in ngram_join.rtree_pairs(points, n, group) for a, b in zip(i, j, strict=True)}
-    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if 180 * np.minimum(points[a], points[b]).sum() >= 80 * (n[a] + n[b]) and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b])}
-    assert got == want and want
-    both = {(int(a), int(b)) for i, j in ngram_join.rtree_pairs(points[::2], n[::2], group[::2], (points[1::2], n[1::2], group[1::2])) for a, b in zip(i * 2, j * 2 + 1, strict=True)}
-    assert {tuple(sorted(p)) for p in both} == {p for p in want if (p[0] + p[1]) % 2}
+    sets = []
+    for _ in range(12):
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(20, 300))).astype(np.uint64))
+        sets += [np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64)])) for _ in range(20)]
+    order = rng.permutation(len(sets))
+    p = points([sets[i] for i in order])
+    n, group = p.sum(1), rng.integers(0, 200, len(p))
+    left = n - rng.integers(0, 4, len(p))
+    want = {
+        (a, b) for a in range(len(p)) for b in range(a + 1, len(p))
+        if group[a] != group[b] and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]) and 180 * min(np.minimum(p[a], p[b]).sum(), left[a], left[b]) >= 80 * (n[a] + n[b])
+    }
+    tree = ngram_join.RTree(p, n, left, group)
+    got = [(min(int(a), int(b)), max(int(a), int(b))) for i, j, _ in tree.meet(tree) for a, b in zip(i, j, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert len(tree.levels) > 3 and all((top >= tree.points[lo:hi]).all() for (top, *_), edges in zip(tree.levels, tree.edges, strict=True) for top, lo, hi in zip(top, edges[:-1], edges[1:], strict=True))
+    halves = [ngram_join.RTree(p[s::2], n[s::2], left[s::2], group[s::2]) for s in (0, 1)]
+    both = {tuple(sorted((2 * int(a), 2 * int(b) + 1))) for i, j, _ in halves[0].meet(halves[1]) for a, b in zip(i, j, strict=True)}
+    assert both == {x for x in want if (x[0] + x[1]) % 2}
 
 
 @pytest.mark.parametrize("groups", [1, 4, 512])
-def test_finer_counts_keep_every_link(monkeypatch, groups):
+def test_counts_keep_every_link(monkeypatch, groups):
     """Also where groups hold more than a byte counts."""
-    monkeypatch.setattr(ngram_join, "FINE", groups)
+    monkeypatch.setattr(ngram_join, "GROUPS", groups)
     rng = np.random.default_rng(groups)
     pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
     rows, links = [], []
@@ -200,14 +238,37 @@ def test_finer_counts_keep_every_link(monkeypatch, groups):
         n = int(rng.integers(5, 2000))
         a = np.unique(rng.choice(pool, n))
         b = np.unique(np.concatenate([a[: int(len(a) * rng.uniform(0.7, 1))], rng.choice(pool, int(rng.integers(1, 1 + n // 6)))]))
-        rows.append((i, i, ngram_join.fine_point(a), ngram_join.fine_point(b), len(a), len(b)))
+        rows.append((i, i, ngram_join.point(a), ngram_join.point(b)))
         links.append(180 * len(np.intersect1d(a, b)) >= 80 * (len(a) + len(b)))
-    batch = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["a", "b", "fa", "fb", "na", "nb"])
-    kept = {i for out in ngram_join._fine(iter([batch])) for i in out.column("a").to_pylist()}
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["a", "b", "va", "vb"])
+    kept = {i for out in ngram_join._bound(iter([batch])) for i in out.column("a").to_pylist()}
     assert kept >= {i for i, link in enumerate(links) if link} and any(links)
     assert groups < 512 or len(kept) < 60
 
 
+def test_rows_without_a_partner_leave_their_block():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        block = np.sort(rng.integers(0, 4, 40))
+        n = rng.integers(1, 30, 40)
+        order = np.lexsort((n, block))
+        n, left = n[order], np.maximum(n[order] - rng.integers(0, 5, 40), 0)
+        start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        want = [
+            any(j != i and block[i] == block[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and 180 * left[i] >= 80 * (n[i] + n[j]) for j in range(40))
+            for i in range(40)
+        ]
+        assert ngram_join.partnered(start, np.diff(np.append(start, 40)), n, left).tolist() == want
+
+
+def test_one_of_each_where_a_doc_id_repeats(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, "p"), (5, a + " z", "q"), (5, b, "r"), (5, b + " y", "s"), (5, "", "t"), (9, b, "u")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, many_id string")).collect()
+    assert sorted((r["doc_id"], r["many_id"]) for r in kept if r["many_id"] not in "rs") == [(1, "p"), (5, "t")]
+    assert len([r for r in kept if r["many_id"] in "rs"]) == 1
+
+
 def test_join_odd_rows(spark, odd, empty):
     got = ngram_join.ngram_components(odd).collect()
     assert len(got) == len(ODD)
