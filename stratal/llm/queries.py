@@ -19,9 +19,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: For Python workers: freed memory goes back to the machine, and a worker's arithmetic stays on its own core.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576", "OPENBLAS_NUM_THREADS": "1"}
+
+
 def find_package(spark: SparkSession) -> None:
     """Python workers started from another folder find this package too."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    for name, value in {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), **WORKERS}.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,6 +33,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S[2])
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A copy of the bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
 @dataclass
 class Words:
     """The words of some documents: ``starts``/``ends`` are byte places in ``data``,

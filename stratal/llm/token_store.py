@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
-from stratal.llm.scratch import materialize, settings
+from stratal.llm import textkernel as tk
+from stratal.llm.scratch import materialize
 
-#: Blocks (files) at most; what is gathered of them is bounded by it. A file holds about BLOCK_BYTES of text, more beyond that many.
+#: Blocks are ranges of doc_id of about BLOCK_BYTES of text, a task's work each. There are MAX_BLOCKS at most, beyond which they
+#: grow; the driver gets a number of each. A block's files hold FILE_SEGMENTS segments at most, so that files do not grow.
 MAX_BLOCKS = 10_000
 BLOCK_BYTES = 24 << 20
+FILE_SEGMENTS = 16
 SEGMENT_IDS = 1 << 20
-CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps, at about 25 bytes each.
+CACHE_WORDS = 2_000_000
+#: Texts are encoded in slices of so many bytes.
+SLICE = 2 << 20
+#: Characters that end a word as a piece of their own.
+MARKS = ".,!;:?|%$&*#"
 MAGIC = b"STK1"
 _HEAD = struct.Struct("<4sQBQQqQQQ")  # magic, bytes of the segment, id width, documents, documents without an id, least doc_id, ids, bytes of two codes
 
@@ -130,51 +141,130 @@ def segments(raw: bytes) -> Iterator[Segment]:
         at += s.size + 1
 
 
+#: The normalizer and the pre-tokenizer under which a text's ids are those of its words one after the other.
+BY_WORD = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
-    """Ids of texts from a tokenizers file whose pre-tokenizer drops white space, so that a text's
-    ids are those of its words one after the other. Ids of words seen are kept, CACHE_WORDS at most."""
+    """Ids of texts from a tokenizers file. Where its parts are those of BY_WORD, words are encoded once and the ids
+    of those seen are kept, CACHE_WORDS at most; under any other file whole texts are encoded."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        parts = {"normalizer": "normalizers", "pre_tokenizer": "pretokenizers"}
+        self.by_word = all((spec[k] or {}).get(name) == BY_WORD[k] for k, name in parts.items())
+        # a special token of its own parts the words of one call, so that they need no call each
+        self.between = next((t["content"] for t in spec["added_tokens"] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and "<|" in t["content"]), None)
+        self.by_word = self.by_word and self.between is not None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode unseen words. Marks after an ASCII letter or digit are a piece of their own, so
-        'word,' is 'word' and ','."""
-        known = self.known
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in words:
-            stem = w.rstrip(b".,!;:?|%$&*#")
-            if stem and len(stem) < len(w) and stem[-1:].isalnum():
-                parts[w] = (stem, w[len(stem) :])
-        need = [w for w in words.difference(parts).union(*parts.values()) if w not in known]
-        known.update(zip(need, self._ids(need), strict=True))
-        for w, (stem, marks) in parts.items():
-            known[w] = known[stem] + known[marks]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for t in texts:
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            # the tokenizer lower-cases, but finds its special tokens before; A-Z early makes more words alike
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        self.end = end_id
+        self._forget()
+        if self.by_word:
+            self.letters = Tokenizer.from_file(path)
+            self.letters.normalizer = normalizers.Lowercase()
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _forget(self) -> None:
+        """Words known by their hashes, rising, with the place and number of their ids."""
+        self.hashes, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.kind)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, ids: np.ndarray, edges: np.ndarray, skip: int) -> list[bytes]:
+        """Ids between the places ``edges``, of which the first ``skip`` go."""
+        raw, at = ids.tobytes(), (edges * self.width).tolist()
+        return [raw[a + skip * self.width : b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _parted(self, words: list[str]) -> list[bytes]:
+        """Ids of any words, with a special token between two."""
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between + self.between.join(words)], add_special_tokens=False)[0].ids, self.kind)
+        return self._cut(ids, np.append(np.flatnonzero(ids == self.tokenizer.token_to_id(self.between)), len(ids)), 1)
+
+    def _lettered(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: each is one piece, which ends at its only id with the suffix."""
+        text = " ".join(words)
+        if unicodedata.is_normalized("NFC", text):
+            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            edges = np.flatnonzero(self.closes[ids]) + 1
+            if len(edges) == len(words) and edges[-1] == len(ids):
+                return self._cut(ids, np.append(0, edges), 0)
+        return self._parted(words)
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of different words. Marks after letters are a piece of their own, so 'word,' is 'word' and ','."""
+        stems = [w.rstrip(MARKS) for w in words]
+        lettered = [t.isalpha() and t.lower().isalpha() for t in stems]
+        special = ["<|" in w for w in words]
+        pieces: dict[str, bytes] = {"": b""}
+        letters = list({t for t, x in zip(stems, lettered, strict=True) if x})
+        others = [w for w, x, y in zip(words, lettered, special, strict=True) if not x and not y]
+        others += list({w[len(t) :] for w, t, x in zip(words, stems, lettered, strict=True) if x and len(t) < len(w)}.difference(others))
+        for texts, encode in ((letters, self._lettered), (others, self._parted)):
+            for at in range(0, len(texts), 1024):
+                pieces.update(zip(texts[at : at + 1024], encode(texts[at : at + 1024]), strict=True))
+        own = [w for w, x in zip(words, special, strict=True) if x]
+        pieces.update(zip(own, self._whole(own), strict=True))
+        return [pieces[t] + pieces[w[len(t) :]] if x else pieces[w] for w, t, x in zip(words, stems, lettered, strict=True)]
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Add words, whose hashes rise, to those known."""
+        found = self.word_ids([w.decode("utf-8", "replace") for w in words])
+        count = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        at = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), self.kind)])
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.count = (np.insert(old, place, new) for old, new in ((self.hashes, hashes), (self.at, at), (self.count, count)))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (bytes) one after the other, each with the end, and the places where texts begin and end.
+        Bytes that are no UTF-8 count as U+FFFD."""
+        if not self.by_word:
+            found = self._whole([(t or b"").decode("utf-8", "replace") for t in column.to_pylist()])
+            ids, places = np.frombuffer(b"".join(found), self.kind), np.append(0, np.cumsum([len(x) // self.width for x in found])).astype(np.int64)
+        else:
+            ids, places = self._by_word(tk.split_words(column))
+        # an end after each text
+        n = len(places) - 1
+        return np.insert(ids, places[1:], np.array(self.end).astype(self.kind)), places + np.arange(n + 1)
+
+    def _by_word(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+        if not len(w.starts):
+            return np.zeros(0, self.kind), np.zeros(len(w.first), np.int64)
+        # the tokenizer lower-cases, but finds its special tokens before; A-Z early makes more words alike
+        data = tk.lowered(w.data)
+        for i in np.unique(np.searchsorted(w.starts, np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))), "right") - 1).tolist():
+            data[w.starts[i] : w.ends[i]] = w.data[w.starts[i] : w.ends[i]]
+        w.data = data
+        hashes, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHE_WORDS:
+            self._forget()
+        new = np.flatnonzero(~self._known(hashes))
+        if len(new):
+            raw, places = w.data.tobytes(), first[new]
+            self._learn(hashes[new], [raw[a:b] for a, b in zip(w.starts[places].tolist(), w.ends[places].tolist(), strict=True)])
+        place = np.searchsorted(self.hashes, hashes)
+        at, count = self.at[place][back], self.count[place][back]
+        return self.ids[tk.ranges(at, count)], np.append(0, np.cumsum(count))[w.first]
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.hashes, hashes)
+        return np.append(self.hashes, np.uint64(0))[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -193,9 +283,11 @@ def _tokenize(path: str, end_id: int, cuts: list[int]) -> Callable:
         enc = encoder_for(path, end_id)
         places = np.array(cuts, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                doc, ids = part.column(0), enc.encode(part.column(1).to_pylist())
+            for lo, hi in tk.slices(batch.column(1), SLICE):
+                part = batch.slice(lo, hi - lo)
+                flat, edges = enc.encode(part.column(1).cast(pa.binary()))
+                raw, at = flat.tobytes(), (edges * enc.width).tolist()
+                doc, ids = part.column(0), [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 block = np.searchsorted(places, np.asarray(doc.fill_null(-(2**63))), "left")
                 yield pa.record_batch(
                     [pa.array(block, pa.int32()), doc, pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -234,8 +326,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
 
     Null texts count as empty: their only id is ``end_id``. Null doc_ids come first; rows
     with equal doc_ids stand in order of their ids' checksum. An empty table writes no file.
-    Blocks are ranges of doc_id with a file each, in folders block=000000, block=000001, ...;
-    only ids are shuffled, not texts.
+    Blocks are ranges of doc_id, in folders block=000000, block=000001, ... of one file or, for
+    many documents, several in the order of their names; only ids are shuffled, not texts.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     stats = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()
@@ -246,41 +338,50 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
         cuts = sorted(set(found or []))
     width = encoder_for(tokenizer, end_id).width
     ids = rows.mapInArrow(_tokenize(tokenizer, end_id, cuts), "block int, doc_id long, mark long, ids binary")
-    dealt = ids.repartition(max(len(cuts) + 1, 1), "block").sortWithinPartitions("block", F.asc_nulls_first("doc_id"), "mark", "ids")
+    # a block goes to the task of its number: none has two
+    dealt = ids.repartitionById(len(cuts) + 1, F.col("block")).sortWithinPartitions("block", F.asc_nulls_first("doc_id"), "mark", "ids")
     packed = dealt.select("block", "doc_id", "ids").mapInArrow(_pack(width), "block string, blob binary")
     # the text sink writes a string's bytes as they are: the blob and a line feed, by any file system Spark knows
-    # small batches to Python: the words of one are held there several times over
-    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
-        packed.select("block", F.col("blob").cast("string").alias("value")).write.partitionBy("block").text(path)
+    values = packed.select("block", F.col("blob").cast("string").alias("value"))
+    values.write.option("maxRecordsPerFile", FILE_SEGMENTS).partitionBy("block").text(path)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            block, start = int(path.rpartition("block=")[2].split("/")[0]), 0
+        for file, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            block, start = int(file.rpartition("block=")[2].split("/")[0]), 0
             for s in segments(raw.as_buffer()):
-                bounds = s.bounds.to_array()
+                bounds = np.array([s.bounds.select(i) for i in range(s.n_docs + 1)], np.int64)
                 ids = s.ids.astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 n = len(crc)
                 yield pa.record_batch(
-                    [pa.array(np.full(n, block, np.int32)), pa.array(s.doc_ids(), pa.int64()), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                    ["block", "doc_id", "at", "n_tokens", "ids_crc32"],
+                    [pa.array(np.full(n, block, np.int32)), pa.array([file.rpartition("/")[2]] * n), pa.array(s.doc_ids(), pa.int64()), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                    ["block", "file", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
                 start += s.n_ids
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files under ``path``: doc_id, start, n_tokens, ids_crc32."""
+    """Per document of the files under ``path``: doc_id, start, n_tokens, ids_crc32.
+
+    Places inside a file come from the select structures of its segments. The ids of a block's files are summed in the
+    block, those of the blocks before on the driver.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    found = materialize(files.select("path", "content").mapInArrow(_unpack, "block int, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-docs")
-    totals = sorted((r["block"], r["n"]) for r in found.groupBy("block").agg(F.sum("n_tokens").alias("n")).collect())
+    schema = "block int, file string, doc_id long, at long, n_tokens long, ids_crc32 long"
+    found = materialize(files.select("path", "content").mapInArrow(_unpack, schema), "token-docs")
+    sums = found.groupBy("block", "file").agg(F.sum("n_tokens").alias("n"))
+    order = Window.partitionBy("block").orderBy(F.length("file"), "file")
+    sums = materialize(sums.withColumn("earlier", F.sum("n").over(order) - F.col("n")), "token-files")
+    totals = sorted((r["block"], r["n"]) for r in sums.groupBy("block").agg(F.sum("n").alias("n")).collect())
     before, so_far = [], 0
     for block, n in totals:  # MAX_BLOCKS numbers at most
         before.append((block, so_far))
         so_far += n
-    offsets = F.broadcast(spark.createDataFrame(before or [(0, 0)], "b int, before long"))
-    return found.join(offsets, found["block"] == offsets["b"]).select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    blocks = F.broadcast(spark.createDataFrame(before or [(0, 0)], "b int, before long"))
+    offsets = sums.join(blocks, F.col("block") == F.col("b")).select("block", "file", (F.col("earlier") + F.col("before")).alias("offset"))
+    return found.join(offsets, ["block", "file"]).select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
