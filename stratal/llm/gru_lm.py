@@ -4,10 +4,10 @@ A document's tokens are its words and one end. The TOP most frequent words are o
 own, CLASS_WORDS to a class; all others fall into classes by their last byte, inside which a
 word has its smoothed relative frequency, so that every word has a probability. Counts come from all
 training documents. The recurrent weights are trained by truncated backpropagation on all of
-them as well: documents are dealt by hash into shards of about ``max_tokens`` tokens, each pass
-trains every shard from the same weights, and the means over the shards, by their tokens, are
-the next pass' weights. State goes from window to window, and a document is scored from its
-first token to its end.
+them as well, in one pass: documents are dealt by hash into shards of about ``max_tokens`` tokens,
+and the shards into ROUNDS rounds. A round trains each of its shards from the same weights, and the
+means over the shards, by their tokens, are the next round's weights. State goes from window to
+window, and a document is scored from its first token to its end.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratal.llm import textkernel as tk
 from stratal.llm.langid import part
-from stratal.llm.scratch import materialize
+from stratal.llm.scratch import discard, materialize
 
 TOP = 1024
 CLASS_WORDS = 32
@@ -32,23 +32,24 @@ RARE = 16
 HIDDEN = 24
 #: Words whose counts every worker holds, most frequent first; counts of the others are joined.
 HEAD = 1 << 18
-#: Training tokens of one shard.
+#: Training tokens of one shard, and of what a task trains on at once.
 MAX_TOKENS = 600_000
-EPOCHS = 3
-STREAMS, STEPS = 128, 32
+ROUNDS = 8
+#: Shards at most; more tokens make larger shards, which are trained on piece by piece.
+MAX_SHARDS = 8 << 10
+#: Sums of weights that the driver adds up.
+SUMS = 32
+STREAMS, STEPS = 256, 32
 SLOTS, WINDOW = 512, 64
+#: Symbols are scored in slices of so many bytes.
+SCORE_BYTES = 8 << 20
 RATE = 6e-3
 SMOOTH = 0.1
 
 
-def log_prob(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of one place in each row of logits, which the clipped gradients keep small."""
-    return x[np.arange(len(x)), at] - np.log(np.exp(x).sum(1))
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def by_value(x: np.ndarray) -> np.ndarray:
+    """Order of small numbers; two bytes are sorted by counting."""
+    return np.argsort(x.astype(np.uint16) if x.size and x.max() < 1 << 16 else x, kind="stable")
 
 
 class Gru:
@@ -73,119 +74,172 @@ class Gru:
         top = np.full(self.groups * CLASS_WORDS, 1e-6)
         top[: self.n_top] = c[1 + RARE :]
         top = top.reshape(self.groups, CLASS_WORDS)
-        self.p["bc"][:] = np.log(np.concatenate([c[: 1 + RARE], top.sum(1)]))
-        self.p["bw"][:] = np.log(top)
+        every = np.concatenate([c[: 1 + RARE], top.sum(1)])
+        self.p["bc"][:] = np.log(every / every.sum())
+        self.p["bw"][:] = np.log(top / top.sum(1, keepdims=True))
 
     def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-        """States after each of the steps (time, stream); where ``fresh`` the state before is zero."""
+        """States after each of the steps, (time, unit, stream), from those before, (unit, stream); where ``fresh``
+        (time, stream) the state before is zero. Units come before streams, so that a gate's numbers lie side by side."""
         p, d = self.p, self.hidden
-        x = p["x"][inputs]
-        x[..., : 2 * d] += p["bu"][: 2 * d]
-        bn, u, on = p["bu"][2 * d :], p["u"], ~fresh[..., None]
-        out = np.empty((*inputs.shape, d), x.dtype)
-        memo = (np.empty_like(out), np.empty((*inputs.shape, 2 * d), x.dtype), np.empty_like(out), np.empty_like(out)) if keep else ()
-        for t in range(len(inputs)):
-            h = h * on[t]
-            g = h @ u
-            zr = g[:, : 2 * d] + x[t, :, : 2 * d]
+        x = np.ascontiguousarray(p["x"][inputs].transpose(0, 2, 1))
+        x[:, : 2 * d] += p["bu"][: 2 * d, None]
+        bn, u = p["bu"][2 * d :, None], np.ascontiguousarray(p["u"].T)
+        some, on = fresh.any(1), (~fresh).astype(x.dtype)
+        steps, streams = inputs.shape
+        out = np.empty((steps, d, streams), x.dtype)
+        many = steps if keep else 1
+        before, gates, new = np.empty((many, d, streams), x.dtype), np.empty((many, 3 * d, streams), x.dtype), np.empty((many, d, streams), x.dtype)
+        for t in range(steps):
+            k = t if keep else 0
+            if some[t]:
+                h = h * on[t]
+            if keep:
+                before[k] = h
+            g, n, o = gates[k], new[k], out[t]
+            np.matmul(u, h, out=g)
+            zr, gn = g[: 2 * d], g[2 * d :]
+            zr += x[t, : 2 * d]
             np.negative(zr, zr)
             np.exp(zr, zr)
             zr += 1
             np.reciprocal(zr, zr)
-            gn = g[:, 2 * d :] + bn
-            n = np.tanh(x[t, :, 2 * d :] + zr[:, d:] * gn)
-            new = n + zr[:, :d] * (h - n)
-            if keep:
-                memo[0][t], memo[1][t], memo[2][t], memo[3][t] = h, zr, n, gn
-            out[t] = h = new
-        return out, memo
+            gn += bn
+            np.multiply(zr[d:], gn, out=n)
+            n += x[t, 2 * d :]
+            np.tanh(n, n)
+            np.subtract(h, n, out=o)
+            o *= zr[:d]
+            o += n
+            h = o
+        return out, (before, gates, new) if keep else ()
 
     def classes(self, symbols: np.ndarray) -> np.ndarray:
         return np.where(symbols > RARE, 1 + RARE + (symbols - 1 - RARE) // CLASS_WORDS, symbols)
 
+    def _inside(self, goal: np.ndarray, cls: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places among ``on`` of words with a class of their own, by class; where each class begins and ends; the classes."""
+        rows = on[goal[on] > RARE]
+        rows = rows[by_value(cls[rows])]
+        edges = np.flatnonzero(np.diff(cls[rows], prepend=-1, append=-1))
+        return rows, edges, cls[rows[edges[:-1]]] - 1 - RARE
+
+    def _own(self, mine: np.ndarray, edges: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the logits inside each row's class, and their sums."""
+        e = np.empty((len(mine), CLASS_WORDS), mine.dtype)
+        for k, a, b in zip(groups.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            np.matmul(mine[a:b], self.p["w"][k], out=e[a:b])
+            e[a:b] += self.p["bw"][k]
+        np.exp(e, e)
+        return e, e @ np.ones(CLASS_WORDS, e.dtype)
+
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each target symbol after the state in the same row."""
-        p = self.p
-        cls = self.classes(targets)
-        out = log_prob(h @ p["c"] + p["bc"], cls)
-        inside = np.flatnonzero(targets > RARE)
-        inside = inside[np.argsort(cls[inside], kind="stable")]
-        edges = np.flatnonzero(np.diff(cls[inside], prepend=-1, append=-1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows = inside[a:b]
-            k = cls[rows[0]] - 1 - RARE
-            out[rows] += log_prob(h[rows] @ p["w"][k] + p["bw"][k], (targets[rows] - 1 - RARE) % CLASS_WORDS)
+        """Natural log-probability of each target symbol after the state (unit, place) in the same place. Logits are
+        small, as biases are log-shares and gradients clipped."""
+        p, cls = self.p, self.classes(targets)
+        x = p["c"].T @ h
+        x += p["bc"][:, None]
+        out = x[cls, np.arange(len(cls))]
+        np.exp(x, x)
+        out -= np.log(x.sum(0))
+        rows, edges, groups = self._inside(targets, cls, np.arange(len(targets)))
+        e, total = self._own(np.ascontiguousarray(h[:, rows].T), edges, groups)
+        out[rows] += np.log(e[np.arange(len(rows)), (targets[rows] - 1 - RARE) % CLASS_WORDS] / total)
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h0: np.ndarray, live: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
         """Of the mean negative log-likelihood over the ``live`` places of one window; the state that goes on; the loss."""
         p, d = self.p, self.hidden
-        hs, memo = self.states(inputs, fresh, h0, keep=True)
-        flat, goal = hs.reshape(-1, d), targets.ravel()
-        on = np.arange(len(goal)) if live is None else np.flatnonzero(live)
+        steps, streams = inputs.shape
+        hs, (before, gates, new) = self.states(inputs, fresh, h0, keep=True)
+        flat, goal = hs.transpose(1, 0, 2).reshape(d, -1), targets.ravel()
+        every = np.arange(len(goal))
+        on = every if live is None else np.flatnonzero(live)
         n, cls = len(on), self.classes(goal)
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        logs = log_softmax(flat @ p["c"] + p["bc"])
-        loss = -logs[on, cls[on]].sum()
-        e = np.exp(logs)
-        e[np.arange(len(goal)), cls] -= 1
+        grad = {}
+        e = p["c"].T @ flat
+        e += p["bc"][:, None]
+        np.exp(e, e)
+        e /= e.sum(0)
+        loss = -np.log(e[cls, every][on]).sum()
+        e[cls, every] -= 1
         if n < len(goal):
-            e[~live.ravel()] = 0
-        grad["c"], grad["bc"] = flat.T @ e, e.sum(0)
-        dh = e @ p["c"].T
-        inside = on[goal[on] > RARE]
-        inside = inside[np.argsort(cls[inside], kind="stable")]
-        edges = np.flatnonzero(np.diff(cls[inside], prepend=-1, append=-1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows = inside[a:b]
-            k = cls[rows[0]] - 1 - RARE
-            at = np.arange(len(rows)), (goal[rows] - 1 - RARE) % CLASS_WORDS
-            mine = flat[rows]
-            logs = log_softmax(mine @ p["w"][k] + p["bw"][k])
-            loss -= logs[at].sum()
-            e = np.exp(logs)
-            e[at] -= 1
-            grad["w"][k], grad["bw"][k] = mine.T @ e, e.sum(0)
-            dh[rows] += e @ p["w"][k].T
-        dh = dh.reshape(hs.shape)
-        h, zr, m, gn = memo
-        z, r, on = zr[..., :d], zr[..., d:], ~fresh[..., None]
-        slope = (1 - z) * (1 - m * m)
-        through = np.concatenate([(h - m) * z * (1 - z), slope * gn * r * (1 - r), slope * r], -1).reshape(*inputs.shape, 3, d)
-        dg, dt, back, turned = np.empty_like(through), np.empty_like(dh), np.zeros_like(dh[0]), np.ascontiguousarray(p["u"].T)
-        for t in reversed(range(len(inputs))):
-            now = np.add(dh[t], back, out=dt[t])
-            np.multiply(through[t], now[:, None], out=dg[t])
-            back = (now * z[t] + dg[t].reshape(-1, 3 * d) @ turned) * on[t]
-        dg, dx = dg.reshape(-1, 3 * d), np.concatenate([dg[..., :2, :].reshape(*inputs.shape, 2 * d), dt * slope], -1)
-        grad["u"], grad["bu"] = h.reshape(-1, d).T @ dg, dg.sum(0)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        seen, first = np.unique(inputs.ravel()[order], return_index=True)
-        grad["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * d)[order], first, 0)
-        return {k: g / n for k, g in grad.items()}, hs[-1], float(loss) / n
-
-    def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> list[float]:
+            e[:, ~live.ravel()] = 0
+        grad["c"], grad["bc"] = flat @ e.T, e.sum(1)
+        dh = p["c"] @ e
+        # words inside their classes
+        rows, edges, groups = self._inside(goal, cls, on)
+        mine = np.ascontiguousarray(flat[:, rows].T)
+        e, total = self._own(mine, edges, groups)
+        e /= total[:, None]
+        at = np.arange(len(rows)), (goal[rows] - 1 - RARE) % CLASS_WORDS
+        loss -= np.log(e[at]).sum()
+        e[at] -= 1
+        grad["w"], grad["bw"], back = np.zeros_like(p["w"]), np.zeros_like(p["bw"]), np.empty_like(mine)
+        for k, a, b in zip(groups.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            np.matmul(mine[a:b].T, e[a:b], out=grad["w"][k])
+            grad["bw"][k] = e[a:b].sum(0)
+            np.matmul(e[a:b], p["w"][k].T, out=back[a:b])
+        dh[:, rows] += back.T
+        # back through time
+        dh = np.ascontiguousarray(dh.reshape(d, steps, streams).transpose(1, 0, 2))
+        z, r, gn = gates[:, :d], gates[:, d : 2 * d], gates[:, 2 * d :]
+        slope = 1 - new * new
+        slope *= 1 - z
+        through = np.empty((steps, 3, d, streams), hs.dtype)
+        np.subtract(before, new, out=through[:, 0])
+        through[:, 0] *= z
+        through[:, 0] *= 1 - z
+        np.multiply(slope, r, out=through[:, 2])
+        np.multiply(through[:, 2], gn, out=through[:, 1])
+        through[:, 1] *= 1 - r
+        some, keep = fresh.any(1), (~fresh).astype(hs.dtype)
+        carried = np.zeros((d, streams), hs.dtype)
+        for t in range(steps - 1, -1, -1):
+            now = dh[t]
+            now += carried
+            through[t] *= now
+            carried = p["u"] @ through[t].reshape(3 * d, streams)
+            carried += now * z[t]
+            if some[t]:
+                carried *= keep[t]
+        dg = through.reshape(steps, 3 * d, streams)
+        grad["u"], grad["bu"] = np.matmul(before, dg.transpose(0, 2, 1)).sum(0), dg.sum((0, 2))
+        slope *= dh  # what comes to the new state's own input, which the reset gate does not scale
+        dx = np.empty((steps, streams, 3 * d), hs.dtype)
+        dx[..., : 2 * d] = dg[:, : 2 * d].transpose(0, 2, 1)
+        dx[..., 2 * d :] = slope.transpose(0, 2, 1)
+        order = by_value(inputs.ravel())
+        ranked = inputs.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        grad["x"] = np.zeros_like(p["x"])
+        grad["x"][ranked[first]] = np.add.reduceat(dx.reshape(-1, 3 * d)[order], first, 0)
+        return {k: grad[k] / n for k in p}, hs[-1], float(loss) / n
+
+    def train(self, docs: list[np.ndarray], epochs: int = 1, rate: float = RATE, seed: int = 5) -> list[float]:
         """Passes over all tokens of ``docs``; losses by epoch."""
         adam = Adam.of(self)
-        return [self.train_once(docs, adam, epoch, epochs, rate, seed) for epoch in range(epochs)]
+        return [self.train_on(docs, adam, epoch / epochs, 1 / epochs, rate, seed + epoch) for epoch in range(epochs)]
 
-    def train_once(self, docs: list[np.ndarray], adam: Adam, epoch: int = 0, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> float:
+    def train_on(self, docs: list[np.ndarray], adam: Adam, begin: float = 0.0, span: float = 1.0, rate: float = RATE, seed: int = 5) -> float:
         """One pass of Adam over windows of STEPS tokens of STREAMS streams of documents, to the end of the longest
-        stream; the loss. Windows in which few streams are left add up until they have half the tokens of a full one."""
-        rng = np.random.default_rng([seed, epoch])
+        stream; the loss. Windows in which few streams are left add up until they have half the tokens of a full one.
+        The rate falls from the share ``begin`` of the whole training to ``begin + span``."""
+        rng = np.random.default_rng(seed)
         total = sum(map(len, docs))
-        h, loss, done, held, tokens = np.zeros((min(STREAMS, len(docs)), self.hidden), np.float32), 0.0, 0, None, 0
-        for inputs, targets, fresh, live in windows([docs[i] for i in rng.permutation(len(docs))], STREAMS, STEPS):
-            grad, h, mean = self.gradients(inputs, targets, fresh, h[: inputs.shape[1]], live)
+        h, loss, done, held, tokens = np.zeros((self.hidden, min(STREAMS, len(docs))), np.float32), 0.0, 0, None, 0
+        full = min(STREAMS * STEPS, total)
+        for inputs, targets, fresh, live, _ in windows([docs[i] for i in rng.permutation(len(docs))], STREAMS, STEPS):
+            grad, h, mean = self.gradients(inputs, targets, fresh, h[:, : inputs.shape[1]], live)
             n = int(live.sum())
             done, loss = done + n, loss + mean * n
-            if held is not None or n < STREAMS * STEPS // 2:
+            if held is not None or n < full // 2:
                 held = {k: g * n + (held[k] if held else 0) for k, g in grad.items()}
                 tokens += n
-                if tokens < STREAMS * STEPS // 2 and done < total:
+                if tokens < full // 2 and done < total:
                     continue
                 grad, held, tokens = {k: (g / tokens).astype(np.float32) for k, g in held.items()}, None, 0
-            adam.update(self, grad, rate * max(0.05, 1 - (epoch + done / total) / epochs))
+            adam.update(self, grad, rate * max(0.05, 1 - min(1.0, begin + span * done / total)))
         return loss / max(total, 1)
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -193,15 +247,11 @@ class Gru:
         out = np.zeros(len(docs))
         if not docs:
             return out
-        inputs, targets, fresh, live, owner = lay_out(docs, SLOTS)
-        h = np.zeros((inputs.shape[1], self.hidden), np.float32)
-        for at in range(0, len(inputs), WINDOW):
-            s = slice(at, at + WINDOW)
-            used = int(np.flatnonzero(live[s].any(0))[-1]) + 1  # slots are ordered by length
-            hs, _ = self.states(inputs[s, :used], fresh[s, :used], h[:used])
-            h = hs[-1]
-            on = live[s, :used]
-            out += np.bincount(owner[s, :used][on], self.log_probs(hs[on], targets[s, :used][on]), len(docs))
+        h = np.zeros((self.hidden, min(SLOTS, len(docs))), np.float32)
+        for inputs, targets, fresh, live, owner in windows(docs, SLOTS, WINDOW):
+            hs, _ = self.states(inputs, fresh, h[:, : inputs.shape[1]])
+            h, on = hs[-1], np.flatnonzero(live)
+            out += np.bincount(owner[live], self.log_probs(hs.transpose(1, 0, 2).reshape(self.hidden, -1)[:, on], targets.ravel()[on]), len(docs))
         return out
 
 
@@ -254,45 +304,26 @@ def deal(lengths: np.ndarray, slots: int) -> list[list[int]]:
 
 
 def windows(docs: list[np.ndarray], slots: int, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(inputs, targets, fresh, live), each (time, stream), of all tokens of documents laid out in streams: window
-    after window, of the streams that still go on."""
-    streams = deal(np.array([len(d) for d in docs]), slots)
+    """(inputs, targets, fresh, live, owner), each (time, stream), of all tokens of documents laid out in streams: window
+    after window, of the streams that still go on. The input before a document is the end."""
+    lengths = np.array([len(d) for d in docs])
+    streams = deal(lengths, slots)
     if not streams:
         return
-    order = [d for s in streams for d in s]
+    order = np.array([d for s in streams for d in s])
     targets = np.concatenate([docs[d] for d in order])
     before = np.append(0, targets[:-1])  # a document's last symbol is the end, which is the input before the next
+    owner = np.repeat(order, lengths[order]).astype(np.int32)
     fresh = np.zeros(len(targets), bool)
-    fresh[np.append(0, np.cumsum([len(docs[d]) for d in order])[:-1])] = True
-    size = np.array([sum(len(docs[d]) for d in s) for s in streams])
+    fresh[np.append(0, np.cumsum(lengths[order])[:-1])] = True
+    size = np.array([int(lengths[s].sum()) for s in streams])
     begin = np.cumsum(size) - size
     for at in range(0, int(size[0]), steps):
         used = int(np.searchsorted(-size, -at, "left"))
         time = np.arange(at, min(at + steps, int(size[0])))[:, None]
         live = time < size[:used]
         place = np.where(live, begin[:used] + time, 0)
-        yield before[place], np.where(live, targets[place], 0), fresh[place] & live, live
-
-
-def lay_out(docs: list[np.ndarray], slots: int) -> tuple[np.ndarray, ...]:
-    """Documents (symbols, end last) end to end in up to ``slots`` streams of like length, longest stream first:
-    (inputs, targets, fresh, live, owner), each (time, stream). The input before a document is the end."""
-    lengths = np.array([len(d) for d in docs])
-    streams = deal(lengths, slots)
-    slots = len(streams)
-    steps = max(sum(int(lengths[d]) for d in s) for s in streams)
-    inputs, targets, owner = (np.zeros((steps, slots), np.int32) for _ in range(3))
-    fresh, live = (np.zeros((steps, slots), bool) for _ in range(2))
-    for i, s in enumerate(streams):
-        at = 0
-        for d in s:
-            to = at + len(docs[d])
-            targets[at:to, i] = docs[d]
-            inputs[at + 1 : to, i] = docs[d][:-1]
-            owner[at:to, i] = d
-            fresh[at, i], live[at:to, i] = True, True
-            at = to
-    return inputs, targets, fresh, live, owner
+        yield before[place], np.where(live, targets[place], 0), fresh[place] & live, live, owner[place]
 
 
 @dataclass
@@ -352,65 +383,6 @@ def symbols_of(words: tk.Words, head: Head) -> tuple[np.ndarray, np.ndarray, np.
     return h, at, np.where(s > 0, s, rare).astype(np.int32)
 
 
-def _symbols(head: Head, kind: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in tk.slices(batch.column("text")):
-                w = tk.split_words(batch.column("text").slice(lo, hi - lo), lower=True)
-                _, _, s = symbols_of(w, head)
-                out = [np.append(s[a:b], 0).astype(kind).tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                yield pa.record_batch([batch.column("shard").slice(lo, hi - lo), pa.array(out, pa.binary())], ["shard", "s"])
-
-    return run
-
-
-def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """Documents of each shard, in an order of their own, from rows (shard, s) sorted by shard."""
-    docs, last = [], None
-    for batch in batches:
-        for shard, s in zip(batch.column("shard").to_pylist(), batch.column("s").to_pylist(), strict=True):
-            if shard != last and docs:
-                yield sorted(docs)
-                docs = []
-            docs.append(s)
-            last = shard
-    if docs:
-        yield sorted(docs)
-
-
-def _train(gru: Gru, adam: Adam, epoch: int, kind: str) -> Callable:
-    """Tokens of a task's shards, and the sum of what they make of the weights, times their tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sums = 0, 0.0
-        for shard in shards_of(batches):
-            docs = [np.frombuffer(x, kind).astype(np.int32) for x in shard]
-            mine, state = copy.deepcopy((gru, adam))
-            mine.train_once(docs, state, epoch)
-            n = sum(map(len, docs))
-            tokens, sums = tokens + n, sums + pack(mine, state) * n
-        if tokens:
-            yield pa.record_batch([pa.array([tokens], pa.int64()), pa.array([sums.astype("<f8").tobytes()], pa.binary())], ["tokens", "sums"])
-
-    return run
-
-
-def train(rows: DataFrame, gru: Gru, head: Head, shards: int) -> int:
-    """Train on all ``rows`` (doc_id, text), dealt into ``shards``; the tokens of one pass. The driver holds
-    weights only, those of one task at a time."""
-    kind = "<u2" if 1 + RARE + gru.n_top <= 1 << 16 else "<i4"
-    shard = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(shards)).cast("int").alias("shard")
-    dealt = materialize(rows.select(shard, "text").mapInArrow(_symbols(head, kind), "shard int, s binary"), "symbols")
-    adam, tokens = Adam.of(gru), 0
-    for epoch in range(EPOCHS):
-        found = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_train(gru, adam, epoch, kind), "tokens long, sums binary")
-        tokens, sums = 0, 0.0
-        for r in materialize(found, "weights").toLocalIterator():
-            tokens, sums = tokens + r["tokens"], sums + np.frombuffer(r["sums"], "<f8")
-        unpack(sums / tokens, gru, adam)
-    return tokens
-
-
 @dataclass
 class Model:
     gru: Gru
@@ -426,7 +398,11 @@ class Model:
         return float(np.log10(self.tokens + SMOOTH * (self.distinct + 1)))
 
 
-def _score(model: Model) -> Callable:
+#: Rows of ``encode``: the symbols and all that counts say of a text. ``round`` and ``shard`` are null for a text not to be learned from.
+ENCODED = "row long, doc_id long, round int, shard int, n_tokens long, known long, base double, inside double, s binary, tail array<long>, times array<long>"
+
+
+def _encode(model: Model, kind: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
         head, total = model.head, model.log_total()
@@ -434,39 +410,119 @@ def _score(model: Model) -> Callable:
         share = np.log10(model.rare_tokens + SMOOTH * (model.rare_words + 1))
         end = np.log10(model.ends + SMOOTH)
         for batch in batches:
-            for lo, hi in tk.slices(batch.column("text"), 32 << 20):
-                docs, base, score, known, tail_h, tail_n, ends = [], [], [], [], [], [], [0]
-                for a, b in tk.slices(batch.column("text").slice(lo, hi - lo)):
-                    w = tk.split_words(batch.column("text").slice(lo + a, b - a), lower=True)
-                    h, at, s = symbols_of(w, head)
-                    in_head = at >= 0
-                    # a word of the head adds its count; its class' total is taken off; the others' counts are joined
-                    mine = np.where(in_head, logs[np.maximum(at, 0)], 0.0) if len(logs) else np.zeros(len(h))
-                    inside = np.where(s <= RARE, mine - share[np.minimum(s, RARE)], 0.0)
-                    for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                        docs.append(np.append(s[i:j], 0))
-                        base.append(mine[i:j].sum() + end - (j - i + 1) * total)
-                        score.append(inside[i:j].sum())
-                        known.append(int(in_head[i:j].sum()) + (model.ends > 0))
-                        t, n = np.unique(h[i:j][~in_head[i:j]], return_counts=True)
-                        tail_h.append(t)
-                        tail_n.append(n)
-                        ends.append(ends[-1] + len(t))
-                n = len(docs)
-                score = np.array(score) + model.gru.score(docs) / np.log(10)
-                ends = pa.array(ends, pa.int32())
-                th = pa.ListArray.from_arrays(ends, pa.array(tk.signed(np.concatenate(tail_h)) if n else np.zeros(0, np.int64)))
-                tn = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tail_n) if n else np.zeros(0, np.int64), pa.int64()))
-                cols = [pa.array(row + np.arange(n)), batch.column("doc_id").slice(lo, hi - lo), pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), th, tn]
-                yield pa.record_batch(cols, ["row", "doc_id", "n_tokens", "known", "base", "lm", "tail", "times"])
+            for lo, hi in tk.slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                w = tk.split_words(part.column("text"), lower=True)
+                h, at, s = symbols_of(w, head)
+                in_head = at >= 0
+                # a word of the head adds its count; its class' total is taken off; the others' counts are joined
+                mine = np.where(in_head, logs[np.maximum(at, 0)], 0.0) if len(logs) else np.zeros(len(h))
+                mine_inside = np.where(s <= RARE, mine - share[np.minimum(s, RARE)], 0.0)
+                n = len(part)
+                doc = np.repeat(np.arange(n), np.diff(w.first))
+                words = np.diff(w.first)
+                base = np.bincount(doc, mine, n) + end - (words + 1) * total
+                known = np.bincount(doc[in_head], minlength=n) + (model.ends > 0)
+                # words beyond the head, each once for a text with its number of times
+                rest = np.flatnonzero(~in_head)
+                rest = rest[np.lexsort((h[rest], doc[rest]))]
+                new = np.flatnonzero(np.concatenate([[True], (h[rest][1:] != h[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1])])) if len(rest) else rest
+                times = np.diff(np.append(new, len(rest)))
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(doc[rest[new]], minlength=n))).astype(np.int32))
+                symbols = s.astype(kind)
+                raw = [symbols[i:j].tobytes() + b"\0" * symbols.itemsize for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+                cols = [
+                    pa.array(row + np.arange(n)), part.column("doc_id"), part.column("round"), part.column("shard"), pa.array(words + 1), pa.array(known), pa.array(base),
+                    pa.array(np.bincount(doc, mine_inside, n)), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(tk.signed(h[rest[new]]))),
+                    pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64))),
+                ]
+                yield pa.record_batch(cols, ["row", "doc_id", "round", "shard", "n_tokens", "known", "base", "inside", "s", "tail", "times"])
                 row += n
 
     return run
 
 
-def learn(rows: DataFrame, max_tokens: int = MAX_TOKENS, top: int = TOP, head_words: int = HEAD) -> tuple[Model, DataFrame]:
-    """(model, counts: h, rare, c) from ``rows`` (doc_id, text). Counts are those of all rows, and the gated
-    units learn from all of them too, in shards of about ``max_tokens`` tokens."""
+def kind_of(model: Model) -> str:
+    return "<u2" if 1 + RARE + model.gru.n_top <= 1 << 16 else "<i4"
+
+
+def encode(docs: DataFrame, model: Model, learned: Column | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """A table of ENCODED for every row of ``docs`` (doc_id, text), in folders by round. Rows with ``learned`` are dealt to
+    shards of about ``max_tokens`` tokens; without it no row is learned from."""
+    shards = max(1, min(MAX_SHARDS, -(-model.tokens // max_tokens)))
+    rounds = min(ROUNDS, shards)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), (F.lit(False) if learned is None else learned).alias("learned"))
+    dealt = F.when(F.col("learned"), F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(shards)))
+    rows = rows.select("doc_id", "text", F.pmod(dealt, F.lit(rounds)).cast("int").alias("round"), F.floor(dealt / rounds).cast("int").alias("shard"))
+    return materialize(rows.mapInArrow(_encode(model, kind_of(model)), ENCODED), "encoded", ["round"])
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], kind: str, limit: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(shard, documents) of rows (shard, s) sorted by shard: a shard's documents piece by piece, each of about ``limit`` tokens."""
+    docs, size, last = [], 0, None
+    for batch in batches:
+        for shard, s in zip(batch.column("shard").to_pylist(), batch.column("s"), strict=True):
+            if docs and (shard != last or size >= limit):
+                yield last, docs
+                docs, size = [], 0
+            docs.append(np.frombuffer(s.as_buffer(), kind).astype(np.int32))
+            size, last = size + len(docs[-1]), shard
+    if docs:
+        yield last, docs
+
+
+def _train(gru: Gru, adam: Adam, begin: float, span: float, expected: float, kind: str) -> Callable:
+    """Tokens of a task's shards, and the sum of what they make of the weights, times their tokens. ``span`` is a
+    round's share of the training and ``expected`` a shard's tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sums, last, mine, state, done = 0, 0.0, None, None, None, 0
+        for shard, docs in pieces_of(batches, kind, MAX_TOKENS):
+            if shard != last:
+                if done:
+                    tokens, sums = tokens + done, sums + pack(mine, state) * done
+                (mine, state), last, done = copy.deepcopy((gru, adam)), shard, 0
+            n = sum(map(len, docs))
+            mine.train_on(docs, state, begin + span * min(1.0, done / expected), span * min(1.0, n / expected), seed=done)
+            done += n
+        if done:
+            tokens, sums = tokens + done, sums + pack(mine, state) * done
+            yield pa.record_batch([pa.array([tokens], pa.int64()), pa.array([sums.astype("<f8").tobytes()], pa.binary())], ["tokens", "sums"])
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, sums = 0, 0.0
+    for batch in batches:
+        for n, s in zip(batch.column("tokens").to_pylist(), batch.column("sums"), strict=True):
+            tokens, sums = tokens + n, sums + np.frombuffer(s.as_buffer(), "<f8")
+    if tokens:
+        yield pa.record_batch([pa.array([tokens], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["tokens", "sums"])
+
+
+def fit(encoded: DataFrame, model: Model, max_tokens: int = MAX_TOKENS) -> None:
+    """Train the model's weights on all rows of ``encoded`` that have a shard, each token once. The driver gets SUMS
+    sums of weights a round."""
+    shards = max(1, min(MAX_SHARDS, -(-model.tokens // max_tokens)))
+    rounds = min(ROUNDS, shards)
+    adam, kind = Adam.of(model.gru), kind_of(model)
+    for r in range(rounds):
+        rows = encoded.where(F.col("round") == r).select("shard", "s")
+        dealt = rows.repartitionById(-(-(shards - r) // rounds), F.col("shard")).sortWithinPartitions("shard", F.xxhash64("s"), "s")
+        step = _train(model.gru, adam, r / rounds, 1 / rounds, model.tokens / shards, kind)
+        found = materialize(dealt.mapInArrow(step, "tokens long, sums binary"), "weights")
+        tokens, sums = 0, 0.0
+        for x in found.coalesce(SUMS).mapInArrow(_add, "tokens long, sums binary").toLocalIterator():
+            tokens, sums = tokens + x["tokens"], sums + np.frombuffer(x["sums"], "<f8")
+        discard(found)
+        if tokens:
+            unpack(sums / tokens, model.gru, adam)
+            model.trained += tokens
+
+
+def count_words(rows: DataFrame, top: int = TOP, head_words: int = HEAD) -> tuple[Model, DataFrame]:
+    """(model not trained yet, counts: h, rare, c) from all ``rows`` (doc_id, text)."""
     counts = rows.select("text").mapInArrow(_count, "h long, rare int, c long").groupBy("h", "rare").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "counts")
     best = counts.orderBy(F.desc("c"), "h").limit(head_words).toArrow()
@@ -484,31 +540,67 @@ def learn(rows: DataFrame, max_tokens: int = MAX_TOKENS, top: int = TOP, head_wo
     np.subtract.at(words, rare[:n_top], 1)
     gru = Gru(max(n_top, 1))
     gru.start_from(np.concatenate([[ends], tokens[1:], c[:n_top] if n_top else [0]]))
-    trained = train(rows, gru, head, -(-n // max_tokens)) if ends else 0
-    return Model(gru, head, n, v, ends, tokens, words, trained), counts
+    return Model(gru, head, n, v, ends, tokens, words), counts
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row, all tokens of its whole text.
+def learn(rows: DataFrame, max_tokens: int = MAX_TOKENS, top: int = TOP, head_words: int = HEAD) -> tuple[Model, DataFrame]:
+    """(model, counts: h, rare, c) from ``rows`` (doc_id, text). Counts are those of all rows, and the gated
+    units learn from all of them too, in shards of about ``max_tokens`` tokens."""
+    model, counts = count_words(rows, top, head_words)
+    encoded = encode(rows, model, F.lit(True), max_tokens)
+    fit(encoded, model, max_tokens)
+    discard(encoded)
+    return model, counts
 
-    Null and empty texts have one token, the end. Equal rows are scored each. Without training
-    text, base_score is that of N = V = 0 and the model is the one it starts from.
-    """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    schema = "row long, doc_id long, n_tokens long, known long, base double, lm double, tail array<long>, times array<long>"
-    found = materialize(rows.mapInArrow(_score(model), schema), "scored")
+
+def _score(gru: Gru, kind: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in tk.slices(batch.column("s"), SCORE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                lm = gru.score([np.frombuffer(x.as_buffer(), kind).astype(np.int32) for x in part.column("s")]) / np.log(10)
+                cols = [part.column(c) for c in ("row", "doc_id", "n_tokens", "known", "base")]
+                inside = part.column("inside").to_numpy()
+                yield pa.record_batch([*cols, pa.array(lm + inside)], ["row", "doc_id", "n_tokens", "known", "base", "lm"])
+
+    return run
+
+
+def score_encoded(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    schema = "row long, doc_id long, n_tokens long, known long, base double, lm double"
+    found = encoded.select("row", "doc_id", "n_tokens", "known", "base", "inside", "s").mapInArrow(_score(model.gru, kind_of(model)), schema)
     least = int(model.head.counts.min()) if len(model.head.counts) else 0
-    tail = found.select("row", F.explode(F.arrays_zip(F.col("tail").alias("h"), F.col("times").alias("k"))).alias("t")).select("row", "t.h", "t.k")
+    tail = encoded.select("row", F.explode(F.arrays_zip(F.col("tail").alias("h"), F.col("times").alias("k"))).alias("t")).select("row", "t.h", "t.k")
     joined = tail.join(counts.where(F.col("c") <= least).select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = joined.groupBy("row").agg(
         F.sum(F.col("k") * F.log10(F.col("c") + F.lit(SMOOTH))).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more")
     )
     rest, more = F.coalesce("rest", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return found.drop("tail", "times").join(sums, "row", "left").select(
+    return found.join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + rest).alias("base_score"), (F.col("lm") + rest).alias("score"),
     )
 
 
+def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row, all tokens of its whole text.
+
+    Null and empty texts have one token, the end. Equal rows are scored each. Without training
+    text, base_score is that of N = V = 0 and the model is the one it starts from.
+    """
+    return score_encoded(encode(docs, model), model, counts)
+
+
+def learn_and_score(docs: DataFrame, learned: Column) -> DataFrame:
+    """``score`` of every row of ``docs`` under the model of the rows with ``learned``; texts are encoded once for both.
+    Rows for which ``learned`` is null are not learned from."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
+    model, counts = count_words(rows.where("learned").select("doc_id", "text"))
+    encoded = encode(rows, model, F.col("learned"))
+    fit(encoded, model)
+    return score_encoded(encoded, model, counts)
+
+
 def training(docs: DataFrame, of: int = 10) -> DataFrame:
+    """The rows (doc_id, text) to learn from; a null doc_id is not held out of anything and not learned from."""
     return docs.where(part(docs["doc_id"], of) != 0).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

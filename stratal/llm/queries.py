@@ -20,7 +20,7 @@ def tokenizer_path(name: str) -> str:
 
 
 #: For Python workers: freed memory goes back to the machine, and a worker's arithmetic stays on its own core.
-WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576", "OPENBLAS_NUM_THREADS": "1"}
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_MMAP_THRESHOLD_": "16777216", "OPENBLAS_NUM_THREADS": "1"}
 
 
 def find_package(spark: SparkSession) -> None:
@@ -148,8 +148,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, counts = gru_lm.learn(gru_lm.training(docs))
-    found = gru_lm.score(docs, model, counts)
+    found = gru_lm.learn_and_score(docs, langid.part(docs["doc_id"], 10) != 0)
     held_out = quality.held_out(found["doc_id"], 10, 0).alias("held_out")
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -707,19 +707,19 @@ def test_gru_is_a_distribution_and_gradients_are_right():
     for k in m.p:
         m.p[k] = rng.normal(size=m.p[k].shape) * 0.4
     m.start_from(rng.integers(1, 50, 87))
-    h = rng.normal(size=(1, 6))
+    h = rng.normal(size=(6, 1))
     every = np.arange(87)
-    assert math.isclose(np.exp(m.log_probs(np.repeat(h, 87, 0), every)).sum(), 1.0, abs_tol=1e-4)
+    assert math.isclose(np.exp(m.log_probs(np.repeat(h, 87, 1), every)).sum(), 1.0, abs_tol=1e-4)
     inputs, targets = rng.integers(0, 87, (5, 3)), rng.integers(0, 87, (5, 3))
     fresh = np.zeros((5, 3), bool)
     fresh[0], fresh[2, 1] = True, True
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
 
     def loss():
-        hs, _ = m.states(inputs, fresh, np.zeros((3, 6)))
-        return -m.log_probs(hs.reshape(-1, 6).astype(np.float64), targets.ravel()).mean()
+        hs, _ = m.states(inputs, fresh, np.zeros((6, 3)))
+        return -m.log_probs(hs.transpose(1, 0, 2).reshape(6, -1), targets.ravel()).mean()
 
-    grad, _, value = m.gradients(inputs, targets, fresh, np.zeros((3, 6)))
+    grad, _, value = m.gradients(inputs, targets, fresh, np.zeros((6, 3)))
     assert math.isclose(value, loss(), rel_tol=1e-4)
     for k in m.p:
         flat, g = m.p[k].reshape(-1), grad[k].reshape(-1)
