@@ -1,12 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, weighted-shingle check.
 
-Every benchmark item is compared with the windows of its own number of words. Only windows
-that hold a shingle of the benchmark are fingerprinted: without one their similarity is 0.
-A fingerprint's BLOCKS bytes index the items; two fingerprints within RADIUS bits agree in some
-byte up to RADIUS // BLOCKS bits, so looking up all such bytes misses none. A similar pair may lie
-beyond the radius, above all where items share much text of little weight; so windows that have
-the share SIMILARITY of their weight in shingles of the items of their size are compared with these
-by the shingles' postings as well, which misses none. What is found is then judged by exact weighted Jaccard.
+Every benchmark item is compared with the windows of its own number of words. A similar window has the
+share SIMILARITY of its weight in shingles of the items of its size; only windows that do are fingerprinted.
+A fingerprint has BITS bits in blocks of two bytes, and each block has a table of the items' values. Two
+fingerprints within RADIUS bits agree in some block up to RADIUS // blocks bits, so looking up all values
+so close to a window's, block by block, misses none; unrelated items are rarely met. A similar pair may
+lie beyond the radius, above all where items share much text of little weight; so windows are compared with
+the items by the shingles' postings as well, which misses none. What is found is judged by exact weighted Jaccard.
 """
 
 from __future__ import annotations
@@ -22,27 +22,60 @@ from stratal.llm import textkernel as tk
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCKS = 8
-#: Equal weights and a Jaccard of 0.8 make 10 of 64 bits differ on average; over 23 do in about one case of 100,000,
-#: with unequal weights in more. Pairs beyond it are found by their postings.
-RADIUS = 23
+BITS = 256
+BLOCKS = BITS // 16
+#: Equal weights and a Jaccard of 0.8 make 39 of 256 bits differ on average, with a deviation of six. A wider radius
+#: would meet more of the unrelated items in some block: within two bits of sixteen are 3 % of them, within three 16 %.
+RADIUS = 47
 #: Benchmark text in one index. A larger benchmark is searched index by index, each over all documents.
 INDEX_BYTES = 32 << 20
 
-_BYTES = np.arange(256, dtype=np.uint8)
-_ONES = np.unpackbits(_BYTES[:, None], axis=1).sum(1)
-_NEAR = _ONES[_BYTES[:, None] ^ _BYTES[None, :]] <= RADIUS // BLOCKS
+_VALUES = np.arange(1 << 16, dtype=np.uint16)
+_ONES = np.bitwise_count(_VALUES)
+#: What a block's value may differ by.
+_MASKS = _VALUES[_ONES <= RADIUS // BLOCKS]
+_LANES = [np.uint64(x) for x in range(BITS // 64)]
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 and -1 for the 64 bits of each shingle's hash."""
-    raw = np.unpackbits(tk.mix64(shingles).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return raw.astype(np.float64) * 2 - 1
+    """+1 and -1 for the BITS bits of each shingle's hash."""
+    raw = np.stack([tk.mix64(shingles ^ (x << np.uint64(56))) for x in _LANES], 1).astype("<u8").view(np.uint8)
+    return np.unpackbits(raw.reshape(len(shingles), -1), axis=1).astype(np.float64) * 2 - 1
 
 
 def prints(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints, as BLOCKS bytes each, of summed weighted signs. Sums are rounded, so that their order is of no account."""
-    return np.packbits(np.round(sums, 6) > 0, axis=1)
+    """Fingerprints, as BLOCKS numbers each, of summed weighted signs. Sums are rounded, so that their order is of no account."""
+    return np.packbits(np.round(sums, 6) > 0, axis=1).view("<u2")
+
+
+class Blocks:
+    """Tables from a block's value to the fingerprints that have it."""
+
+    def __init__(self, marks: np.ndarray):
+        self.marks = marks
+        self.order = np.argsort(marks, axis=0, kind="stable")
+        self.values = np.take_along_axis(marks, self.order, 0)
+
+    def met(self, found: np.ndarray, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of ``found``, fingerprint) of all pairs that some block brings together, each once."""
+        for at in range(0, len(found), step):
+            part = found[at : at + step]
+            pairs = []
+            for b in range(BLOCKS):
+                values = self.values[:, b]
+                wanted = (part[:, b, None] ^ _MASKS).ravel()
+                lo = np.searchsorted(values, wanted, "left")
+                hit = np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == wanted)
+                many = np.searchsorted(values, wanted[hit], "right") - lo[hit]
+                pairs.append(np.repeat(hit // len(_MASKS), many) * len(self.marks) + self.order[tk.ranges(lo[hit], many), b])
+            each = np.unique(np.concatenate(pairs))
+            yield at + each // len(self.marks), each % len(self.marks)
+
+    def within(self, found: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(row of ``found``, fingerprint) of all pairs within RADIUS bits."""
+        for w, i in self.met(found):
+            close = _ONES[found[w] ^ self.marks[i]].sum(1, dtype=np.int64) <= RADIUS
+            yield from zip(w[close].tolist(), i[close].tolist(), strict=True)
 
 
 def pieces(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -58,7 +91,7 @@ class Index:
     weighed: np.ndarray  # sorted shingles whose weight is not that of a rare one
     weight: np.ndarray  # log(1 + items / items with the shingle)
     rare: float  # weight of a shingle that no item has, or one
-    groups: dict[int, tuple[list[int], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]  # words: ids, prints, counted shingles
+    groups: dict[int, tuple[list[int], Blocks, list[tuple[np.ndarray, np.ndarray]]]]  # words: ids, prints, counted shingles
     posts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words: sorted shingles, item's place and count of each; items' weights
 
     @classmethod
@@ -79,7 +112,7 @@ class Index:
             ids.append(item)
             marks.append(prints((signs(shingles) * (out.weights(shingles) * counts)[:, None]).sum(0)[None])[0])
             kept.append((shingles, counts))
-        out.groups = {n: (ids, np.array(marks), kept) for n, (ids, marks, kept) in out.groups.items()}
+        out.groups = {n: (ids, Blocks(np.array(marks)), kept) for n, (ids, marks, kept) in out.groups.items()}
         for n, (_, _, kept) in out.groups.items():
             shingles, counts = (np.concatenate([x[j] for x in kept]) for j in (0, 1))
             place, order = np.repeat(np.arange(len(kept)), [len(x[0]) for x in kept]), np.argsort(shingles, kind="stable")
@@ -107,29 +140,41 @@ class Index:
         w = self.weights(both)
         return float((w * np.minimum(mine, theirs)).sum() / (w * np.maximum(mine, theirs)).sum())
 
+    def heavy(self, n: int, local: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Which windows of ``size`` shingles of ``local`` from ``at`` on have the share SIMILARITY of their weight in shingles of items of ``n`` words."""
+        shingles, weight = self.posts[n][0], self.weights(local)
+        own = shingles[np.minimum(np.searchsorted(shingles, local), len(shingles) - 1)] == local
+        whole, mine = (np.append(0, np.cumsum(x)) for x in (weight, weight * own))
+        return np.flatnonzero(mine[at + size] - mine[at] >= SIMILARITY * (whole[at + size] - whole[at]) - 1e-6)
+
     def overlapping(self, n: int, local: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         """(window, item's place) of all pairs that reach SIMILARITY: windows of ``size`` shingles of ``local`` from ``at`` on, items of ``n`` words."""
         shingles, place, counts, totals = self.posts[n]
         weight = self.weights(local)
-        lo = np.searchsorted(shingles, local, "left")
-        own = shingles[np.minimum(lo, len(shingles) - 1)] == local
-        if not own.any():
-            return
-        whole, mine = (np.append(0, np.cumsum(x)) for x in (weight, weight * own))
-        whole, mine = whole[at + size] - whole[at], mine[at + size] - mine[at]
-        for w in np.flatnonzero(mine >= SIMILARITY * whole - 1e-6).tolist():
-            found, first, times = np.unique(local[at[w] : at[w] + size], return_index=True, return_counts=True)
-            a = np.searchsorted(shingles, found, "left")
-            many = np.searchsorted(shingles, found, "right") - a
-            posts, each = tk.ranges(a, many), np.repeat(np.arange(len(found)), many)
-            both = np.bincount(place[posts], weight[at[w] + first][each] * np.minimum(times[each], counts[posts]), len(totals))
-            for i in np.flatnonzero(both >= (SIMILARITY - 1e-6) * (whole[w] + totals - both)).tolist():
+        for w, a in enumerate(at.tolist()):
+            found, first, times = np.unique(local[a : a + size], return_index=True, return_counts=True)
+            lo = np.searchsorted(shingles, found, "left")
+            many = np.searchsorted(shingles, found, "right") - lo
+            posts, each = tk.ranges(lo, many), np.repeat(np.arange(len(found)), many)
+            both = np.bincount(place[posts], weight[a + first][each] * np.minimum(times[each], counts[posts]), len(totals))
+            for i in np.flatnonzero(both >= (SIMILARITY - 1e-6) * (weight[a : a + size].sum() + totals - both)).tolist():
                 yield w, i
 
+    def prints_of(self, local: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the windows, from running sums over each stretch of them."""
+        out = np.empty((len(at), BLOCKS), np.uint16)
+        parts = np.flatnonzero(np.concatenate([[True], np.diff(at) > size, [True]]))
+        for a, b in zip(parts[:-1].tolist(), parts[1:].tolist(), strict=True):
+            first = int(at[a])
+            own = local[first : int(at[b - 1]) + size]
+            sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs(own) * self.weights(own)[:, None], 0)])
+            out[a:b] = prints(sums[at[a:b] - first + size] - sums[at[a:b] - first])
+        return out
+
     def matches(self, words: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of a document's best window for each item it holds.
         ``hit``: places of known shingles of SHINGLE words."""
-        for n, (ids, marks, kept) in self.groups.items():
+        for n, (ids, blocks, kept) in self.groups.items():
             size = min(n, len(words))  # a document shorter than the item is one window
             k = min(SHINGLE, n)
             if k < SHINGLE:
@@ -145,15 +190,11 @@ class Index:
             starts = np.unique(tk.ranges(lo, hi - lo + 1))
             first, last = starts[0], starts[-1] + reach + 1
             local = pieces(words[first : last + k - 1])
-            sums = np.concatenate([np.zeros((1, 64)), np.cumsum(signs(local) * self.weights(local)[:, None], 0)])
             at = starts - first
-            found = prints(sums[at + reach + 1] - sums[at])
-            near = np.zeros((len(found), len(ids)), bool)
-            for b in range(BLOCKS):
-                near |= _NEAR[found[:, b]][:, marks[:, b]]
-            w, i = np.nonzero(near)
-            close = _ONES[found[w] ^ marks[i]].sum(1) <= RADIUS
-            pairs = {*zip(w[close].tolist(), i[close].tolist(), strict=True), *self.overlapping(n, local, at, reach + 1)}
+            at = at[self.heavy(n, local, at, reach + 1)]
+            if not len(at):
+                continue
+            pairs = {*blocks.within(self.prints_of(local, at, reach + 1)), *self.overlapping(n, local, at, reach + 1)}
             best: dict[int, tuple[float, int]] = {}
             for x, y in sorted(pairs):
                 x = int(at[x])

@@ -617,14 +617,31 @@ def test_matches_against_brute_force(spark):
     assert all(math.isclose(r["similarity"], want[r["doc_id"], r["item_id"]][0]) for r in got)
 
 
-def test_hamming_index_misses_none():
+def test_hamming_index_misses_none_and_excludes():
+    """All fingerprints within the radius are met in some block; of unrelated ones few are, and none is left after."""
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 256, 8, dtype=np.uint8)
-    for _ in range(300):
-        flips = np.zeros(64, np.uint8)
-        flips[rng.choice(64, rng.integers(0, decontam.RADIUS + 1), replace=False)] = 1
-        b = a ^ np.packbits(flips)
-        assert any(decontam._NEAR[x, y] for x, y in zip(a, b, strict=True))
+    marks = rng.integers(0, 1 << 16, (3000, decontam.BLOCKS)).astype(np.uint16)
+    found, want = [], set()
+    for i in range(300):
+        flips = np.zeros(decontam.BITS, np.uint8)
+        flips[rng.choice(decontam.BITS, rng.integers(0, decontam.RADIUS + 1), replace=False)] = 1
+        found.append(marks[i] ^ np.packbits(flips).view(np.uint16))
+        want.add((i, i))
+    blocks = decontam.Blocks(marks)
+    met = sum(len(w) for w, _ in blocks.met(np.array(found)))
+    assert set(blocks.within(np.array(found))) == want and met < 0.05 * 300 * 3000
+
+
+def test_similar_windows_are_mostly_within_the_radius():
+    """Of pairs with a similarity of 0.8 to 0.85 most are met by fingerprints; the others are found by postings."""
+    rng = np.random.default_rng(1)
+    near = 0
+    for _ in range(200):
+        a = rng.integers(0, 2**63, 100).astype(np.uint64)
+        b = np.concatenate([a[:90], rng.integers(0, 2**63, 10).astype(np.uint64)])
+        x, y = (decontam.prints(decontam.signs(s).sum(0)[None])[0] for s in (a, b))
+        near += int(np.bitwise_count(x ^ y).sum()) <= decontam.RADIUS
+    assert near > 180
 
 
 def test_items_of_shared_text_are_found_beyond_the_radius():
