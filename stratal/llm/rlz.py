@@ -2,11 +2,12 @@
 
 The reference is every document with a smaller doc_id, indexed by anchors: of the phrases of
 ANCHOR words in a window, the one of least hash. Equal windows have equal anchors, so the
-index can be dealt out by anchor, and a reference block is what one anchor's documents say
-around it. A document is factored greedily, anchor by anchor: the run of windows that share
-an anchor is one step, and it is copied whole when some earlier document has the same run.
-Steps at which a factor may begin or end (their anchor is known, their run is not) are
-checked window by window. Factors of ``window`` words or more are duplicate spans.
+index can be dealt out by anchor: an entry is a run of windows that share an anchor, with the
+first document that has this run and its place there. A document is factored from left to right:
+a factor copies the run at hand from its entry, and goes on through the runs that follow as long as the
+source goes on in step. Runs at which a factor may begin or end (their anchor is
+known, their run is not) are checked window by window, which lengthens factors up to their last
+common window. Factors of ``window`` words or more are duplicate spans.
 """
 
 from __future__ import annotations
@@ -91,14 +92,15 @@ def _windows(window: int) -> Callable:
 
 
 def later(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``rows`` (kept in a table) with ``lo``, the least doc_id of their key, where it has several documents.
-    The keys' side is a table too, so that Spark can split a key that very many rows have."""
-    least = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    """``rows`` (kept in a table) with ``lo``, the least doc_id of their key, and a place of the key there, where it has
+    several documents. The keys' side is a table too, so that Spark can split a key that very many rows have."""
+    least = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.min_by("at", "doc_id").alias("lo_at"), F.max("doc_id").alias("hi")).where("lo < hi")
     return rows.join(materialize(least.drop("hi"), name), keys)
 
 
 def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Copied windows of each document that has any: doc_id, mark, spans (array of ``at``, ``n``: first window and how many).
+    """Copied windows of each document that has any: doc_id, mark, spans (array of ``at``, ``n``: first window and how many;
+    ``lo``, ``lo_at``: the source document and the first window there).
 
     Null texts have no windows. Rows without a doc_id have no place in the order: nothing is
     copied from them or to them. Rows with equal doc_ids never copy from each other.
@@ -109,25 +111,60 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("run") != F.max("run")).alias("mixed")
     ).where("lo < hi").select("anchor", "mixed")
     known = materialize(found.join(materialize(shared, "anchors"), "anchor"), "known")
-    least = known.groupBy("anchor", "run").agg(F.min("doc_id").alias("lo"))
-    known = known.join(materialize(least, "least"), ["anchor", "run"]).select("doc_id", "mark", "at", "n", "lo", "mixed")
+    least = known.groupBy("anchor", "run").agg(F.min("doc_id").alias("lo"), F.min_by("at", "doc_id").alias("lo_at"))
+    known = known.join(materialize(least, "least"), ["anchor", "run"]).select("doc_id", "mark", "at", "n", "lo", "lo_at", "mixed")
     known = materialize(known.where("doc_id > lo OR mixed"), "judged")
-    whole = known.where("doc_id > lo").select("doc_id", "mark", "at", "n")
+    whole = known.where("doc_id > lo").select("doc_id", "mark", "at", "n", "lo", "lo_at")
     # a run's first document speaks for all: later ones have their windows already
     asks = known.where("doc_id = lo").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("asks"))
     windows = rows.join(asks, ["doc_id", "mark"]).mapInArrow(_windows(window), "doc_id long, mark int, at int, run long")
-    edges = later(materialize(windows, "edges"), ["run"], "edge-least").where("doc_id > lo").select("doc_id", "mark", "at", F.lit(1).alias("n"))
-    return whole.unionByName(edges).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    edges = later(materialize(windows, "edges"), ["run"], "edge-least").where("doc_id > lo").select("doc_id", "mark", "at", F.lit(1).alias("n"), "lo", "lo_at")
+    return whole.unionByName(edges).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n", "lo", "lo_at")).alias("spans"))
 
 
-def covered(n_words: int, found: list[dict], window: int) -> np.ndarray:
-    """Which words lie in a copied window."""
+def factored(found: list[dict], window: int) -> list[tuple[int, int, int, int]]:
+    """(first word, words, source document, first word there) of a document's factors, from left to right: a factor goes on
+    while the next copied windows have the same source in step."""
+    out: list[list[int]] = []
+    for x in sorted(found, key=lambda x: (x["at"], -x["n"])):
+        at, n, source, place = x["at"], x["n"], x["lo"], x["lo_at"]
+        if out and out[-1][2] == source and place - at == out[-1][3] - out[-1][0] and at <= out[-1][0] + out[-1][1] - window + 1:
+            out[-1][1] = max(out[-1][1], at + n - 1 + window - out[-1][0])
+        else:
+            out.append([at, n - 1 + window, source, place])
+    return [tuple(x) for x in out]
+
+
+def covered(n_words: int, factors: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Which words lie in a factor."""
     change = np.zeros(n_words + 1, np.int64)
-    np.add.at(change, [x["at"] for x in found], 1)
-    np.add.at(change, [x["at"] + x["n"] - 1 + window for x in found], -1)
+    np.add.at(change, [at for at, *_ in factors], 1)
+    np.add.at(change, [at + n for at, n, *_ in factors], -1)
     return np.cumsum(change[:-1]) > 0
 
 
+def _factors(window: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, *f) for d, found in zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), strict=True) for f in factored(found, window)]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "at", "n_words", "source_id", "source_at"])
+
+    return run
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return rows.withColumn("mark", F.hash("text"))
+
+
+def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The factors of every document: doc_id, at, n_words, source_id, source_at (places in words). The words are those of the
+    source, a document of smaller doc_id, from source_at on; null and short texts have none."""
+    found = spans(keyed(docs), window, anchor).select("doc_id", "spans")
+    return found.mapInArrow(_factors(window), "doc_id long, at long, n_words long, source_id long, source_at long")
+
+
 def _remove(window: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +173,7 @@ def _remove(window: int, with_text: bool) -> Callable:
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 n_words.append(len(words))
                 if found:
-                    drop = covered(len(words), found, window)
+                    drop = covered(len(words), factored(found, window))
                     gone.append(int(drop.sum()))
                     words = [words[i] for i in np.flatnonzero(~drop)]
                 else:
@@ -164,8 +201,7 @@ def remove_copies(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, w
     Windows are judged on the input. Null texts have no words; rows without a doc_id stay as they
     are. Only doc_id and text are read, so other columns may have any name.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = rows.withColumn("mark", F.hash("text"))
+    rows = keyed(docs)
     joined = rows.join(spans(rows, window, anchor), ["doc_id", "mark"], "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_remove(window, with_text), schema)

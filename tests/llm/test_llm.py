@@ -482,6 +482,33 @@ def test_removed_words_against_brute_force(spark, window, anchor):
             assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_factors_are_copies_of_earlier_documents(spark):
+    """Each factor's words are its source's; together they cover the copied windows; what one source gives in a row is one factor."""
+    rng = random.Random(6)
+    rows, base = [], [f"w{rng.randrange(400)}" for _ in range(400)]
+    for d in range(60):
+        w = [f"d{d}x{j}" for j in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            source = words(rows[rng.randrange(d)][1]) if d and rng.random() < 0.5 else base
+            at = rng.randrange(max(1, len(source) - 20))
+            w += source[at : at + rng.randint(5, 90)] + [f"d{d}y{len(w)}"]
+        rows.append((d, " ".join(w)))
+    rows += [(100, " ".join(f"long{j}" for j in range(300))), (101, "head " + " ".join(f"long{j}" for j in range(20, 280)))]
+    text = {d: words(t) for d, t in rows}
+    got = [tuple(r) for r in rlz.factors(spark.createDataFrame(rows, "doc_id long, text string"), 12, 4).collect()]
+    first = {}
+    for d, w in sorted(text.items()):
+        for j in range(len(w) - 11):
+            first.setdefault(tuple(w[j : j + 12]), d)
+    cover = {d: set() for d in text}
+    for d, at, n, source, place in got:
+        assert source < d and n >= 12 and text[d][at : at + n] == text[source][place : place + n]
+        cover[d].update(range(at, at + n))
+    for d, w in text.items():
+        assert cover[d] == {x for j in range(len(w) - 11) if first[tuple(w[j : j + 12])] < d for x in range(j, j + 12)}
+    assert [x for x in got if x[0] == 101] == [(101, 1, 260, 100, 20)] and len(got) > 40
+
+
 def test_removal_odd_rows(spark, odd, empty):
     rows = [(i, t) for i, t, _ in ODD]
     got = rlz.remove_copies(odd).collect()
