@@ -91,22 +91,26 @@ x AS (SELECT text FROM e UNION SELECT edited FROM e),
 w AS (
   SELECT text, list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda z: z <> '') AS w
   FROM x),
+common AS (
+  SELECT coalesce(list(word), []::VARCHAR[]) AS common FROM (
+    SELECT word FROM (SELECT unnest(list_distinct(w)) AS word FROM t JOIN w USING (text)) GROUP BY word ORDER BY count(*) DESC, word LIMIT %(anchors)d)),
 c AS (
-  SELECT text, w, list_filter(w, lambda z: z NOT IN (%(common)s)) AS c,
-         list_filter(list_transform(w, lambda z, i: CASE WHEN z IN (%(common)s) THEN i END), lambda i: i IS NOT NULL) AS p
-  FROM w),
+  SELECT text, w, list_filter(w, lambda z: NOT list_contains(common, z)) AS c,
+         list_filter(list_transform(w, lambda z, i: CASE WHEN list_contains(common, z) THEN i END), lambda i: i IS NOT NULL) AS p
+  FROM w, common),
 f AS (
   SELECT text, list_sort(list_distinct(list_concat(
     [substr(md5(CASE WHEN len(c) = 0 THEN '^ ' || text WHEN len(c) = 1 THEN '^ ' || c[1] ELSE '^ ' || c[1] || ' ' || c[2] END), 1, 8)],
-    list_filter(list_transform(p, lambda q, k: CASE WHEN q - k + 1 < len(c)
-      THEN substr(md5(w[q] || ' ' || c[q - k + 1] || ' ' || c[q - k + 2]), 1, 8) END), lambda h: h IS NOT NULL)))) AS f
+    CASE WHEN len(p) > 0 THEN list_filter(list_transform(p, lambda q, k: CASE WHEN q - k + 1 < len(c)
+      THEN substr(md5(w[q] || ' ' || c[q - k + 1] || ' ' || c[q - k + 2]), 1, 8) END), lambda h: h IS NOT NULL)
+    ELSE list_transform(range(2, len(c)), lambda i: substr(md5('* ' || c[i] || ' ' || c[i + 1]), 1, 8)) END))) AS f
   FROM c)
 SELECT e.doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
        array_to_string(a.f, '-') AS fingerprint, array_to_string(b.f, '-') AS edited_fingerprint,
        len(list_intersect(a.f, b.f))::DOUBLE / len(list_distinct(list_concat(a.f, b.f))) AS near_edited,
        len(list_intersect(a.f, d.f))::DOUBLE / len(list_distinct(list_concat(a.f, d.f))) AS near_next
 FROM e JOIN f AS a ON a.text = e.text JOIN f AS b ON b.text = e.edited JOIN f AS d ON d.text = e.nxt
-""" % {"common": spotsigs.COMMON}
+""" % {"anchors": spotsigs.ANCHORS}
 
 
 def op6_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:

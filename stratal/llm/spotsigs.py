@@ -1,9 +1,9 @@
 """SpotSigs document fingerprints, in DataFrame operations only.
 
-A spot signature is an anchor (a very common word) with the CHAIN content words that follow
-it, common words skipped; the start of a text is an anchor too, so that every text has a
-signature. The fingerprint is the sorted set of the signatures' hashes as one string, and the
-likeness of two fingerprints the Jaccard of the sets.
+A spot signature is an anchor (one of the words that most documents of the corpus contain) with
+the CHAIN content words that follow it, anchors skipped; the start of a text is an anchor too, so that
+every text has a signature, and in a text without anchors every word is one. The fingerprint is the
+sorted set of the signatures' hashes as one string, and the likeness of two fingerprints the Jaccard of the sets.
 """
 
 from __future__ import annotations
@@ -13,37 +13,41 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-#: Common words of English, German, French and Spanish.
-ANCHORS = (
-    "a an and are as at be but by for from has have he her his in is it not of on or she that the they this to was which will with you "
-    "auf das dem den der des die ein eine er für ist mit nicht sich sie und von zu "
-    "au ce dans de des du elle en est et il la le les ne pas par plus pour que qui se sur un une "
-    "al con del el es las lo los no para por su una y"
-)
+#: Words that serve as anchors.
+ANCHORS = 64
 CHAIN = 2
 #: A bucket of the doc_id order holds about so many rows, more if there would be over MAX_BUCKETS; the driver gets a number of each.
 BUCKET_ROWS = 2048
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 15
 
-COMMON = ", ".join(f"'{w}'" for w in sorted(set(ANCHORS.split())))
 _WORDS = r"filter(split(lower(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ')), ' '), x -> x <> '')"
 # transform(array(x), v -> ...)[0] binds x to v, so that it is evaluated once
 _SPOTS = f"""
 transform(array(named_struct('w', {_WORDS})), s ->
  transform(array(named_struct('w', s.w,
-   'c', filter(s.w, x -> NOT x IN ({COMMON})),
-   'p', filter(transform(s.w, (x, i) -> IF(x IN ({COMMON}), i, NULL)), i -> i IS NOT NULL))), v ->
+   'c', filter(s.w, x -> NOT x IN ({{common}})),
+   'p', filter(transform(s.w, (x, i) -> IF(x IN ({{common}}), i, NULL)), i -> i IS NOT NULL))), v ->
   array_join(sort_array(array_distinct(concat(
    array(substr(md5(CASE WHEN size(v.c) = 0 THEN concat('^ ', {{t}}) WHEN size(v.c) = 1 THEN concat('^ ', v.c[0])
                          ELSE concat_ws(' ', '^', v.c[0], v.c[1]) END), 1, 8)),
-   filter(transform(v.p, (q, k) -> IF(q - k + 1 < size(v.c),
-     substr(md5(concat_ws(' ', v.w[q], v.c[q - k], v.c[q - k + 1])), 1, 8), NULL)), h -> h IS NOT NULL)))), '-'))[0])[0]
+   CASE WHEN size(v.p) > 0 THEN
+     filter(transform(v.p, (q, k) -> IF(q - k + 1 < size(v.c),
+       substr(md5(concat_ws(' ', v.w[q], v.c[q - k], v.c[q - k + 1])), 1, 8), NULL)), h -> h IS NOT NULL)
+    WHEN size(v.c) > 2 THEN transform(sequence(1, size(v.c) - 2), i -> substr(md5(concat_ws(' ', '*', v.c[i], v.c[i + 1])), 1, 8))
+    ELSE CAST(array() AS array<string>) END))), '-'))[0])[0]
 """
 
 
-def fingerprint(text: str) -> Column:
+def common_words(text: DataFrame, n: int = ANCHORS) -> list[str]:
+    """The ``n`` words that most rows of ``text`` (a string column of that name, no nulls) contain; the lesser word first among equals."""
+    words = text.select(F.explode(F.array_distinct(F.expr(_WORDS.format(t="text")))).alias("word"))
+    return [r["word"] for r in words.groupBy("word").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "word").limit(n).collect()]
+
+
+def fingerprint(text: str, anchors: list[str]) -> Column:
     """Of the string column named ``text`` (no nulls). The k-th anchor stands before content word place - k."""
-    return F.expr(_SPOTS.format(t=text))
+    # words are letters and digits, so they need no quoting
+    return F.expr(_SPOTS.format(t=text, common=", ".join(f"'{w}'" for w in anchors) or "NULL").replace("x IN (NULL)", "false"))
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -92,16 +96,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text ends with the first floor(n_chars / 3) signs of the next document's instead
-    of as many of its own. Null texts are empty; a single row is its own next. Only doc_id and
+    of as many of its own. Anchors are the words that most texts contain. Null texts are empty; a single row is its own next. Only doc_id and
     text are read. Many rows of one doc_id would stand in one range: doc_id is taken for a key.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("fingerprint", fingerprint("text"))
+    anchors = common_words(rows)
+    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("fingerprint", fingerprint("text", anchors))
     near = with_next(rows, ["text", "fingerprint"])
     cut = near.withColumn("n_chars", F.char_length("text").cast("long")).withColumn(
         "edited", F.expr("concat(substring(text, 1, CAST(n_chars - n_chars DIV 3 AS INT)), substring(next_text, 1, CAST(n_chars DIV 3 AS INT)))")
     )
-    both = cut.withColumn("edited_fingerprint", fingerprint("edited"))
+    both = cut.withColumn("edited_fingerprint", fingerprint("edited", anchors))
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
@@ -117,7 +122,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     n - ceil(threshold * n) + 1 signatures; lengths are compared before the sets are.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    members = rows.select("doc_id", fingerprint("text").alias("fingerprint"))
+    members = rows.select("doc_id", fingerprint("text", common_words(rows)).alias("fingerprint"))
     sets = members.select("fingerprint").distinct().withColumn("spots", F.split("fingerprint", "-")).withColumn("n", F.size("spots"))
     sets = sets.withColumn("id", F.xxhash64("fingerprint")).withColumn("step", F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold))))
     spots = sets.select("id", "n", "step", F.explode("spots").alias("spot"))

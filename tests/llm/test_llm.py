@@ -380,9 +380,17 @@ def test_shards_odd_rows(odd, empty, spark):
 # --- 5 fingerprints
 
 
-def brute_fingerprint(text):
-    common = set(spotsigs.ANCHORS.split())
-    w = [x for x in re.sub(r"[\W_]+", " ", text).lower().split(" ") if x]
+def plain_words(text):
+    return [x for x in re.sub(r"[\W_]+", " ", text).lower().split(" ") if x]
+
+
+def brute_anchors(texts):
+    c = Counter(x for t in texts for x in set(plain_words(t)))
+    return set(sorted(c, key=lambda x: (-c[x], x.encode()))[: spotsigs.ANCHORS])
+
+
+def brute_fingerprint(text, common):
+    w = plain_words(text)
     md = lambda s: hashlib.md5(s.encode()).hexdigest()[:8]
     content = [x for x in w if x not in common]
     sigs = {md(" ".join(["^", *content[:2]]) if content else "^ " + text)}
@@ -390,22 +398,33 @@ def brute_fingerprint(text):
         chain = [y for y in w[i:] if y not in common][:2]
         if x in common and len(chain) == 2:
             sigs.add(md(" ".join([x, *chain])))
+    if not common.intersection(w):
+        sigs |= {md(f"* {a} {b}") for a, b in zip(w[1:], w[2:])}
     return "-".join(sorted(sigs))
 
 
 def test_fingerprints_against_brute_force(spark, texts, duck):
     rows = {r["doc_id"]: r for r in queries.op5_spotsigs(spark, DATA).collect()}
-    ids = sorted(texts, reverse=True)
+    ids, common = sorted(texts, reverse=True), brute_anchors(texts.values())
     for i, nxt in list(zip(ids, ids[1:] + ids[:1], strict=True))[:60]:
         t, n = texts[i], len(texts[i])
         edited = t[: n - n // 3] + texts[nxt][: n // 3]
         r = rows[i]
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (n, hashlib.sha256(edited.encode()).hexdigest(), brute_fingerprint(t))
-        a, b, c = (set(brute_fingerprint(x).split("-")) for x in (t, edited, texts[nxt]))
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (n, hashlib.sha256(edited.encode()).hexdigest(), brute_fingerprint(t, common))
+        a, b, c = (set(brute_fingerprint(x, common).split("-")) for x in (t, edited, texts[nxt]))
         assert math.isclose(r["near_edited"], len(a & b) / len(a | b)) and math.isclose(r["near_next"], len(a & c) / len(a | c))
     assert len(rows) == len(ids)
 
 
+def test_texts_without_anchors_differ_by_their_words(spark):
+    """Texts that share their first two words and nothing else, in a language of their own, are not alike."""
+    rows = [(i, f"und the a {i}") for i in range(200)] + [(900, "мама мыла раму вчера утром"), (901, "мама мыла окно сегодня вечером рано")]
+    anchors = ["the", "und"]
+    got = [r["f"] for r in spark.createDataFrame(rows, "doc_id long, text string").where("doc_id >= 900").select(spotsigs.fingerprint("text", anchors).alias("f")).collect()]
+    one, two = (set(f.split("-")) for f in got)
+    assert got == [brute_fingerprint(t, set(anchors)) for _, t in rows[-2:]] and len(one & two) == 1 and len(one | two) >= 6
+
+
 def test_next_over_many_buckets(spark):
     ids = random.Random(5).sample(range(-500, 10**12), 700)
     rows = spark.createDataFrame([(i, f"t{i}", 0) for i in ids] + [(None, "null", 0)], "doc_id long, text string, mark long")
@@ -429,7 +448,8 @@ def test_near_pairs(spark, texts):
     edited = {10_000 + i: t + " the end" for i, t in some.items()}
     d = spark.createDataFrame(list((some | edited).items()), "doc_id long, text string")
     members, pairs = spotsigs.near_pairs(d, 0.8)
-    prints = {brute_fingerprint(t) for t in (some | edited).values()}
+    common = brute_anchors((some | edited).values())
+    prints = {brute_fingerprint(t, common) for t in (some | edited).values()}
     sets = {p: set(p.split("-")) for p in prints}
     want = {frozenset((a, b)) for a in prints for b in prints if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert {frozenset((r["one"], r["two"])) for r in pairs.collect()} == want and want
