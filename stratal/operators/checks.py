@@ -46,6 +46,19 @@ def reject_log(rejected: DataFrame, batch: Column, table: str, record_id: str) -
     )
 
 
+def reject_log_of(df: DataFrame, rules: list[Rule], batch: Column, table: str, record_id: str) -> DataFrame:
+    """``reject_log`` of all rows of ``df``, each rule judged once for a row: reasons are exploded for every row, and
+    rows without one are left out after that, where Spark cannot move the test back before it."""
+    if not rules:
+        return reject_log(judge(df, rules).rejected, batch, table, record_id)
+    marks = F.array_compact(F.array(*(F.when(r.violated(df), F.lit(f"{r.column}::{r.reason}")) for r in rules)))
+    rows = df.select("*", F.explode_outer(marks).alias("_r")).where("_r IS NOT NULL")
+    return rows.select(
+        batch.alias("batch_id"), F.lit(table).alias("table_name"), F.col(record_id).cast("string").alias("record_id"), F.substring_index("_r", "::", 1).alias("column_name"),
+        F.expr("substring(_r, instr(_r, '::') + 2)").alias("reason"), F.to_json(F.struct(*df.columns)).alias("record"), F.lit("DQ_VALIDATION").alias("error_type"), F.lit(False).alias("retryable"),
+    )
+
+
 def rule_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Violations of every rule in one pass: rule, column_name, violations."""
     sums = df.agg(*(F.count_if(r.violated(df)).alias(f"r{i}") for i, r in enumerate(rules)))

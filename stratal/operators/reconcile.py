@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratal.functions.columns import UNKNOWN_KEY
 
-#: Share of bad rows that each severity allows.
+#: Share of bad rows that each severity allows, and how far sums may differ.
 ALLOWED = {"critical": 0.0, "important": 0.01, "optional": 0.05}
 RELATIVE, ABSOLUTE = 0.0001, 0.01
 
@@ -35,9 +35,9 @@ class Suite:
     deleted: str | None = None
     metrics: tuple[str, ...] = ()
 
-    def counters(self, fact: DataFrame, dims: dict[str, DataFrame], dates: DataFrame | None) -> DataFrame:
+    def counters(self, fact: DataFrame, dims: dict[str, DataFrame], dates: DataFrame | None, more: dict[str, Column] | None = None) -> DataFrame:
         """One row of counters: each dimension and date role joined once, everything counted in one aggregation."""
-        rows, sums = fact, {"n": F.count("*")}
+        rows, sums = fact, {"n": F.count("*"), **(more or {})}
         for b in self.business_keys:
             sums[f"null_bk|{b}"] = F.count_if(F.col(b).isNull() | (F.trim(F.col(b).cast("string")) == ""))
         for i, k in enumerate(self.keys):
@@ -60,10 +60,38 @@ class Suite:
             sums["soft_delete|is_deleted"] = F.count_if(bad)
         return rows.agg(*(v.alias(k) for k, v in sums.items()))
 
-    def run(self, fact: DataFrame, source: DataFrame, dims: dict[str, DataFrame], dates: DataFrame | None = None) -> list[dict]:
-        """Every check with its figure, its limit and whether it passed. ``source`` has one row a grain."""
-        c = self.counters(fact, dims, dates).first().asDict()
+    def first_bad(self, fact: DataFrame, check: str, column: str, dims: dict[str, DataFrame], dates: DataFrame | None) -> str | None:
+        """One row that fails a check, as JSON; the least by its grain."""
+        key = next((k for k in self.keys if k.column == column), None)
+        if check == "grain":
+            many = fact.groupBy(*self.grain).agg(F.count("*").alias("_n")).where("_n > 1")
+            bad = fact.join(many.select(*(F.col(g).alias(f"_{g}") for g in self.grain)), [fact[g].eqNullSafe(F.col(f"_{g}")) for g in self.grain], "left_semi")
+        elif check == "null_bk":
+            bad = fact.where(F.col(column).isNull() | (F.trim(F.col(column).cast("string")) == ""))
+        elif check == "orphan":
+            bad = fact.where(F.col(column) != UNKNOWN_KEY).join(dims[key.dim].select(F.col(key.dim_key).alias("_k")), F.col(column) == F.col("_k"), "left_anti")
+        elif check == "unresolved":
+            b = F.trim(F.col(key.bk).cast("string"))
+            bad = fact.where((F.col(column) == UNKNOWN_KEY) & b.isNotNull() & (b != "") & (b != "Unknown"))
+        elif check == "temporal":
+            side = dims[key.dim].select(F.col(key.dim_key).alias("_k"), F.col("effective_from").alias("_f"))
+            bad = fact.where(F.col(column) != UNKNOWN_KEY).join(side, (F.col(column) == F.col("_k")) & (F.col(key.date).cast("date") < F.col("_f").cast("date"))).drop("_k", "_f")
+        elif check == "date":
+            bad = fact.where(F.col(column) != UNKNOWN_KEY).join(dates.select(F.col("date_key").alias("_k")), F.col(column) == F.col("_k"), "left_anti")
+        elif check == "soft_delete":
+            bad = fact.where(F.col(self.deleted) & (F.col("deleted_at").isNull() | F.col("delete_batch_id").isNull()))
+        else:
+            return None
+        row = bad.select(F.to_json(F.struct(*fact.columns)).alias("r"), *self.grain).orderBy(*self.grain, "r").first()
+        return row["r"] if row else None
+
+    def run(self, fact: DataFrame, source: DataFrame, dims: dict[str, DataFrame], dates: DataFrame | None = None, samples: bool = False) -> list[dict]:
+        """Every check with its figure, its limit and whether it passed; ``samples``: of a failed one a row that fails it.
+        ``source`` has one row a grain. Sums, counts and lookups of the fact are one aggregation, the grain another."""
+        sums = {f"metric|{m}": F.sum(m) for m in self.metrics}
+        c = self.counters(fact, dims, dates, sums).first().asDict()
         n, out = c.pop("n"), []
+        fact_sums = {m: c.pop(f"metric|{m}") for m in self.metrics}
 
         def add(check: str, on: str, bad: float, limit: float, figure: float) -> None:
             out.append({"check": check, "column": on, "bad": float(bad), "figure": float(figure), "limit": float(limit), "passed": bool(figure <= limit)})
@@ -79,14 +107,17 @@ class Suite:
                 add(check, on, bad, 0.05 if self.dates[on] == "optional" else 0.0, bad / n if n else 0.0)
             else:
                 add(check, on, bad, 0, bad)
-        there = source.dropDuplicates(list(self.grain)).count()
+        per_grain = source.groupBy(*self.grain).agg(*(F.sum(m).alias(m) for m in self.metrics), F.lit(1).alias("_one"))
+        a = per_grain.agg(F.count("_one").alias("_there"), *(F.sum(m).alias(m) for m in self.metrics)).first()
+        there = a["_there"]
         add("row_count", "", abs(there - n), 0, abs(there - n) / there if there else float(n > 0))
         if self.metrics:
-            a = source.agg(*(F.sum(m).alias(m) for m in self.metrics)).first()
-            b = fact.agg(*(F.sum(m).alias(m) for m in self.metrics)).first()
             for m in self.metrics:
-                x, y = float(a[m] or 0), float(b[m] or 0)
+                x, y = float(a[m] or 0), float(fact_sums[m] or 0)
                 off = abs(x - y)
                 ratio = off / abs(x) if x else float(off > 0)
                 out.append({"check": "metric", "column": m, "bad": off, "figure": ratio, "limit": RELATIVE, "passed": not (ratio > RELATIVE and off > ABSOLUTE)})
+        if samples:
+            for x in out:
+                x["sample"] = None if x["passed"] else self.first_bad(fact, x["check"], x["column"].split(",")[0], dims, dates)
         return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from stratal.functions.columns import UNKNOWN_KEY, differs, filled
@@ -115,8 +115,3 @@ def versions(events: DataFrame, bk: str, tracked: list[str], at: str, ties: list
     out = starts.withColumn("effective_from", F.col(at)).withColumn("effective_to", F.coalesce(nxt, F.lit(OPEN_END).cast("timestamp")))
     return out.withColumn("is_current", nxt.isNull())
 
-
-def empty_like(spark, schema: StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-

@@ -15,8 +15,9 @@ def dirty_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     Line breaks go, then all before the first [ and after the last ]. A file without an array, or
     beyond MAX_JSON_BYTES, is an error. Fields missing in a record are null, others are dropped.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"[\r\n]+", "").alias("raw"), F.col("_metadata.file_path").alias("file"))
-    body = F.regexp_extract("raw", r"(\[.*\])", 1)
+    files = spark.read.text(path, wholetext=True).select(F.translate("value", "\r\n", "").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    first, last = F.instr("raw", "["), F.length("raw") - F.instr(F.reverse("raw"), "]") + 1
+    body = F.when((first > 0) & F.contains("raw", F.lit("]")) & (last > first), F.substring("raw", first, last - first + 1)).otherwise("")
     fault = F.when(F.octet_length("raw") > MAX_JSON_BYTES, F.raise_error(F.concat(F.lit("file too large: "), "file"))).when(
         body == "", F.raise_error(F.concat(F.lit("no JSON array in "), "file"))
     )

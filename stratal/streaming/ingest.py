@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratal.operators.dedup import latest
-from stratal.operators.merge import upsert
 from stratal.sources.snapshots import SnapshotTable
 
 
-def stream_upsert(stream: DataFrame, table: SnapshotTable, keys: list[str], newest: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Each micro-batch's newest row of a key goes into ``table``. Doing a batch again changes nothing: the
-    same rows meet the same keys."""
+def stream_upsert(stream: DataFrame, table: SnapshotTable, keys: list[str], newest: str, checkpoint: str, available_now: bool = True, buckets: int = 16) -> StreamingQuery:
+    """Each micro-batch's newest row of a key goes into ``table``, of which only the buckets that a batch meets are
+    written again. Doing a batch again changes nothing: the same rows meet the same keys."""
 
     def one(batch: DataFrame, _: int) -> None:
         rows = latest(batch, keys, [F.col(newest).desc_nulls_last()])
-        table.publish(upsert(table.read(), rows, keys, check=False).drop("_action") if table.exists() else rows)
+        table.merge(rows, keys, buckets)
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

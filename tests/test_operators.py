@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import datetime as dt
 from decimal import Decimal
 
@@ -20,7 +21,7 @@ from stratal.operators.merge import CardinalityError, Clause, Merge, delete_wher
 from stratal.operators.reconcile import Key, Suite
 from stratal.operators.scd import Type1, Type2, with_unknown
 from stratal.sources.readers import dirty_json, list_files, next_watermark, read_file, read_source, since
-from stratal.sources.snapshots import SnapshotTable
+from stratal.sources.snapshots import Conflict, SnapshotTable
 
 
 def rows(df, *columns):
@@ -106,8 +107,8 @@ def test_merge(spark):
 
 def test_keys_do_not_depend_on_partitions(spark):
     df = spark.range(500).select(F.concat(F.lit("b"), F.col("id")).alias("bk"))
-    a = rows(assign_keys(df.repartition(1), ["bk"], "k", 10, buckets=8), "bk", "k")
-    assert a == rows(assign_keys(df.repartition(7), ["bk"], "k", 10, buckets=8), "bk", "k")
+    a = rows(assign_keys(df.repartition(1), ["bk"], "k", 10, range_rows=64), "bk", "k")
+    assert a == rows(assign_keys(df.repartition(7), ["bk"], "k", 10, range_rows=64), "bk", "k")
     assert sorted(k for _, k in a) == list(range(11, 511))
 
 
@@ -170,6 +171,10 @@ def test_dirty_json(spark, tmp_path):
     (tmp_path / "f.json").write_text('JSON_F5-BANNER\n[{"id":"1","reason":"Vehicle S\nold"},\n{"id":"2","x":1}]')
     schema = StructType([StructField("id", StringType()), StructField("reason", StringType())])
     assert rows(dirty_json(spark, f"file://{tmp_path}/f.json", schema), "id", "reason") == [("1", "Vehicle Sold"), ("2", None)]
+    odd = "a\u2028b\u2029c\u0085[d]"
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "h.json").write_text('B\u0085\n[{"id":"1","reason":"%s"}]\u2028' % odd, encoding="utf-8")
+    assert rows(dirty_json(spark, f"file://{tmp_path}/sub/h.json", schema), "id", "reason") == [("1", odd)]
     (tmp_path / "g.json").write_text("nothing here")
     with pytest.raises(Exception, match="no JSON array"):
         dirty_json(spark, f"file://{tmp_path}/g.json", schema).collect()
@@ -193,8 +198,55 @@ def test_snapshots(spark, tmp_path):
     t.publish(t.read().where("id = 1"))  # reads what it replaces
     t.append(spark.range(5, 6))
     assert t.versions() == [1, 2, 3] and rows(t.read(), "id") == [(1,), (5,)] and t.read(1).count() == 2
-    assert t.vacuum(1) == [1, 2] and t.versions() == [3]
+    assert t.vacuum(1) == [1, 2] and t.versions() == [3] and rows(t.read(), "id") == [(1,), (5,)]
     t.truncate()
     assert t.read().count() == 0
     with pytest.raises(FileNotFoundError):
         t.read(1)
+
+
+def test_two_publishers_of_one_version(spark, tmp_path, monkeypatch):
+    """The first one's rows stay; the second is told, and its rows are in no version."""
+    one, two = (SnapshotTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    one.publish(spark.range(3))
+    write = SnapshotTable._write
+
+    def slow(self, df, keys, buckets):
+        out = write(self, df, keys, buckets)
+        if self is two:
+            one.publish(spark.range(3))  # while the other one writes
+        return out
+
+    monkeypatch.setattr(SnapshotTable, "_write", slow)
+    with pytest.raises(Conflict):
+        two.publish(spark.range(100, 105))
+    assert rows(one.read(), "id") == [(0,), (1,), (2,)] and one.versions() == [1, 2]
+    two.root, crashed = one.root, f"{tmp_path}/t/_published/3"
+    open(crashed, "w").close()  # claimed, never written
+    with pytest.raises(Conflict):
+        one.append(spark.range(9, 10))
+    os.utime(crashed, (1, 1))
+    assert one.append(spark.range(9, 10)) == 4 and one.read().count() == 4
+
+
+def test_append_and_merge_write_what_changes(spark, tmp_path):
+    t, files = SnapshotTable(spark, f"file://{tmp_path}/t"), lambda: {p for p in tmp_path.rglob("*.parquet")}
+    t.merge(spark.range(1000).selectExpr("id", "'a' AS v"), ["id"], buckets=8)
+    before = files()
+    t.append(spark.range(2000, 2001).selectExpr("'x' AS v", "id"))
+    assert len(files() - before) == 1
+    before = files()
+    done = t.merge(spark.sql("SELECT 7L AS id, 'b' AS v UNION ALL SELECT 2000L, 'c'"), ["id"])
+    new = files() - before
+    assert len(new) <= 2 and done["updated"] == 2 and done["inserted"] == 0 and 1 <= done["kept"] < 500
+    got = dict(rows(t.read(), "id", "v"))
+    assert len(got) == 1001 and got[7] == "b" and got[2000] == "c" and got[8] == "a" and t.read().count() == 1001
+    t.merge(spark.range(5000, 5001).selectExpr("id", "'n' AS v"), ["id"])
+    assert t.read().count() == 1002 and t.read().columns == ["id", "v"]
+
+
+def test_keys_are_ranks_at_every_size(spark):
+    df = spark.sql("SELECT concat('k', pmod(id * 7919, 500)) AS bk FROM range(500) UNION ALL SELECT NULL")
+    one = rows(assign_keys(df, ["bk"], "k", 10), "bk", "k")
+    assert one == rows(assign_keys(df, ["bk"], "k", 10, range_rows=13), "bk", "k")
+    assert [k for _, k in sorted(one, key=lambda x: (x[0] is not None, x[0] or ""))] == list(range(11, 512))
