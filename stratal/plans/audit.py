@@ -5,8 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from stratal.operators.merge import Clause, Merge
@@ -53,6 +54,27 @@ def next_attempt(details: DataFrame, keys: list[str]) -> DataFrame:
     return details.groupBy(*keys).agg((F.coalesce(F.max("attempt_no"), F.lit(0)) + 1).alias("attempt_no"))
 
 
+def append_details(details: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (no attempt_no) added; each gets the number after its table's and layer's greatest. Several new rows
+    of one are numbered in order of ``created_at``."""
+    keys = ["table_session_id", "layer"]
+    last = details.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("attempt_no").alias("_last"))
+    cond = [F.col(k) == F.col(f"_{k}") for k in keys]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("created_at"))
+    numbered = new.withColumn("_rank", rank).join(last, cond, "left").withColumn("attempt_no", F.coalesce("_last", F.lit(0)) + F.col("_rank"))
+    return details.unionByName(numbered.select(*(F.col(c).cast(t).alias(c) for c, t in details.dtypes)))
+
+
+def only(df: DataFrame, column: str, **filters: object) -> object:
+    """``column`` of the one row that the filters leave; none or several are an error."""
+    for name, value in filters.items():
+        df = df.where(F.col(name) == F.lit(value))
+    rows = df.select(column).limit(2).collect()
+    if len(rows) != 1:
+        raise LookupError(f"{'several rows' if rows else 'no row'} for {filters}")
+    return rows[0][0]
+
+
 @dataclass(frozen=True)
 class RunContext:
     mode: str
@@ -80,6 +102,21 @@ def gate(layers: DataFrame, layer: str) -> DataFrame:
     return sums.withColumn("decision", decision)
 
 
+class GateClosed(RuntimeError):
+    """Tables of a layer are not done; the next run must be a recovery."""
+
+
+def pass_gate(layers: DataFrame, layer: str, run_id: str) -> bool:
+    """Whether the next layer may start. Tables that are neither SUCCESS nor SKIPPED raise ``GateClosed``; a layer that
+    is done but has brought no rows, or has no tables, gives False."""
+    row = gate(layers.where(F.col("run_id") == run_id), layer).first()
+    if row is None:
+        return False
+    if row["decision"] == "RECOVERY":
+        raise GateClosed(f"{layer} gate: {row['blocking']} table(s) are not SUCCESS or SKIPPED")
+    return row["decision"] == "OPEN"
+
+
 def source_success(bridge: DataFrame, targets: DataFrame) -> DataFrame:
     """A source has succeeded if it feeds a target and all targets it feeds have succeeded."""
     t = targets.select(F.col("target_id").alias("_t"), "status")
@@ -95,30 +132,66 @@ def latest_attempts(details: DataFrame) -> DataFrame:
     return details.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
+def type_list(text: str | None) -> tuple[str, ...]:
+    """Comma-separated error types, trimmed, in capitals."""
+    return tuple(x.strip().upper() for x in (text or "").split(",") if x.strip())
+
+
 @dataclass(frozen=True)
 class RetryPolicy:
-    """Which faults are tried again, how often and after how long."""
+    """Which faults are tried again, how often and after how long. Types in neither list are tried again if they are SYSTEM."""
 
     max_retries: int = 3
     base_seconds: float = 5.0
     exponential: bool = True
     retryable: tuple[str, ...] = ("TIMEOUT", "CONNECTION", "THROTTLED")
     final: tuple[str, ...] = ("DQ_VALIDATION", "SCHEMA", "CONFIG")
-    by_default: bool = False
+
+    @classmethod
+    def first_active(cls, policies: DataFrame) -> RetryPolicy:
+        """The active row of least id in a table of policies; an error if there is none."""
+        row = policies.where("is_active").orderBy("id").first()
+        if row is None:
+            raise LookupError("no active retry policy")
+        return cls(
+            int(row["max_retry_count"]), float(row["retry_delay_seconds"]), str(row["backoff_strategy"]).upper() == "EXPONENTIAL",
+            type_list(row["retryable_error_types"]), type_list(row["non_retryable_error_types"]),
+        )
 
     def retries(self, error_type: str) -> bool:
-        if error_type in self.retryable:
-            return True
-        return error_type not in self.final and self.by_default
+        return error_type in self.retryable or (error_type not in self.final and error_type == "SYSTEM")
 
     def wait(self, attempt: int) -> float:
         """Seconds after failed attempt 1, 2, ..."""
         return self.base_seconds * (2 ** (attempt - 1) if self.exponential else 1)
 
 
+RETRY_LOG = (
+    "table_session_id string, file_session_id string, layer string, attempt_no int, status string, error_code string, error_type string, is_retryable boolean, error_message string, "
+    "started_at timestamp, ended_at timestamp"
+)
+
+
 @dataclass
 class RetryLog:
+    """Failed attempts of one piece of work, which the other fields name."""
+
     rows: list[dict] = field(default_factory=list)
+    operation: str = "work"
+    table_session_id: str | None = None
+    file_session_id: str | None = None
+    layer: str | None = None
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """Attempts that were tried again, as rows of the retry log table."""
+        named = [
+            Row(
+                table_session_id=self.table_session_id, file_session_id=self.file_session_id, layer=self.layer, attempt_no=r["attempt"], status="FAILED", error_code=r["error_code"],
+                error_type=r["error_type"], is_retryable=True, error_message=r["message"], started_at=r["started_at"], ended_at=r["ended_at"],
+            )
+            for r in self.rows if r["retried"]
+        ]
+        return spark.createDataFrame(named, RETRY_LOG)
 
 
 def error_type(e: BaseException) -> str:
@@ -134,15 +207,20 @@ def error_type(e: BaseException) -> str:
 
 def run_with_retry(work: Callable[[], object], policy: RetryPolicy, log: RetryLog | None = None, sleep: Callable[[float], None] = time.sleep) -> object:
     """``work()``, again while the policy allows; every failed attempt is logged, the last error is raised."""
-    log, attempt = log or RetryLog(), 0
+    log, attempt = RetryLog() if log is None else log, 0
     while True:
         attempt += 1
+        began = datetime.now()
         try:
             return work()
         except Exception as e:
             kind = error_type(e)
             again = policy.retries(kind) and attempt <= policy.max_retries
-            log.rows.append({"attempt": attempt, "error_type": kind, "message": str(e), "retried": again, "wait": policy.wait(attempt) if again else 0.0})
+            code = getattr(e, "error_code", f"{log.operation.upper()}_{kind}_ERROR")
+            log.rows.append({
+                "attempt": attempt, "error_type": kind, "error_code": code, "message": str(e)[:1000], "retried": again, "wait": policy.wait(attempt) if again else 0.0,
+                "started_at": began, "ended_at": datetime.now(),
+            })
             if not again:
                 raise
             sleep(policy.wait(attempt))

@@ -360,17 +360,19 @@ WITH {STAR}, x AS (SELECT provider_code, year_number, status, sum(payment_amount
 SELECT provider_code, year_number, {', '.join(r(f"max(CASE WHEN status = '{s}' THEN s END)") + f' AS {s.lower()}' for s in ('PAID', 'PENDING', 'FAILED', 'REFUNDED'))} FROM x GROUP BY ALL
 """)
 def kpi_payments_by_provider_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)["fact_payment"]
+    f = facts(spark, sf_dir)["fact_payment"].fact
     out = f.groupBy("provider_code", "year_number").pivot("status", ["PAID", "PENDING", "FAILED", "REFUNDED"]).agg(F.sum("payment_amount"))
     return plain(out.toDF("provider_code", "year_number", "paid", "pending", "failed", "refunded"))
 
 
 @query(f"WITH {STAR} SELECT agent_name, count(*) AS total_quotations, {r('sum(premium_amount)')} AS premium FROM fq WHERE agent_id IN (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_7') GROUP BY 1")
 def rls_agent_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What one agent sees: its own rows of each fact."""
-    members = agents(spark, sf_dir).select(F.col("agent_name").alias("user_id"), "agent_id")
-    f = restrict({"fact_quotation": quotations(spark, sf_dir)}, members, "agent_id", "nation_7")["fact_quotation"]
-    return plain(f.groupBy("agent_name").agg(F.count("*").alias("total_quotations"), F.sum("premium_amount").alias("premium")))
+    """What one agent sees of the model: its own rows of each fact."""
+    m = one(spark, sf_dir)
+    m.base("q_premium", "fact_quotation", "sum(premium_amount)")
+    m.measure("Premium", "q_premium", lambda c: c)
+    m.secured = agents(spark, sf_dir).select(F.col("agent_name").alias("user_id"), "agent_id"), "agent_id"
+    return plain(m.as_user("nation_7").evaluate(["Total Quotations", "Premium"], ["agent_name"]))
 
 
 @query("SELECT c_custkey, o_orderkey AS policy_id, round(o_totalprice::DECIMAL(18,2)::DOUBLE, 6) AS premium_amount FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_custkey = 7")

@@ -11,7 +11,7 @@ from stratal.operators.dedup import latest, latest_by_first_of, unchanged
 from stratal.operators.mapping import Mapping, conform, project
 from stratal.queries import query
 from stratal.queries.star import table
-from stratal.sources.readers import batch_of, change_time, file_states, lookup_sources, new_files, recovery_files, recovery_sources, since
+from stratal.sources.readers import batch_of, change_time, file_states, lookup_sources, new_files, next_watermark, recovery_files, recovery_sources, since
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,10 @@ def watermark_never_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS watermark, count(*) AS row_count FROM events")
 def watermark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("watermark"), F.count("*").alias("row_count"))
+    """The greatest time loaded, from the operator that a load calls when it has succeeded."""
+    e = t(spark, sf_dir, "events")
+    mark = next_watermark(e, "ts", "2000-01-01 00:00:00")
+    return e.agg(F.count("*").alias("row_count")).select(F.date_format(F.lit(mark).cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("watermark"), "row_count")
 
 
 @query("SELECT _batch_id, count(*) AS n, sum(user_id)::BIGINT AS users FROM (SELECT strftime(ts, '%Y%m%d') AS _batch_id, user_id FROM events) WHERE _batch_id = '20240110' GROUP BY 1")
@@ -210,28 +213,43 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'customers', 1, TIMESTAMP '2024-01-02'::VARCHAR), (3, 'orders', 2, NULL)) AS v(source_id, source_name, load_sequence, watermark)")
-def source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = spark.sql("SELECT * FROM VALUES (3L, 'orders', 2, true), (1L, 'customers', 1, true), (2L, 'old', 3, false) AS v(source_id, source_name, load_sequence, is_active)")
-    marks = spark.sql("SELECT * FROM VALUES (1L, '2024-01-02 00:00:00') AS v(source_id, watermark)")
-    return lookup_sources(sources, marks).select("source_id", "source_name", "load_sequence", "watermark")
+_SOURCES = "SELECT n_nationkey AS source_id, n_name AS source_name, n_nationkey * 7 % 25 AS load_sequence, n_nationkey % 4 <> 0 AS is_active FROM nation"
+_MARKS = "SELECT CAST(o_custkey % 25 AS INT) AS source_id, CAST(CAST(max(o_orderdate) AS DATE) AS STRING) AS watermark FROM orders WHERE o_custkey % 3 <> 0 AND o_custkey % 25 < 20 GROUP BY 1"
+_LAST_RUN = "SELECT CAST(o_custkey % 25 AS INT) AS source_id, CASE WHEN o_orderkey % 25 < 3 AND o_custkey % 25 < 9 THEN 'FAILED' WHEN o_custkey % 25 = 15 THEN 'NOT_RUN' ELSE 'SUCCESS' END AS status FROM orders"
+_FILE_LOG = """
+SELECT o_custkey % 25 AS source_id, concat('f', o_orderkey % 300) AS file_name, o_orderkey % 5 AS batch_id,
+       CASE o_orderkey % 7 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'RUNNING' WHEN 3 THEN 'NOT_RUN' ELSE 'SUCCESS' END AS status FROM orders WHERE o_orderkey % 11 < 3"""
+_LISTED = "SELECT DISTINCT l_suppkey % 25 AS source_id, concat('f', l_orderkey % 400) AS file_name FROM lineitem"
+_duck = lambda sql: sql.replace("AS STRING", "AS VARCHAR")
 
 
-@query("SELECT * FROM (VALUES (2::BIGINT), (3)) AS v(source_id)")
-def recovery_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = spark.sql("SELECT id AS source_id, id AS load_sequence, true AS is_active FROM range(1, 5)")
-    last = spark.sql("SELECT * FROM VALUES (1L, 'SUCCESS'), (2L, 'FAILED'), (3L, 'NOT_RUN'), (3L, 'FAILED') AS v(source_id, status)")
-    return recovery_sources(sources, last).select("source_id")
+def rows_of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A statement over the test tables, in words that Spark's SQL and the oracle's share."""
+    names = [n for n in ("nation", "orders", "lineitem", "customer") if f"FROM {n}" in sql]
+    for n in names:
+        sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
+    return spark.sql(sql, **{n: t(spark, sf_dir, n) for n in names})
 
 
-_FILES = "(1L, 'a.json', 7, 'SUCCESS'), (1L, 'b.json', 7, 'FAILED'), (1L, 'c.json', 7, 'RUNNING')"
+@query(f"WITH s AS ({_duck(_SOURCES)}), w AS ({_duck(_MARKS)}) SELECT source_id, source_name, load_sequence, watermark FROM s LEFT JOIN w USING (source_id) WHERE is_active")
+def source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_sources(rows_of(spark, sf_dir, _SOURCES), rows_of(spark, sf_dir, _MARKS)).select("source_id", "source_name", "load_sequence", "watermark")
 
 
-@query("SELECT * FROM (VALUES ('new', 'b.json', ''), ('new', 'c.json', ''), ('new', 'd.json', ''), ('recover', 'b.json', ''), ('recover', 'c.json', ''), ('state', 'b.json', 'FAILED'), ('state', 'c.json', 'RUNNING'), ('state', 'd.json', 'MISSING')) AS v(plan, file_name, status)")
+@query(f"WITH s AS ({_SOURCES}), r AS ({_LAST_RUN}) SELECT source_id FROM s WHERE is_active AND source_id IN (SELECT source_id FROM r WHERE status IN ('FAILED', 'NOT_RUN'))")
+def recovery_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery_sources(rows_of(spark, sf_dir, _SOURCES), rows_of(spark, sf_dir, _LAST_RUN)).select("source_id")
+
+
+@query(f"""
+WITH g AS ({_FILE_LOG}), l AS ({_LISTED})
+SELECT 'new' AS plan, source_id, file_name, '' AS status FROM l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.source_id = l.source_id AND g.file_name = l.file_name AND g.status = 'SUCCESS')
+UNION ALL SELECT DISTINCT 'recover', source_id, file_name, '' FROM g WHERE batch_id = 3 AND status <> 'SUCCESS'
+UNION ALL SELECT 'state', l.source_id, l.file_name, coalesce(g.status, 'MISSING') FROM l LEFT JOIN g ON g.source_id = l.source_id AND g.file_name = l.file_name WHERE coalesce(g.status, 'MISSING') <> 'SUCCESS'
+""")
 def file_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a new run reads, what a recovery reads, and what is missing or failed."""
-    log = spark.sql(f"SELECT * FROM VALUES {_FILES} AS v(source_id, file_name, batch_id, status)")
-    listed = spark.sql("SELECT 1L AS source_id, explode(array('a.json', 'b.json', 'c.json', 'd.json')) AS file_name")
-    new = new_files(listed, log).select(F.lit("new").alias("plan"), "file_name", F.lit("").alias("status"))
-    again = recovery_files(log, 7).select(F.lit("recover"), "file_name", F.lit(""))
-    return new.union(again).union(file_states(listed, log).select(F.lit("state"), "file_name", "status"))
+    log, listed = rows_of(spark, sf_dir, _FILE_LOG), rows_of(spark, sf_dir, _LISTED)
+    new = new_files(listed, log).select(F.lit("new").alias("plan"), "source_id", "file_name", F.lit("").alias("status"))
+    again = recovery_files(log, 3).select(F.lit("recover"), "source_id", "file_name", F.lit(""))
+    return new.union(again).union(file_states(listed, log).select(F.lit("state"), "source_id", "file_name", "status"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratal.semantic.engine import Dimension, Star
+
 #: Provider codes.
 PROVIDERS = ("BV", "PVI", "PTI", "MIC", "LIB")
 AS_OF = "1999-06-30"
@@ -38,39 +40,59 @@ def provider(key: str):
     return F.element_at(F.array(*(F.lit(p) for p in PROVIDERS)), (F.col(key) % len(PROVIDERS) + 1).cast("int"))
 
 
-def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    c = c.select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("city"))
+def _customers(spark: SparkSession, sf_dir: str) -> tuple[Dimension, Dimension]:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("city"), F.col("c_nationkey").alias("agent_id"))
+    a = agents(spark, sf_dir).withColumnRenamed("agent_id", "n_agent_id")
+    return Dimension(c, "customer_key", "c_custkey", ("city", "agent_id")), Dimension(F.broadcast(a), "agent_id", "n_agent_id", ("agent_name", "region"))
+
+
+def quotation_star(spark: SparkSession, sf_dir: str) -> Star:
     k = F.col("o_orderkey") % 3
     status = (
         F.when(F.col("o_orderstatus") == "F", "CONVERTED").when(F.col("o_orderstatus") == "P", "REJECTED")
         .when(k == 0, "QUOTED").when(k == 1, "ACCEPTED").otherwise("EXPIRED")
     )
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(agents(spark, sf_dir)), F.col("c_nationkey") == F.col("agent_id"))
-    return rows.select(
-        F.col("o_orderkey").alias("quotation_id"), F.col("o_custkey").alias("customer_key"), "agent_id", "agent_name", "region", "city",
-        provider("o_orderkey").alias("provider_code"), F.col("o_orderpriority").alias("package_code"), status.alias("status"),
-        (F.col("o_orderstatus") == "F").alias("converted_flag"), money("o_totalprice").alias("premium_amount"), F.col("o_orderdate").cast("date").alias("quoted_date"),
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("quotation_id"), F.col("o_custkey").alias("customer_key"), provider("o_orderkey").alias("provider_code"), F.col("o_orderpriority").alias("package_code"),
+        status.alias("status"), (F.col("o_orderstatus") == "F").alias("converted_flag"), money("o_totalprice").alias("premium_amount"), F.col("o_orderdate").cast("date").alias("quoted_date"),
     )
+    return Star(rows, _customers(spark, sf_dir))
 
 
-def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def policy_star(spark: SparkSession, sf_dir: str) -> Star:
     k = F.col("quotation_id") % 4
     status = F.when(k == 0, "ACTIVE").when(k == 1, "ISSUED").when(k == 2, "EXPIRED").otherwise("CANCELLED")
-    rows = quotations(spark, sf_dir).where("converted_flag").withColumn("status", status).withColumnRenamed("quotation_id", "policy_id")
+    q = quotation_star(spark, sf_dir)
+    rows = q.fact.where("converted_flag").withColumn("status", status).withColumnRenamed("quotation_id", "policy_id")
     d = F.col("quoted_date")
-    return rows.drop("converted_flag").withColumns({"issued_date": d, "start_date": d, "end_date": F.add_months(d, 12)}).drop("quoted_date")
+    return Star(rows.drop("converted_flag").withColumns({"issued_date": d, "start_date": d, "end_date": F.add_months(d, 12)}).drop("quoted_date"), q.dimensions)
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("issued_date"))
+def payment_star(spark: SparkSession, sf_dir: str) -> Star:
     flag, line = F.col("l_returnflag"), F.col("l_linestatus")
     status = F.when(flag == "A", "PAID").when(flag == "R", "REFUNDED").when(line == "O", "PENDING").otherwise("FAILED")
-    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("policy_id"), provider("l_orderkey").alias("provider_code"), status.alias("status"),
-        money("l_extendedprice").alias("payment_amount"), F.col("l_shipdate").cast("date").alias("payment_date"), "issued_date",
+        money("l_extendedprice").alias("payment_amount"), F.col("l_shipdate").cast("date").alias("payment_date"),
     )
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("issued_date"))
+    return Star(rows, (Dimension(o, "policy_id", "o_orderkey", ("issued_date",)),))
+
+
+def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns, every dimension joined."""
+    s = quotation_star(spark, sf_dir)
+    return s.with_columns(set(s.columns))
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = policy_star(spark, sf_dir)
+    return s.with_columns(set(s.columns))
+
+
+def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payment_star(spark, sf_dir)
+    return s.with_columns(set(s.columns))
 
 
 def cancellations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +103,11 @@ def cancellations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def facts(spark: SparkSession, sf_dir: str, policy_role: str = "issued_date") -> dict[str, DataFrame]:
+def facts(spark: SparkSession, sf_dir: str, policy_role: str = "issued_date") -> dict[str, Star]:
+    dated = lambda star, c: Star(with_date(star.fact, c), star.dimensions)
     return {
-        "fact_quotation": with_date(quotations(spark, sf_dir), "quoted_date"), "fact_policy": with_date(policies(spark, sf_dir), policy_role),
-        "fact_payment": with_date(payments(spark, sf_dir), "payment_date"), "fact_cancellation": with_date(cancellations(spark, sf_dir), "cancelled_date"),
+        "fact_quotation": dated(quotation_star(spark, sf_dir), "quoted_date"), "fact_policy": dated(policy_star(spark, sf_dir), policy_role),
+        "fact_payment": dated(payment_star(spark, sf_dir), "payment_date"), "fact_cancellation": Star(with_date(cancellations(spark, sf_dir), "cancelled_date")),
     }
 
 

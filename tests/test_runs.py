@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratal.operators.mapping import Mapping
-from stratal.plans.audit import RetryLog, RetryPolicy, carry_over, gate, run_context, run_with_retry, source_success
+from stratal.plans.audit import GateClosed, RetryLog, RetryPolicy, carry_over, gate, only, pass_gate, run_context, run_with_retry, source_success
 from stratal.plans.batches import load_silver
-from stratal.semantic.engine import Model, aging_bucket, growth_label, ratio, restrict, role_of, year_over_year
+from stratal.semantic.engine import AccessDenied, Dimension, Model, Star, aging_bucket, growth_label, ratio, restrict, role_of, year_over_year
 from stratal.sources.snapshots import SnapshotTable
 from stratal.streaming.ingest import stream_upsert, windowed_counts
 
@@ -101,6 +101,62 @@ def test_measures_over_two_facts(spark):
         m.evaluate(["Rate"], ["city"])
 
 
+def test_slicers_reach_the_facts_that_have_the_field(spark):
+    q = spark.createDataFrame([("N", 1, True), ("S", 1, False), ("S", 2, True)], "region string, provider int, won boolean")
+    p = spark.createDataFrame([(1, 5), (2, 7)], "provider int, paid int")
+    m = Model({"q": q, "p": p})
+    m.base("n", "q", "count(*)")
+    m.base("s", "p", "sum(paid)")
+    m.measure("N", "n", lambda c: c)
+    m.measure("Paid", "s", lambda c: c)
+    assert m.evaluate(["N", "Paid"], [], ["region IN ('S', 'provider')", "provider = 1"]).first()[:] == (1, 5)
+    assert m.evaluate(["N", "Paid"], [], "region = 'N'").first()[:] == (1, 12)
+    with pytest.raises(ValueError, match="no fact has a field"):
+        m.evaluate(["N"], [], "city = 'x'")
+
+
+def test_star_joins_what_is_asked_for(spark):
+    c = spark.createDataFrame([(1, "x", 7), (2, "y", 8)], "ck int, city string, agent int")
+    a = spark.createDataFrame([(7, "North")], "ak int, region string")
+    s = Star(spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id int, customer int"), (Dimension(c, "customer", "ck", ("city", "agent")), Dimension(a, "agent", "ak", ("region",))))
+    plan = lambda names: s.with_columns(names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan({"id"}) and plan({"id", "city"}).count("Join") == 1 and plan({"region"}).count("Join") == 2
+    assert sorted((r["id"], r["region"]) for r in s.with_columns({"id", "region"}).collect()) == [(10, "North"), (11, None), (12, None)]
+    assert s.with_columns(set()).count() == 3
+    members = spark.createDataFrame([("AG7", "North")], "user_id string, region string")
+    m = Model({"f": s}, secured=(members, "region"))
+    m.base("n", "f", "count(*)")
+    m.measure("N", "n", lambda c: c)
+    with pytest.raises(AccessDenied):
+        m.evaluate(["N"])
+    assert [m.as_user(u).evaluate(["N"]).first()[0] for u in ("ag7", "x", None)] == [1, 0, 0]
+
+
+def test_retry_policy_of_a_table_and_unique_lookup(spark):
+    rows = [(2, True, 1, 5, "fixed_delay", "A, b", "RULE"), (1, False, 9, 9, "x", "", ""), (3, True, 4, 1, "EXPONENTIAL", "", "")]
+    table = spark.createDataFrame(rows, "id int, is_active boolean, max_retry_count int, retry_delay_seconds int, backoff_strategy string, retryable_error_types string, non_retryable_error_types string")
+    p = RetryPolicy.first_active(table)
+    assert (p.max_retries, p.wait(3), [p.retries(k) for k in ("A", "B", "RULE", "SYSTEM", "OTHER")]) == (1, 5.0, [True, True, False, True, False])
+    for few in ("is_active AND id > 5", "false"):
+        with pytest.raises(LookupError):
+            RetryPolicy.first_active(table.where(few))
+    assert only(table, "max_retry_count", id=3, is_active=True) == 4
+    for bad in ({"is_active": True}, {"id": 99}):
+        with pytest.raises(LookupError):
+            only(table, "id", **bad)
+    log = RetryLog(operation="load", table_session_id="t1", layer="SILVER")
+    run_with_retry(failing(1, "A"), p, log, lambda _: None)
+    assert [(r["table_session_id"], r["layer"], r["attempt_no"], r["error_code"], r["is_retryable"]) for r in log.frame(spark).collect()] == [("t1", "SILVER", 1, "LOAD_A_ERROR", True)]
+
+
+def test_gate_that_stops(spark):
+    rows = [("a", "B", "SUCCESS", 5), ("b", "B", "FAILED", 5), ("c", "B", "SKIPPED", 0)]
+    layers = spark.createDataFrame(rows, "run_id string, layer string, status string, target_rows int")
+    assert pass_gate(layers, "B", "a") and not pass_gate(layers, "B", "c") and not pass_gate(layers, "B", "none")
+    with pytest.raises(GateClosed):
+        pass_gate(layers, "B", "b")
+
+
 def test_year_gap_and_labels(spark):
     df = spark.createDataFrame([(2020, 0), (2021, 5), (2023, 8), (2024, 4)], "year_number int, v int")
     out = year_over_year(df, "year_number", "v").withColumn("label", growth_label(F.col("growth"), F.col("prior"))).orderBy("year_number").collect()
