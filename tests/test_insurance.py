@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratal.operators.reconcile import Key, Suite
-from stratal.plans.insurance import FEEDS, Platform
+from stratal.plans.audit import GateClosed, RetryPolicy
+from stratal.plans.insurance import FEEDS, Platform, ValidationFailed
 
 N = 40
 
@@ -78,3 +80,68 @@ def test_batch_twice_changes_nothing(spark, tmp_path):
     before = {d: sorted(map(str, p.table("gold", f"dim_{d}").read().collect())) for d in data}
     p.load(data, 1)
     assert before == {d: sorted(map(str, p.table("gold", f"dim_{d}").read().collect())) for d in data}
+
+
+def audit(p, name, *columns, **where):
+    df = p.table("audit", name).read()
+    for k, v in where.items():
+        df = df.where(F.col(k) == v)
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_quotations_before_any_policy(spark, tmp_path):
+    """Feeds that have not come yet are empty: keys are -1 and flags false; a policy that comes later turns the flag."""
+    p, data = Platform(spark, f"file://{tmp_path}", buckets=3), bronze(spark)
+    done = p.load({"quotation": data["quotation"]}, 1)
+    assert done == {"quotation": {"kept": 0, "updated": 0, "inserted": N - 1}}
+    q = p.table("gold", "fact_quotation").read()
+    assert q.where("converted_flag OR customer_key <> -1 OR vehicle_key <> -1").count() == 0 and q.where("package_key > 0").count() == N - 1
+    assert audit(p, "session", "status") == [("SUCCESS",)] and ("quotation", "SILVER", "SUCCESS") in audit(p, "layer", "source", "layer", "status")
+    p.load({"policy": data["policy"]}, 2)
+    assert p.table("gold", "fact_quotation").read().where("converted_flag").count() == 8
+    assert p.table("gold", "fact_policy").read().where("customer_key = -1").count() == 9
+
+
+def test_events_before_their_dimension_are_logged(spark, tmp_path):
+    p, data = Platform(spark, f"file://{tmp_path}"), bronze(spark)
+    late = data["provider"].withColumn("created_date", F.when(F.col("provider_code") == "BV", "2024-01-10 00:00:00").otherwise(F.col("created_date")))
+    p.load({"provider": late, "quotation": data["quotation"]}, 1)
+    q = p.table("gold", "fact_quotation").read()
+    before = {f"Q{i}" for i in range(N) if i % 2 and 1 + i % 20 < 10 and i != 5}
+    assert {r["quotation_id"] for r in q.where("provider_key = -1").collect()} == before
+    log = p.table("audit", "invalid_record").read()
+    assert {r["record_key"] for r in log.collect()} == before and {tuple(r) for r in log.select("layer", "target_table", "error_column", "error_type").collect()} == {("GOLD", "gold.fact_quotation", "provider_key", "TEMPORAL_MISMATCH_ERROR")}
+    one = log.where("record_key = 'Q3'").first()
+    assert one["error_reason"] == "Transaction date [2024-01-04] is prior to dimension registration date [2024-01-10] for business key [BV]" and '"quotation_id":"Q3"' in one["raw_data"]
+
+
+def test_failed_layer_stops_the_next_and_recovery_goes_on(spark, tmp_path):
+    p, data = Platform(spark, f"file://{tmp_path}", policy=RetryPolicy(1, 0.0, retryable=("SYSTEM",))), bronze(spark)
+    feeds = {"agent": data["agent"], "customer": data["customer"].drop("email")}
+    with pytest.raises(GateClosed, match="SILVER gate: 1 table"):
+        p.load(feeds, 5)
+    assert not p.table("gold", "dim_agent").exists()
+    states = {(s, la): st for s, la, st in audit(p, "layer", "source", "layer", "status")}
+    assert states == {("agent", "SILVER"): "SUCCESS", ("customer", "SILVER"): "FAILED", ("dim_customer", "GOLD"): "NOT_RUN", ("dim_agent", "GOLD"): "NOT_RUN"}
+    assert audit(p, "session", "run_mode", "status") == [("NEW", "FAILED")]
+    assert [x for x in audit(p, "layer", "attempts", source="customer")] == [(2,)] and audit(p, "retry", "layer", "attempt_no", "is_retryable") == [("SILVER", 1, True)]
+    p.load({"agent": data["agent"], "customer": data["customer"]}, 5, mode="RECOVERY")
+    assert p.loaded.keys() == {"customer"} and p.table("gold", "dim_agent").read().count() == 5 and p.table("gold", "dim_customer").read().count() == N
+    assert audit(p, "session", "run_mode", "status") == [("NEW", "FAILED"), ("RECOVERY", "SUCCESS")]
+    assert len(p.table("silver", "agent").versions()) == 1
+
+
+def test_nothing_valid_ends_the_batch(spark, tmp_path):
+    p, data = Platform(spark, f"file://{tmp_path}"), bronze(spark)
+    assert p.load({"agent": data["agent"].withColumn("agent_name", F.lit(""))}, 1) == {}
+    assert audit(p, "layer", "source", "status") == [("agent", "SKIPPED")] and not p.table("gold", "dim_agent").exists()
+
+
+def test_validation_is_recorded_with_an_offending_row(spark, tmp_path):
+    p, data = Platform(spark, f"file://{tmp_path}"), bronze(spark)
+    far = data["quotation"].withColumn("quotation_date", F.when(F.col("quotation_id") == "Q8", "2031-01-01 00:00:00").otherwise(F.col("quotation_date"))).withColumn("quotation_expiry_date", F.lit("2032-01-01 00:00:00"))
+    with pytest.raises(ValidationFailed, match="date quotation_date_key"):
+        p.load({"quotation": far}, 1, strict=True)
+    bad = p.table("audit", "validation").read().where("NOT passed").collect()
+    assert {(r["check"], r["column"]) for r in bad} == {("date", "quotation_date_key"), ("date", "expiry_date_key")}
+    assert '"quotation_id":"Q8"' in next(r["sample"] for r in bad if r["column"] == "quotation_date_key")
