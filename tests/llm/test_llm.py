@@ -106,6 +106,45 @@ def test_profile_counts_against_brute_force():
     assert got == grams
 
 
+def brute_grams(text):
+    """Counts of the n-grams, with word ends marked; the code of one orders as the signs do, the mark before letters."""
+    grams = Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        marked = f"\0{word}\0"
+        grams.update(word)
+        grams.update(marked[i : i + 2] for i in range(len(marked) - 1))
+        grams.update(marked[i : i + 3] for i in range(len(marked) - 2))
+    return grams
+
+
+def brute_ranked(grams, size):
+    code = lambda g: sum((1 if c == "\0" else 1 + ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+
+
+def test_distances_and_predictions_against_brute_force(spark, texts):
+    rng = random.Random(2)
+    train = [(i, " ".join(rng.choice(v) for _ in range(30)), lang) for i, (lang, v) in enumerate((l, v) for l, v in (("aa", ["ab", "bab", "abba"]), ("bb", ["cd", "dcd"]), ("cc", ["ef", "abef"])) for _ in range(4))]
+    profiles = langid.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"), size=25)
+    of = {lang: brute_ranked(sum((brute_grams(t) for _, t, x in train if x == lang), Counter()), 25) for lang in ("aa", "bb", "cc")}
+    for text in [*(t for t in list(texts.values())[:20] if t), "abba cd ef", "ab", "zz Zq"]:
+        mine = brute_ranked(brute_grams(text), 25)
+        if not mine:
+            continue
+        far = {l: sum(abs(r - p.index(g)) if g in p else 25 for r, g in enumerate(mine)) / (25 * len(mine)) for l, p in of.items()}
+        best = min(far, key=lambda l: (far[l], l))
+        second = sorted(far.values())[1]
+        lang, score, near = profiles.predict(text)
+        assert lang == best and math.isclose(near, 1 - far[best], abs_tol=1e-12)
+        assert math.isclose(score, second / (second + far[best]) if second + far[best] else 0.5, abs_tol=1e-12)
+
+
+def test_a_tie_of_two_languages(spark):
+    rows = [(1, "same words here", "zz"), (2, "same words here", "aa"), (3, "other things", "mm")]
+    profiles = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert profiles.predict("same words here")[:2] == ("aa", 0.5)
+
+
 def test_language_odd_rows(spark, odd, empty):
     profiles = langid.learn(odd)
     got = langid.predict(odd, profiles).collect()
@@ -358,6 +397,43 @@ def test_shards(spark, docs, texts):
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sorted((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in texts.items())
 
 
+def brute_shards(cells, n, room, vnodes, bits):
+    """Row by row: (cell, rank) to its place on the ring; rows that find it full go on clockwise, in the order of their cells."""
+    points = sharding.ring(n, vnodes, bits)
+    home = lambda cell: next((i for i, (c, _) in enumerate(points) if c >= cell), 0)
+    used, out, over = [0] * n, {}, []
+    for row in sorted(cells):
+        s = points[home(row[0])][1]
+        if used[s] < room[s]:
+            used[s] += 1
+            out[row] = s
+        else:
+            over.append(row)
+    for row in over:
+        at = home(row[0])
+        clockwise = [points[(at + k) % len(points)][1] for k in range(1, len(points) + 1)] + list(range(n))
+        s = next(s for s in clockwise if used[s] < room[s])
+        used[s] += 1
+        out[row] = s
+    return out
+
+
+@pytest.mark.parametrize(("n", "vnodes", "slack"), [(7, 4, 0.0), (5, 16, 0.25), (12, 2, 0.0)])
+def test_ring_walk_against_brute_force(n, vnodes, slack):
+    rng = random.Random(n)
+    for _ in range(5):
+        counts = {rng.randrange(256): rng.choice([1, 1, 2, 40]) for _ in range(60)}
+        total = sum(counts.values())
+        room = [math.ceil((1 + slack) * total / n)] * n if slack else [total // n + (s < total % n) for s in range(n)]
+        want = brute_shards([(c, r) for c, k in counts.items() for r in range(k)], n, room, vnodes, 8)
+        got, slots = {}, Counter()
+        for x in sharding.plan(counts, n, vnodes, slack, 8):
+            got |= {(x["cell"], r): x["shard"] for r in range(x["lo"], x["hi"])}
+            slots.update((x["shard"], x["slot"] + k) for k in range(x["hi"] - x["lo"]))
+        assert got == want
+        assert sorted(slots) == sorted((s, k) for s, m in Counter(want.values()).items() for k in range(m)) and max(slots.values()) == 1
+
+
 def test_bounded_loads_move_little(spark):
     d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     at = lambda df, n, s=0.0: {r["doc_id"]: r["shard"] for r in sharding.shard(df, n, slack=s).collect()}
@@ -596,6 +672,33 @@ def test_quality_held_out(spark):
     assert auc > 0.95 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in d)
 
 
+def brute_statistics(text):
+    raw = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    out = [0.0] * quality.N_STATS
+    if not raw:
+        return out
+    out[: len(quality._CLASSES)] = [sum(raw.count(bytes([b])) for b in c) / len(raw) for c in quality._CLASSES]
+    k, share = len(quality._CLASSES), [raw.count(bytes([b])) / len(raw) for b in set(raw)]
+    out[k : k + 2] = math.log1p(len(raw)), -sum(p * math.log2(p) for p in share)
+    if w:
+        size, n, pairs = [len(x) for x in w], len(w), list(zip(w, w[1:]))
+        mean = sum(size) / n
+        out[k + 2 :] = [
+            math.log1p(n), min(mean, 50), min(math.sqrt(sum((x - mean) ** 2 for x in size) / n), 50), len(set(w)) / n, max(Counter(w).values()) / n,
+            sum(a == b for a, b in pairs) / (n - 1) if n > 1 else 0, 1 - len(set(pairs)) / max(1, n - 1), size.count(1) / n, sum(x > 12 for x in size) / n,
+            sum(x.endswith(b".") for x in w) / n, sum(x[:1].isupper() for x in w) / n, math.log1p(raw.count(b"\n")),
+        ]
+    return out
+
+
+def test_statistics_against_brute_force(texts):
+    some = [*list(texts.values())[:60], None, "", "  \n", "x", "A. B. A. B.", "é" * 40 + "\n\n", "| <a> {b} !!! 123 " * 9]
+    got = list(quality.statistics(pa.array(some)))
+    for text, x in zip(some, got, strict=True):
+        assert np.allclose(x, brute_statistics(text), atol=1e-9), text
+
+
 def test_normal_equations_and_isotonic(spark):
     x, y = quality.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([1.0, 1, 1, 1, 1]), np.array([0.0, 1, 0, 1, 1]))
     assert np.all(np.diff(y) >= 0) and y.tolist() == [0, 0.5, 0.5, 1, 1] and x.tolist() == [1, 2, 3, 4, 5]
