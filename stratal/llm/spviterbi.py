@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from stratal.llm import textkernel as tk
+
 MARK = "▁"
 #: Stands for a mark that is in the text itself; no UTF-8 text has it.
 _OWN_MARK = "\udc81"
@@ -48,7 +50,9 @@ class Pieces:
                 self.raw.append(piece.replace(MARK, " ").encode())
                 if MARK not in piece[1:]:  # words begin at every mark, so no piece reaches over one
                     self.score[piece] = (-math.log(2.7 - scores[i]) if ranks else scores[i]), i
-        self.longest = max(map(len, self.score))
+        # pieces, and None for what only ends one: a longer piece that ends here ends with each of its own ends
+        self.ends: dict[str, tuple[float, int] | None] = {piece[i:]: None for piece in self.score for i in range(1, len(piece))}
+        self.ends.update(self.score)
         self.worst = min(s for s, _ in self.score.values()) - 10
 
     def fallback(self, sign: str) -> list[int]:
@@ -58,7 +62,7 @@ class Pieces:
         """Best ids of each of the sorted ``words``: the highest sum of scores; of equal sums the one with
         the longer last piece. Signs that are no piece are spelt in bytes."""
         best, back = [0.0], [(0, 0)]  # by length of the prefix; back: where its last piece begins, id or -1
-        get, before = self.score.get, ""
+        get, single, before = self.ends.get, self.score, ""
         for w in words:
             same = 0
             for x, y in zip(before, w, strict=False):
@@ -67,11 +71,15 @@ class Pieces:
                 same += 1
             del best[same + 1 :], back[same + 1 :]
             for j in range(same + 1, len(w) + 1):
-                top, link = best[j - 1] + self.worst * len(self.fallback(w[j - 1])) if w[j - 1] not in self.score else -math.inf, (j - 1, -1)
-                for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
-                    found = get(w[i:j])
-                    if found and best[i] + found[0] >= top:
-                        top, link = best[i] + found[0], (i, found[1])
+                top, link = best[j - 1] + self.worst * len(self.fallback(w[j - 1])) if w[j - 1] not in single else -math.inf, (j - 1, -1)
+                for i in range(j - 1, -1, -1):
+                    found = get(w[i:j], False)
+                    if found:
+                        score = best[i] + found[0]
+                        if score >= top:
+                            top, link = score, (i, found[1])
+                    elif found is False:
+                        break
                 best.append(top)
                 back.append(link)
             before, at, parts = w, len(w), []
@@ -127,7 +135,7 @@ def _encode(path: str, digest: bool) -> Callable:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = batch.column("text").to_pylist()
+                texts = tk.decoded(batch.column("text"))
                 ids = c.encode(texts)
                 n = pa.array([len(x) // size for x in ids], pa.int64())
                 if digest:
@@ -144,7 +152,7 @@ def _encode(path: str, digest: bool) -> Callable:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array of int) of every row; null and empty texts have no ids."""
+    """doc_id, n_tokens, ids (array of int) of every row; null and empty texts have no ids. Bytes that are no UTF-8 count as U+FFFD."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(_encode(path, False), "doc_id long, n_tokens long, ids array<int>")
 
@@ -153,19 +161,20 @@ def _decode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = [c.decode(np.array(i.as_py() or [], c.pieces.width).tobytes()) for i in batch.column("ids")]
+            n = len(c.pieces.raw)
+            texts = [c.decode(np.array([x for x in i or [] if x is not None and 0 <= x < n], c.pieces.width).tobytes()) for i in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, text of rows with ids; null ids give an empty text."""
+    """doc_id, text of rows with ids; null ids give an empty text, and ids that the model does not have give nothing."""
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256, exact (whether the
-    decoded text is the text) of every row."""
+    decoded text is the text) of every row, one without a doc_id too; null and empty texts have no ids and are exact."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(_encode(path, True), "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, exact boolean")

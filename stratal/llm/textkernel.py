@@ -100,6 +100,11 @@ def split_words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
+def decoded(column: pa.Array) -> list[str | None]:
+    """The texts; bytes that are no UTF-8 count as U+FFFD."""
+    return [None if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes of text each, one document at least."""
     size = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
