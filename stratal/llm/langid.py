@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from stratal.llm import textkernel as tk
+
 #: N-grams in a profile, of a language or of a document.
 PROFILE = 400
 #: Training documents a language, as expected from a draw by hash; the only sample taken here.
@@ -117,7 +119,7 @@ class Profiles:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for lang, text in zip(tk.decoded(batch.column("lang")), tk.decoded(batch.column("text")), strict=True):
             codes, counts = gram_counts(text)
             if lang in sums:
                 codes, back = np.unique(np.concatenate([sums[lang][0], codes]), return_inverse=True)
@@ -149,7 +151,7 @@ def learn(docs: DataFrame, size: int = PROFILE, max_train: int = MAX_TRAIN) -> P
 def _predict(profiles: Profiles) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t.as_py()) for t in batch.column("text")]
+            found = [profiles.predict(t) for t in tk.decoded(batch.column("text"))]
             others = [c for c in batch.schema.names if c != "text"]
             lang, score, near = zip(*found, strict=True) if found else ((), (), ())
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.float64())]
@@ -176,7 +178,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 def _keep(profiles: Profiles, column: str, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t.as_py()) for t in batch.column(column)]
+            found = [profiles.predict(t) for t in tk.decoded(batch.column(column))]
             yield batch.filter(pa.array([lang != UNKNOWN and near >= least for lang, _, near in found], pa.bool_()))
 
     return run

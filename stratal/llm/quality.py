@@ -158,6 +158,8 @@ def isotonic(x: np.ndarray, weight: np.ndarray, y: np.ndarray) -> tuple[np.ndarr
 
 
 def describe(docs: DataFrame) -> DataFrame:
+    """A table of doc_id and the statistics of its text, a row for each of ``docs``. Null and empty texts have zeros;
+    rows without a doc_id are described too, but no label is theirs."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return materialize(rows.mapInArrow(_statistics, "doc_id long, stats array<float>"), "stats")
 

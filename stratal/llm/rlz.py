@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stratal.llm import textkernel as tk
-from stratal.llm.scratch import materialize
+from stratal.llm.scratch import discard, materialize
 
 WINDOW = 50
 ANCHOR = 10
@@ -110,10 +110,16 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     shared = found.groupBy("anchor").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("run") != F.max("run")).alias("mixed")
     ).where("lo < hi").select("anchor", "mixed")
-    known = materialize(found.join(materialize(shared, "anchors"), "anchor"), "known")
+    shared = materialize(shared, "anchors")
+    known = all_known = materialize(found.join(shared, "anchor"), "known")
+    discard(found)
+    discard(shared)
     least = known.groupBy("anchor", "run").agg(F.min("doc_id").alias("lo"), F.min_by("at", "doc_id").alias("lo_at"))
-    known = known.join(materialize(least, "least"), ["anchor", "run"]).select("doc_id", "mark", "at", "n", "lo", "lo_at", "mixed")
+    least = materialize(least, "least")
+    known = known.join(least, ["anchor", "run"]).select("doc_id", "mark", "at", "n", "lo", "lo_at", "mixed")
     known = materialize(known.where("doc_id > lo OR mixed"), "judged")
+    discard(all_known)
+    discard(least)
     whole = known.where("doc_id > lo").select("doc_id", "mark", "at", "n", "lo", "lo_at")
     # a run's first document speaks for all: later ones have their windows already
     asks = known.where("doc_id = lo").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("asks"))
@@ -169,8 +175,8 @@ def _remove(window: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, gone, kept, digest = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
+            for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                words = (text or b"").split()
                 n_words.append(len(words))
                 if found:
                     drop = covered(len(words), factored(found, window))
@@ -180,13 +186,13 @@ def _remove(window: int, with_text: bool) -> Callable:
                     gone.append(0)
                 left = b" ".join(words)
                 if with_text:
-                    kept.append(left.decode("utf-8", "surrogatepass") if gone[-1] else text)
+                    kept.append(left if gone[-1] else text)
                 digest.append(hashlib.sha256(left).hexdigest())
             others = [c for c in batch.schema.names if c not in ("text", "spans", "mark")]
             columns = [batch.column(c) for c in others] + [pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
             names = [*others, "n_words", "n_removed", "kept_sha256"]
             if with_text:
-                columns.append(pa.array(kept, pa.string()))
+                columns.append(pa.array(kept, pa.binary()))
                 names.append("kept_text")
             yield pa.record_batch(columns, names)
 
@@ -203,8 +209,9 @@ def remove_copies(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, w
     """
     rows = keyed(docs)
     joined = rows.join(spans(rows, window, anchor), ["doc_id", "mark"], "left")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(_remove(window, with_text), schema)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text binary" * with_text
+    out = joined.mapInArrow(_remove(window, with_text), schema)
+    return out.withColumn("kept_text", F.col("kept_text").cast("string")) if with_text else out
 
 
 def rewrite(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -215,10 +222,11 @@ def rewrite(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     rows = rows.withColumn("mark", F.hash("text"))
     joined = rows.join(spans(rows.drop("rest"), window, anchor), ["doc_id", "mark"], "left")
     kind = rows.schema["rest"].dataType.simpleString()
-    schema = f"doc_id long, rest {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    schema = f"doc_id long, rest {kind}, n_words long, n_removed long, kept_sha256 string, kept_text binary"
     kept = joined.mapInArrow(_remove(window, True), schema).where("n_removed = 0 OR n_removed < n_words")
     changed = F.col("n_removed") > 0
-    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text")}
+    text = F.col("kept_text").cast("string")
+    new = {"text": text, "n_chars": F.char_length(text)}
     columns = []
     for i, (c, t) in enumerate(docs.dtypes):
         old = F.col(f"rest.c{i}")

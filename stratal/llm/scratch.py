@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Paths of this process' tables, in the order they were written.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stratal/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/stratal/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
@@ -45,6 +49,18 @@ def discard(df: DataFrame | None) -> None:
         drop_path(df.sparkSession, df.scratch_path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written inside go at the end, but for those put into the list; what is lazy must have been run by then."""
+    begin, kept = len(_WRITTEN), []
+    yield kept
+    keep = {df.scratch_path for df in kept}
+    for path in _WRITTEN[begin:]:
+        if path not in keep:
+            drop_path(spark, path)
+    _WRITTEN[begin:] = keep
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """SQL settings for what is run inside; those before come back."""

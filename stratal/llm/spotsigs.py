@@ -117,6 +117,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, fingerprint; pairs: one, two, likeness of distinct fingerprints alike enough).
 
+    Null texts count as empty; rows without a doc_id are members too; equal texts share a fingerprint, so copies make no pairs.
+
     Sets are partitioned by length, in steps of 1 / threshold, so that a set meets those of its
     own and the next partition only. Two sets meet if they share one of their rarest
     n - ceil(threshold * n) + 1 signatures; lengths are compared before the sets are.

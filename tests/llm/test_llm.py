@@ -650,6 +650,12 @@ def test_viterbi_is_the_best_path(codec):
     assert alone == list(codec.pieces.viterbi(some))  # shared prefixes change nothing
 
 
+def test_ids_the_model_does_not_have(spark):
+    p = queries.tokenizer_path("piece_bpe_32k.model")
+    rows = spark.createDataFrame([(1, [10**6, -1, None]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert [r["text"] for r in spviterbi.decode(rows, p).collect()] == ["", "", ""]
+
+
 def test_codec_odd_texts(spark, odd, empty, codec):
     for t in ("", " ", "  a  b ", "▁x ▁", "a\n\nb\t\r\n", "日本 𝄞 ñ\x00", "x" * 1000):
         assert codec.decode(codec.encode([t])[0]) == t
@@ -949,3 +955,25 @@ def test_language_model_odd_rows(spark, odd, empty):
     got = gru_lm.score(odd, model, counts).collect()
     assert len(got) == len(ODD) and all(r["n_known"] == 0 for r in got)
     assert gru_lm.score(empty, model, counts).count() == 0
+
+
+# --- bytes that are no UTF-8
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    """Every operator takes them; those that need signs see U+FFFD."""
+    bad = "CAST(unhex('C3') AS STRING)"
+    docs = spark.sql(f"SELECT id AS doc_id, concat('the cat ', {bad}, ' sat on ', IF(id < 3, 'the mat and the dog', CAST(id AS STRING)), ' ', {bad}, repeat(' word', 60)) AS text, 'en' AS lang, 30L AS n_chars FROM range(6)")
+    assert langid.predict(docs, langid.learn(docs)).count() == 6
+    assert {r["component_id"] for r in ngram_join.ngram_components(docs).collect()} >= {0} and ngram_join.one_of_each(docs).count() < 6
+    p = queries.tokenizer_path("word_bpe_49k.json")
+    token_store.write_tokens(docs, f"file://{tmp_path}/t", p, 2)
+    assert {r["n_tokens"] > 60 for r in token_store.read_tokens(spark, f"file://{tmp_path}/t").collect()} == {True}
+    assert sharding.shard(docs, 3).count() == 6 and spotsigs.fingerprints(docs).count() == 6
+    removed = {r["doc_id"]: r["n_removed"] for r in rlz.remove_copies(docs).collect()}
+    assert removed[0] == 0 and removed[1] > 60 and rlz.rewrite(docs).count() == 4
+    m = queries.tokenizer_path("piece_bpe_32k.model")
+    assert {r["exact"] for r in spviterbi.round_trip(docs, m).collect()} == {True}
+    assert quality.describe(docs).count() == 6
+    assert {r["doc_id"] for r in decontam.matches(docs, spark.sql("SELECT 1L AS item_id, 'word word word word word word word' AS text")).collect()} == set(range(6))
+    assert gru_lm.learn_and_score(docs, docs["doc_id"] > 0).count() == 6
