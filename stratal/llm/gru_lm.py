@@ -40,7 +40,8 @@ MAX_SHARDS = 8 << 10
 #: Sums of weights that the driver adds up.
 SUMS = 32
 STREAMS, STEPS = 256, 32
-SLOTS, WINDOW = 512, 64
+#: Few steps at once keep a window's numbers in a core's cache.
+SLOTS, WINDOW = 512, 16
 #: Symbols are scored in slices of so many bytes.
 SCORE_BYTES = 8 << 20
 RATE = 6e-3
@@ -82,8 +83,9 @@ class Gru:
         """States after each of the steps, (time, unit, stream), from those before, (unit, stream); where ``fresh``
         (time, stream) the state before is zero. Units come before streams, so that a gate's numbers lie side by side."""
         p, d = self.p, self.hidden
-        x = np.ascontiguousarray(p["x"][inputs].transpose(0, 2, 1))
-        x[:, : 2 * d] += p["bu"][: 2 * d, None]
+        table = p["x"].copy()
+        table[:, : 2 * d] += p["bu"][: 2 * d]
+        x = np.ascontiguousarray(table[inputs].transpose(0, 2, 1))
         bn, u = p["bu"][2 * d :, None], np.ascontiguousarray(p["u"].T)
         some, on = fresh.any(1), (~fresh).astype(x.dtype)
         steps, streams = inputs.shape
@@ -181,39 +183,51 @@ class Gru:
             grad["bw"][k] = e[a:b].sum(0)
             np.matmul(e[a:b], p["w"][k].T, out=back[a:b])
         dh[:, rows] += back.T
-        # back through time
-        dh = np.ascontiguousarray(dh.reshape(d, steps, streams).transpose(1, 0, 2))
-        z, r, gn = gates[:, :d], gates[:, d : 2 * d], gates[:, 2 * d :]
-        slope = 1 - new * new
-        slope *= 1 - z
-        through = np.empty((steps, 3, d, streams), hs.dtype)
-        np.subtract(before, new, out=through[:, 0])
-        through[:, 0] *= z
-        through[:, 0] *= 1 - z
-        np.multiply(slope, r, out=through[:, 2])
-        np.multiply(through[:, 2], gn, out=through[:, 1])
-        through[:, 1] *= 1 - r
+        # back through time, step by step: what a step needs stays in the cache
+        dh = dh.reshape(d, steps, streams).transpose(1, 0, 2)
         some, keep = fresh.any(1), (~fresh).astype(hs.dtype)
-        carried = np.zeros((d, streams), hs.dtype)
+        dx, dg = np.empty((steps, streams, 3 * d), hs.dtype), np.empty((3 * d, streams), hs.dtype)
+        now, rest, slope, carried = (np.zeros((d, streams), hs.dtype) for _ in range(4))
+        grad["u"], grad["bu"] = np.zeros_like(p["u"]), np.zeros_like(p["bu"])
         for t in range(steps - 1, -1, -1):
-            now = dh[t]
-            now += carried
-            through[t] *= now
-            carried = p["u"] @ through[t].reshape(3 * d, streams)
-            carried += now * z[t]
+            z, r, gn, m, h = gates[t, :d], gates[t, d : 2 * d], gates[t, 2 * d :], new[t], before[t]
+            np.add(dh[t], carried, out=now)
+            np.subtract(1, z, out=rest)
+            np.multiply(m, m, out=slope)
+            np.subtract(1, slope, out=slope)
+            slope *= rest
+            slope *= now  # of the new state's own input, which the reset gate does not scale
+            gz, gr, gm = dg[:d], dg[d : 2 * d], dg[2 * d :]
+            np.subtract(h, m, out=gz)
+            gz *= z
+            gz *= rest
+            gz *= now
+            np.multiply(slope, r, out=gm)
+            np.subtract(1, r, out=gr)
+            gr *= gn
+            gr *= gm
+            now *= z
+            np.matmul(p["u"], dg, out=carried)
+            carried += now
             if some[t]:
                 carried *= keep[t]
-        dg = through.reshape(steps, 3 * d, streams)
-        grad["u"], grad["bu"] = np.matmul(before, dg.transpose(0, 2, 1)).sum(0), dg.sum((0, 2))
-        slope *= dh  # what comes to the new state's own input, which the reset gate does not scale
-        dx = np.empty((steps, streams, 3 * d), hs.dtype)
-        dx[..., : 2 * d] = dg[:, : 2 * d].transpose(0, 2, 1)
-        dx[..., 2 * d :] = slope.transpose(0, 2, 1)
-        order = by_value(inputs.ravel())
-        ranked = inputs.ravel()[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            grad["u"] += h @ dg.T
+            grad["bu"] += dg.sum(1)
+            dx[t, :, : 2 * d] = dg[: 2 * d].T
+            dx[t, :, 2 * d :] = slope.T
+        # the few symbols of the end and of rare words have most places: their rows are summed by a product
+        dx, symbols = dx.reshape(-1, 3 * d), inputs.ravel()
         grad["x"] = np.zeros_like(p["x"])
-        grad["x"][ranked[first]] = np.add.reduceat(dx.reshape(-1, 3 * d)[order], first, 0)
+        few = np.flatnonzero(symbols <= RARE)
+        of = np.zeros((1 + RARE, len(few)), hs.dtype)
+        of[symbols[few], np.arange(len(few))] = 1
+        grad["x"][: 1 + RARE] = of @ dx[few]
+        rows = np.flatnonzero(symbols > RARE)
+        if len(rows):
+            rows = rows[by_value(symbols[rows])]
+            ranked = symbols[rows]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            grad["x"][ranked[first]] = np.add.reduceat(dx[rows], first, 0)
         return {k: grad[k] / n for k in p}, hs[-1], float(loss) / n
 
     def train(self, docs: list[np.ndarray], epochs: int = 1, rate: float = RATE, seed: int = 5) -> list[float]:
