@@ -32,8 +32,9 @@ RARE = 16
 HIDDEN = 24
 #: Words whose counts every worker holds, most frequent first; counts of the others are joined.
 HEAD = 1 << 18
-#: Training tokens of one shard, and of what a task trains on at once.
-MAX_TOKENS = 600_000
+#: Training tokens of one shard, and of what a task trains on at once: many, so that streams are long beside the longest documents
+#: and few windows have few streams.
+MAX_TOKENS = 2_400_000
 ROUNDS = 8
 #: Shards at most; more tokens make larger shards, which are trained on piece by piece.
 MAX_SHARDS = 8 << 10
@@ -262,7 +263,7 @@ class Gru:
         if not docs:
             return out
         h = np.zeros((self.hidden, min(SLOTS, len(docs))), np.float32)
-        for inputs, targets, fresh, live, owner in windows(docs, SLOTS, WINDOW):
+        for inputs, targets, fresh, live, owner in windows(docs, SLOTS, WINDOW, stretch=16):
             hs, _ = self.states(inputs, fresh, h[:, : inputs.shape[1]])
             h, on = hs[-1], np.flatnonzero(live)
             out += np.bincount(owner[live], self.log_probs(hs.transpose(1, 0, 2).reshape(self.hidden, -1)[:, on], targets.ravel()[on]), len(docs))
@@ -317,9 +318,10 @@ def deal(lengths: np.ndarray, slots: int) -> list[list[int]]:
     return sorted(streams, key=lambda s: -sum(int(lengths[d]) for d in s))
 
 
-def windows(docs: list[np.ndarray], slots: int, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
+def windows(docs: list[np.ndarray], slots: int, steps: int, stretch: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
     """(inputs, targets, fresh, live, owner), each (time, stream), of all tokens of documents laid out in streams: window
-    after window, of the streams that still go on. The input before a document is the end."""
+    after window, of the streams that still go on. The input before a document is the end. With ``stretch`` windows are up
+    to so many times longer where fewer streams go on."""
     lengths = np.array([len(d) for d in docs])
     streams = deal(lengths, slots)
     if not streams:
@@ -332,9 +334,11 @@ def windows(docs: list[np.ndarray], slots: int, steps: int) -> Iterator[tuple[np
     fresh[np.append(0, np.cumsum(lengths[order])[:-1])] = True
     size = np.array([int(lengths[s].sum()) for s in streams])
     begin = np.cumsum(size) - size
-    for at in range(0, int(size[0]), steps):
-        used = int(np.searchsorted(-size, -at, "left"))
-        time = np.arange(at, min(at + steps, int(size[0])))[:, None]
+    to = 0
+    while to < int(size[0]):
+        at, used = to, int(np.searchsorted(-size, -to, "left"))
+        to = min(at + steps * max(1, min(stretch, slots // used)), int(size[0]))
+        time = np.arange(at, to)[:, None]
         live = time < size[:used]
         place = np.where(live, begin[:used] + time, 0)
         yield before[place], np.where(live, targets[place], 0), fresh[place] & live, live, owner[place]
@@ -567,9 +571,22 @@ def learn(rows: DataFrame, max_tokens: int = MAX_TOKENS, top: int = TOP, head_wo
     return model, counts
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes in ``column``, or larger ones."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _score(gru: Gru, kind: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, "s", SCORE_BYTES):
             for lo, hi in tk.slices(batch.column("s"), SCORE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 lm = gru.score([np.frombuffer(x.as_buffer(), kind).astype(np.int32) for x in part.column("s")]) / np.log(10)
