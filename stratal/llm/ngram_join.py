@@ -408,7 +408,7 @@ class Sets:
         need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
         for t in self.tables:
             need = need.join(t.select("cid"), "cid", "left_anti")
-        need = materialize(need.join(self.classes.select("cid", F.col("rep").alias("doc_id")), "cid"), "need")
+        need = materialize(need.join(self.classes.select("cid", F.col("rep").alias("doc_id")), "cid"), "need", compact=True)
         if need.take(1) or not self.tables:
             texts = self.rows.join(need, "doc_id").select("cid", "text")
             self.tables.append(materialize(texts.mapInArrow(_sets(self.k), "cid long, set binary").dropDuplicates(["cid"]), "sets"))
@@ -450,8 +450,8 @@ def rooted(df: DataFrame, roots: DataFrame | None, node: str, out: str) -> DataF
     return df.join(r, node, "left").withColumn(out, F.coalesce(out, node))
 
 
-def tiles(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members (key, cid, n, left, root) of large blocks that have several roots, dealt to tiles with their points.
+def tiles(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, the table of blocks that they are read with): members (key, cid, n, left, root) of large blocks that have several roots, dealt to tiles with their points.
 
     The members of a block's most frequent root need no comparison with each other. The others are cut by hash into
     parts of about TILE and so are they; each part of the others meets each part of either kind in a tile, so no task
@@ -462,7 +462,8 @@ def tiles(members: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = sizes.where("roots > 1").select(
         "key", "main", F.ceil((F.col("all") - F.col("mains")) / TILE).cast("long").alias("mo"), F.ceil(F.col("mains") / TILE).cast("long").alias("mj")
     )
-    rows = members.join(materialize(blocks, "blocks"), "key")
+    blocks = materialize(blocks, "blocks", compact=True)
+    rows = members.join(blocks, "key")
     hashed = F.xxhash64("cid", "key")
     main = F.col("root") == F.col("main")
     rows = rows.withColumn("own", F.pmod(hashed, F.when(main, F.col("mj")).otherwise(F.col("mo"))))
@@ -474,7 +475,7 @@ def tiles(members: DataFrame, classes: DataFrame) -> DataFrame:
     high = F.when(among, F.greatest("own", "part")).when(main, F.col("mo") + F.col("own")).otherwise(F.col("part"))
     side: Column = F.when(main | (among & (F.col("own") != low)), 1).otherwise(0)
     dealt = rows.select(F.xxhash64("key", low, high).alias("tile"), "cid", "n", "left", "root", side.cast("int").alias("side"))
-    return dealt.join(classes.select("cid", "vec"), "cid")
+    return dealt.join(classes.select("cid", "vec"), "cid"), blocks
 
 
 def hot_keys(classes: DataFrame) -> DataFrame:
@@ -490,15 +491,22 @@ class Candidates:
     """Pairs of classes that may link: ``pairs`` (a, b, alike) of small blocks and the first ones of large blocks,
     ``members`` (key, cid, n, left) of large blocks."""
 
-    def __init__(self, rows: DataFrame, classes: DataFrame, pairs: DataFrame, members: DataFrame, k: int):
-        self.classes, self.pairs, self.members, self.sets = classes, pairs, members, Sets(rows, classes, k)
+    def __init__(self, rows: DataFrame, classes: DataFrame, pairs: DataFrame, first: DataFrame, k: int):
+        self.classes, self.pairs, self.first, self.sets = classes, pairs, first, Sets(rows, classes, k)
+        self.members = first.where("b IS NULL").select("key", F.col("a").alias("cid"), "n", "left")
+
+    def discard(self) -> None:
+        for t in (self.classes, self.pairs, self.first):
+            discard(t)
 
     def across(self, roots: DataFrame | None, best_only: bool) -> DataFrame:
         """Pairs between different components that sizes, what is left and the bound let pass; of tiles the best ones only if wanted."""
         known = rooted(rooted(self.pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b", "alike")
-        tiled = tiles(rooted(self.members, roots, "cid", "root"), self.classes)
+        tiled, blocks = tiles(rooted(self.members, roots, "cid", "root"), self.classes)
         found = tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(best_only), "a long, b long, alike double")
-        return materialize(known.unionByName(found).groupBy("a", "b").agg(F.max("alike").alias("alike")), "across")
+        out = materialize(known.unionByName(found).groupBy("a", "b").agg(F.max("alike").alias("alike")), "across")
+        discard(blocks)
+        return out
 
     def links(self) -> DataFrame:
         """Every linked pair (a, b) of classes."""
@@ -507,12 +515,13 @@ class Candidates:
     def roots(self) -> DataFrame:
         """(node, root) of the components that links make, for the classes that have any."""
         links = tried = roots = None
+        tables = []
         for step in range(3):
             pairs = self.pairs if step == 0 else self.across(roots, best_only=step == 1)
             chosen = best_partners(pairs) if step < 2 else pairs.select("a", "b")
             if tried is not None:
                 chosen = chosen.join(tried, ["a", "b"], "left_anti")
-            chosen = materialize(chosen, "chosen")
+            chosen = materialize(chosen, "chosen", compact=True)
             if step:
                 discard(pairs)
             more = materialize(self.sets.verified(chosen), "links")
@@ -521,6 +530,9 @@ class Candidates:
                 roots, old = components(links, "round"), roots
                 discard(old)
             tried = chosen if tried is None else tried.unionByName(chosen)
+            tables += [chosen, more]
+        for t in tables:
+            discard(t)
         self.sets.discard()
         return roots
 
@@ -541,8 +553,7 @@ def join_classes(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, Candidat
     classes = materialize(keyed.drop("keys"), "points")
     discard(keyed)
     pairs = materialize(bounded(first.where("b IS NOT NULL").select("a", "b").distinct(), classes), "pairs")
-    members = first.where("b IS NULL").select("key", F.col("a").alias("cid"), "n", "left")
-    return surveyed.where("chunk IS NULL"), Candidates(rows, classes, pairs, members, k)
+    return surveyed.where("chunk IS NULL"), Candidates(rows, classes, pairs, first, k)
 
 
 def class_links(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -569,10 +580,12 @@ def _named(k: int, kept: list[str]) -> Callable:
 def labelled(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, cid, cid2, component, root) of each row; component is null for rows without words or doc_id."""
     surveyed, found = join_classes(docs, k)
-    reps = rooted(found.classes.select("cid", "cid2", "rep"), found.roots(), "cid", "root")
+    roots = found.roots()
+    reps = rooted(found.classes.select("cid", "cid2", "rep"), roots, "cid", "root")
     least = reps.groupBy("root").agg(F.min("rep").alias("component"))
     named = materialize(reps.join(least, "root").select("cid", "cid2", "component", "root"), "named")
-    discard(found.pairs)
+    discard(roots)
+    found.discard()
     joined = surveyed.join(named, ["cid", "cid2"], "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component"))
     return joined.select("doc_id", "n", "cid", "cid2", own.alias("component"), "root")

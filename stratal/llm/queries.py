@@ -19,12 +19,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes of a batch that goes to a Python worker; Spark's own bound of 64 MB is held several times over, on both sides of the pipe.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 #: For Python workers: freed memory goes back to the machine, and a worker's arithmetic stays on its own core.
 WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_MMAP_THRESHOLD_": "16777216", "OPENBLAS_NUM_THREADS": "1"}
 
 
 def find_package(spark: SparkSession) -> None:
-    """Python workers started from another folder find this package too."""
+    """Python workers started from another folder find this package too, and rows go to them in batches that are small
+    beside an executor's memory."""
+    spark.conf.set(*BATCH_BYTES)
     for name, value in {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), **WORKERS}.items():
         spark.sparkContext.environment.setdefault(name, value)
 

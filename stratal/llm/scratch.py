@@ -33,11 +33,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, folders: list[str] | None = None, compact: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there,
-    and a lost executor costs only the tasks that were running on it. ``folders``: columns to part the files by."""
+    and a lost executor costs only the tasks that were running on it. ``folders``: columns to part the files by. ``compact``:
+    files of the advisory partition size rather than as many as there are cores, for tables that little work makes."""
     path = new_path(df.sparkSession, name)
-    write(df, path, folders)
+    write(df, path, folders, compact)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -74,9 +75,10 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def write(df: DataFrame, path: str, folders: list[str] | None = None) -> None:
+def write(df: DataFrame, path: str, folders: list[str] | None = None, compact: bool = False) -> None:
     """Write Parquet; the shuffle files of this one query go as soon as it has ended."""
-    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    few = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"} if compact else {}
+    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **few}):
         df.write.partitionBy(*folders or ()).parquet(path)
 
 

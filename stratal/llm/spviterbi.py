@@ -135,7 +135,7 @@ def _encode(path: str, digest: bool) -> Callable:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = tk.decoded(batch.column("text"))
+                texts = list(tk.decoded(batch.column("text")))
                 ids = c.encode(texts)
                 n = pa.array([len(x) // size for x in ids], pa.int64())
                 if digest:

@@ -100,9 +100,10 @@ def split_words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def decoded(column: pa.Array) -> list[str | None]:
-    """The texts; bytes that are no UTF-8 count as U+FFFD."""
-    return [None if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+def decoded(column: pa.Array) -> Iterator[str | None]:
+    """The texts, one by one; bytes that are no UTF-8 count as U+FFFD."""
+    for x in column.cast(pa.binary()):
+        yield None if (raw := x.as_py()) is None else raw.decode("utf-8", "replace")
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
