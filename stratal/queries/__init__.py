@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-_PARTS = ("relational", "rules", "dimensions", "reconciliation", "kpis", "runs", "pages", "platform")
+_PARTS = ("relational", "rules", "dimensions", "reconciliation", "kpis", "runs", "pages", "platform", "sinks")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -498,6 +498,18 @@ def kpi_active_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("active_flag = 1 AND upper(s_name) <> 'UNKNOWN'").agg(F.count_distinct("s_name").alias("active_providers"))
 
 
+@query(f"""
+WITH {STAR}, k AS (SELECT quotation_id FROM fq WHERE quoted_date < DATE '1997-01-01' AND NOT (quoted_date < DATE '1995-06-01'))
+SELECT year_number, count(*) AS policies_issued, {r('sum(premium_amount)')} AS total_written_premium_vnd FROM fpe WHERE policy_id IN (SELECT quotation_id FROM k) AND region = 'ASIA' GROUP BY 1
+""")
+def kpi_bidirectional_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on a field of quotations alone reaches the policies of these quotations, as in the second model."""
+    m = two(spark, sf_dir)
+    m.bridges["fact_policy"] = ("policy_id", "fact_quotation", "quotation_id")
+    where = ["quoted_date < DATE'1997-01-01'", "NOT (quoted_date < DATE'1995-06-01')", "region = 'ASIA'"]
+    return plain(m.evaluate(["Policies Issued", "Total Written Premium (VND)"], ["year_number"], where))
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE upper(c_name) = (SELECT upper(c_name) FROM customer WHERE c_custkey = 3) ORDER BY c_custkey LIMIT 1")
 def login_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One member by its name, whatever the case."""

@@ -84,6 +84,8 @@ class Model:
     """Facts (frames, or stars that reach their dimensions' attributes) along the active relationships.
 
     A measure in another date role has a fact of its own (``fact_policy@end``) which is the same frame under that role.
+    ``bridges``: a fact's key, another fact and its key: a relationship that filters in both directions, through which a condition that
+    reaches the other fact only leaves the fact's rows of the keys that are left there.
     ``secured``: members (user_id and a column) and that column's name; such a model answers nothing until ``as_user``
     says for whom.
     """
@@ -93,6 +95,7 @@ class Model:
     measures: dict[str, Callable[[dict[str, Column]], Column]] = field(default_factory=dict)
     needs: dict[str, tuple[str, ...]] = field(default_factory=dict)
     secured: tuple[DataFrame, str] | None = None
+    bridges: dict[str, tuple[str, str, str]] = field(default_factory=dict)
 
     def as_user(self, user: str | None) -> Model:
         """The same model over the rows that ``user`` may see; none for no user or one that is not known."""
@@ -120,7 +123,7 @@ class Model:
 
     def frame(self, measures: list[str], by: list[str], where: str | list[str] | None = None) -> DataFrame:
         """The bases that ``measures`` need, by the fields ``by``. Each condition of ``where`` (several are slicers beside each
-        other) reaches a fact if it has all its fields, and leaves the others alone; a fact without a field of ``by`` is an error."""
+        other) reaches a fact if it has all its fields, or by a bridge, and leaves the others alone; a fact without a field of ``by`` is an error."""
         if self.secured is not None:
             raise AccessDenied("name a user first")
         wanted = list(dict.fromkeys(n for m in measures for n in self.needs[m]))
@@ -133,10 +136,18 @@ class Model:
                 raise ValueError(f"{fact} has no {', '.join(missing)}")
             mine = [self.bases[n] for n in wanted if self.bases[n].fact == fact]
             reached = [(w, used) for w, used in conditions if used <= set(df.columns)]
+            own, via, theirs = self.bridges.get(fact, (None, None, None))
+            around = [(w, used) for w, used in conditions if via and not used <= set(df.columns) and used <= set(self.facts[via].columns)]
             if isinstance(df, Star):
-                df = df.with_columns({*by, *(x for b in mine for x in names_in(b.sql)), *(x for _, used in reached for x in used)})
+                df = df.with_columns({*by, *([own] if around else []), *(x for b in mine for x in names_in(b.sql)), *(x for _, used in reached for x in used)})
             for w, _ in reached:
                 df = df.where(w)
+            if around:
+                other = self.facts[via]
+                other = other.with_columns({theirs, *(x for _, used in around for x in used)}) if isinstance(other, Star) else other
+                for w, _ in around:
+                    other = other.where(w)
+                df = df.join(other.select(F.col(theirs).alias("_theirs")).distinct(), F.col(own) == F.col("_theirs"), "left_semi")
             one = df.groupBy(*by).agg(*(F.expr(b.sql).alias(b.name) for b in mine))
             if out is None:
                 out = one

@@ -47,4 +47,4 @@ def test_validation_suite_finds_each_defect(spark):
 
 def test_dirty_json(spark):
     out = catalogue.QUERIES["dirty_json_reader"](spark, DATA).collect()
-    assert len(out) == 50 and {r["cancellation_reason"] for r in out} == {"Vehicle Sold"}
+    assert len(out) == spark.read.parquet(f"{DATA}/customer.parquet").count() and any("\u2028" in (r["cancellation_reason"] or "") for r in out)
