@@ -96,7 +96,7 @@ def _cards_sql(names: dict[str, str], measures: dict[str, tuple[str, str]]) -> s
     return _long_sql(list(facts.items()), _POINTS)
 
 
-_FMT = lambda x, n: f"printf('%.{n}f', {x})"
+_FMT = lambda x, n: f"printf('%.{n}f', round({x}, {n}))"  # noqa: E731  (halves go away from zero)
 _IS_POINTS = f"measure IN ({', '.join(repr(p) for p in _POINTS)})"
 
 
