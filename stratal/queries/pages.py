@@ -49,6 +49,10 @@ def _page_sql(page: str, measures: dict[str, tuple[str, str]]) -> str:
             else:
                 fact, sql = measures[m]
                 parts.append(f"SELECT {i} AS visual, {category} AS category, '{m}' AS measure, {r(sql)} AS value FROM {fact} WHERE {_where(fact)}{group}")
+                others = {measures[x][0] for x in v.measures if x in measures} - {fact}
+                if v.by and others and (m == "Policies Issued" or "ELSE 0.0 END" in sql or sql.startswith("coalesce(")):  # zero for a group that only another fact has
+                    there = " UNION ".join(f"SELECT DISTINCT {category} AS category FROM {f} WHERE {_where(f)}" for f in sorted(others))
+                    parts.append(f"SELECT {i}, category, '{m}', 0.0 FROM ({there}) WHERE category NOT IN (SELECT {category} FROM {fact} WHERE {_where(fact)})")
     return f"WITH {STAR}, x AS ({' UNION ALL '.join(parts)}) SELECT * FROM x WHERE value IS NOT NULL"
 
 
