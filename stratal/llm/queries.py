@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratal.llm import decontam, gru_lm, langid, ngram_join, quality, rlz, sharding, spotsigs, spviterbi, token_store
+from stratal.llm import decontam, gru_lm, kdtree, langid, lexical, ngram_join, quality, rlz, sharding, spotsigs, spviterbi, token_store, whiten
 from stratal.llm.scratch import new_path
 
 N_SHARDS = 40
@@ -161,9 +161,55 @@ def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM t WHERE len(w) > 0),
+p AS (
+  SELECT doc_id, len, term, count(*) AS tf
+  FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, c.n),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len * c.n) // c.l))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN f USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def op12_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), 5, 50)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)
+SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.x, b.x) DESC, b.vec_id)::INTEGER AS rank,
+       b.vec_id, list_dot_product(a.x, b.x)::BIGINT AS score
+FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+QUALIFY rank <= 5
+"""
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"), 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op5_spotsigs": OP5_SQL, "op6_relative_lz": OP6_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op5_spotsigs": OP5_SQL, "op6_relative_lz": OP6_SQL, "op11_lexical": OP11_SQL, "op12_kdtree": OP12_SQL}

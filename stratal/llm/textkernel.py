@@ -19,6 +19,9 @@ SLICE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes between terms of letters and digits: all ASCII but 0-9, A-Z and a-z.
+_MARKS = np.arange(256) < 0x80
+_MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -72,8 +75,13 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def split_words(column: pa.Array, lower: bool = False) -> Words:
-    """Words of each text; null texts have none. ``lower`` maps A-Z to a-z first."""
+def split_terms(column: pa.Array) -> Words:
+    """Maximal runs of 0-9, A-Z, a-z and signs beyond ASCII, with A-Z as a-z; null texts have none."""
+    return split_words(column, lower=True, gap=_MARKS)
+
+
+def split_words(column: pa.Array, lower: bool = False, gap: np.ndarray = _SPACE) -> Words:
+    """Words of each text; null texts have none. ``lower`` maps A-Z to a-z first. ``gap``: whether a byte is between words."""
     if pa.types.is_dictionary(column.type):
         column = column.dictionary_decode()
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
@@ -89,7 +97,7 @@ def split_words(column: pa.Array, lower: bool = False) -> Words:
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64))
-    ink = ~_SPACE[data]
+    ink = ~gap[data]
     edge = np.empty(n + 1, bool)
     edge[0] = edge[n] = True
     edge[1:n] = ink[1:] != ink[:-1]
