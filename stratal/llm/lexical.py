@@ -24,15 +24,15 @@ SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
 BLOCK, BLOCK_COST = 64, 8
 #: Items that are searched together.
 ITEMS = 1_024
+#: Up to so many different terms of the items (8 bytes each) go to the tasks that read documents, which then leave out all others.
+TERMS = 1 << 20
 
 INDEX = "shard long, term long, df int, tokens long, docs binary, counts binary, many binary"
 
 
-def _flush(shard: int, ids: list[pa.Array], hashes: list[np.ndarray], lengths: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _flush(shard: int, ids: list[pa.Array], h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The shard's head (term null: document ids and lengths) and a row for each term."""
-    own, size = pa.concat_arrays(ids), np.concatenate(lengths)
-    h = np.concatenate(hashes)
-    doc = np.repeat(np.arange(len(size), dtype=np.uint16), size)
+    own = pa.concat_arrays(ids)
     order = np.argsort(h, kind="stable")
     h, doc = h[order], doc[order]
     new_term = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
@@ -67,29 +67,44 @@ def _slices(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    ids, hashes, lengths, size, docs = [], [], [], 0, 0
-    for batch in batches:
-        for a, b in tk.slices(batch.column("text"), 4 << 20):
-            while a < b:
-                m = min(b - a, SHARD_DOCS - docs)
-                w = tk.split_terms(batch.column("text").slice(a, m))
-                ids.append(batch.column("doc_id").slice(a, m))
-                hashes.append(w.hashes())
-                lengths.append(np.diff(w.first))
-                a, docs, size = a + m, docs + m, size + len(w.data)
-                if size >= SHARD_BYTES or docs == SHARD_DOCS:
-                    yield from _flush(number, ids, hashes, lengths)
-                    number, ids, hashes, lengths, size, docs = number + 1, [], [], [], 0, 0
-    if docs:
-        yield from _flush(number, ids, hashes, lengths)
-
-
-def index(docs: DataFrame) -> DataFrame:
-    """The inverted shards of ``docs`` (doc_id, text): ``INDEX`` rows, one for each shard and one for each of its terms."""
+def _invert(only: np.ndarray | None) -> Callable:
+    def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Of some documents: hash and document of each term that counts, terms a document has, bytes."""
+        w = tk.split_terms(texts)
+        h, length = w.hashes(), np.diff(w.first)
+        doc = np.repeat(np.arange(len(length)), length)
+        if only is not None:
+            at = np.searchsorted(only, h)
+            at[at == len(only)] = 0
+            has = only[at] == h if len(only) else np.zeros(len(h), bool)
+            h, doc = h[has], doc[has]
+        return h, doc, length, len(w.data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held, ids, size, docs = [], [], 0, 0
+        for batch in batches:
+            for a, b in tk.slices(batch.column("text"), 4 << 20):
+                while a < b:
+                    m = min(b - a, SHARD_DOCS - docs)
+                    h, doc, length, n = read(batch.column("text").slice(a, m))
+                    held.append((h, (doc + docs).astype(np.uint16), length))
+                    ids.append(batch.column("doc_id").slice(a, m))
+                    a, docs, size = a + m, docs + m, size + n
+                    if size >= SHARD_BYTES or docs == SHARD_DOCS:
+                        yield from _flush(number, ids, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                        number, held, ids, size, docs = number + 1, [], [], 0, 0
+        if docs:
+            yield from _flush(number, ids, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def index(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """The inverted shards of ``docs`` (doc_id, text): ``INDEX`` rows, one for each shard and one for each of its terms, or of
+    those whose hashes are in ``only`` (rising). The counts of a head are of all terms."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(_invert, INDEX)
+    return rows.mapInArrow(_invert(only), INDEX)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,49 +117,47 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("item").take(pa.array(item)), pa.array(np.concatenate(found))], ["item", "term"])
 
 
-def block_ends(scores: list[np.ndarray], most: int = BLOCK, cost: float = BLOCK_COST) -> list[np.ndarray]:
-    """Where the blocks of each list end: of all ways to cut a list into blocks of ``most`` postings at most, the one whose
-    bounds are nearest.
+def block_ends(scores: np.ndarray, first: np.ndarray, most: int = BLOCK, cost: float = BLOCK_COST) -> tuple[np.ndarray, np.ndarray]:
+    """Where the blocks of the lists ``scores[first[i]:first[i + 1]]`` end, and where each list's blocks begin among them: of all
+    ways to cut a list into blocks of ``most`` postings at most, the one whose bounds are nearest.
 
     A block's error is the sum of what its highest score is above each of its scores; each block costs ``cost`` times the
     mean error a posting would have in one block for all. The least total for the first j postings is found
     for j = 1, 2, ... from those before, for all lists side by side.
     """
-    if not scores:
-        return []
-    size = np.array([len(s) for s in scores])
+    size = np.diff(first)
+    lists = len(size)
+    if not len(scores):
+        return np.zeros(0, np.int64), np.zeros(lists + 1, np.int64)
     order = np.argsort(-size, kind="stable")
-    size = size[order]
-    longest = int(size[0])
-    table = np.zeros((len(order), longest))
-    for row, i in enumerate(order):
-        table[row, : len(scores[i])] = scores[i]
-    price = cost * np.array([max(1e-9, float(scores[i].max() - scores[i].mean())) for i in order])
-    live = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # lists with a j-th posting
-    best = np.zeros((longest + 1, len(order)))
-    back = np.zeros((longest + 1, len(order)), np.int16)
-    sums = np.concatenate([np.zeros((1, len(order))), np.cumsum(table.T, 0)])
-    high = np.zeros((most, len(order)))  # row b - 1: the highest of the b postings up to j
+    start, sizes = first[:-1][order], size[order]
+    price = cost * np.maximum(1e-9, np.maximum.reduceat(scores, first[:-1])[order] - np.add.reduceat(scores, first[:-1])[order] / sizes)
+    longest = int(sizes[0])
+    live = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")  # lists with a j-th posting
+    before = np.zeros((most + 1, lists))  # ring of the last ``most`` + 1 least totals; the sum of all scores is the same for every way
+    high = np.zeros((most, lists))  # row b - 1: the highest of the b postings up to j
+    back = np.zeros(len(scores), np.int16)  # length of the last block of the best way to cut up to each posting
     lengths = np.arange(1, most + 1)[:, None]
     for j in range(1, longest + 1):
         n, reach = int(live[j - 1]), min(j, most)
-        new = table[:n, j - 1]
+        new = scores[start[:n] + j - 1].astype(float)
         high[1:reach, :n] = high[: reach - 1, :n]
         high[0, :n] = 0
         np.maximum(high[:reach, :n], new, out=high[:reach, :n])
-        before = np.arange(j - 1, j - reach - 1, -1)
-        total = best[before, :n] + lengths[:reach] * high[:reach, :n] - (sums[j, :n] - sums[before, :n])
+        total = lengths[:reach] * high[:reach, :n]
+        total += before[np.arange(j - 1, j - reach - 1, -1) % (most + 1), :n]
         pick = np.argmin(total, 0)
-        best[j, :n] = total[pick, np.arange(n)] + price[:n]
-        back[j, :n] = pick + 1
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(order)
-    for row, i in enumerate(order):
-        ends, j = [], int(size[row])
-        while j:
-            ends.append(j)
-            j -= int(back[j, row])
-        out[i] = np.array(ends[::-1])
-    return out
+        before[j % (most + 1), :n] = total[pick, np.arange(n)] + price[:n]
+        back[start[:n] + j - 1] = pick + 1
+    ends = np.zeros(len(scores), bool)
+    at, low = first[1:] - 1, first[:-1]
+    while len(at):
+        ends[at] = True
+        at = at - back[at]
+        go = at >= low
+        at, low = at[go], low[go]
+    stops = np.flatnonzero(ends) + 1
+    return stops, np.searchsorted(stops, first, "right")
 
 
 @dataclass
@@ -168,20 +181,13 @@ class Shard:
         length = np.frombuffer(head["counts"], "<u4").astype(np.int64)
         m = 50 + _scaled(length, documents, tokens)
         rows = sorted(rows, key=lambda r: r["term"])
-        docs, impact = [], []
-        for r in rows:
-            d = np.frombuffer(r["docs"], "<u2").astype(np.int64)
-            tf = np.frombuffer(r["counts"], np.uint8).astype(np.int64)
-            tf[tf == 255] = np.frombuffer(r["many"], "<u4")
-            docs.append(d)
-            impact.append(1_000_000_000 * tf // (1000 * tf + 20 * m[d]))
-        ends = block_ends(impact)
-        first = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-        docs, impact = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, impact))
-        stops = np.concatenate([e + f for e, f in zip(ends, first[:-1], strict=True)]) if ends else np.zeros(0, np.int64)
-        starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
-        top = np.maximum.reduceat(impact, starts) if len(stops) else np.zeros(0, np.int64)
-        blocks = np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype(np.int64)
+        docs = np.frombuffer(b"".join(r["docs"] for r in rows), "<u2").astype(np.int64)
+        tf = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint8).astype(np.int64)
+        tf[tf == 255] = np.frombuffer(b"".join(r["many"] for r in rows), "<u4")
+        impact = 1_000_000_000 * tf // (1000 * tf + 20 * m[docs])
+        first = np.concatenate([[0], np.cumsum([r["df"] for r in rows])]).astype(np.int64)
+        stops, blocks = block_ends(impact, first)
+        top = np.maximum.reduceat(impact, np.concatenate([[0], stops[:-1]])) if len(stops) else impact
         terms = np.array([r["term"] for r in rows], np.int64)
         return cls(np.frombuffer(head["docs"], np.int64), np.frombuffer(head["many"], bool), terms, first, docs, impact, blocks, stops, top)
 
@@ -283,13 +289,16 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     Null and empty texts have no term: as documents they are in no count, as items they have no list, nor has an item
     of unknown terms only. Other columns are not read; empty tables give no row. Bytes that are no UTF-8 belong to terms.
     """
-    held = materialize(index(docs), "postings")
     asked = items.select(F.monotonically_increasing_id().alias("item"), items["item_id"].alias("item_id"), items["text"].cast("string").alias("text"))
     asked = materialize(asked, "items", compact=True)
     words = materialize(asked.select("item", "text").mapInArrow(_terms, "item long, term long"), "item-terms", compact=True)
+    terms = words.select("term").distinct()
+    few = terms.limit(TERMS + 1).count() <= TERMS
+    only = np.sort(np.asarray(terms.toArrow().column("term")).view(np.uint64)) if few else None
+    held = materialize(index(docs, only), "postings")
     total = held.where("term IS NULL").agg(F.sum("df").alias("n"), F.sum("tokens").alias("l")).first()
     n, tokens = int(total["n"] or 0), int(total["l"] or 0)
-    df = held.where("term IS NOT NULL").select("term", "df").join(words.select("term").distinct(), "term", "left_semi")
+    df = held.where("term IS NOT NULL").select("term", "df").join(terms, "term", "left_semi")
     weight = F.floor(1000 * F.log(F.lit(float(2 * n + 2)) / (2 * F.sum("df") + 1))).alias("weight")
     weights = materialize(df.groupBy("term").agg(weight), "weights", compact=True)
     blocks = -(-asked.count() // ITEMS)
