@@ -20,7 +20,7 @@ from stratal.llm.scratch import discard, materialize
 
 #: A shard ends after the document that brings it to so many bytes of text, or to so many documents.
 SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
-#: Postings of a block at most, and what one more block costs: so many times a list's mean distance from its highest impact.
+#: Postings of a block at most, and what one more block costs: as much as so many documents with a list's highest impact as error.
 BLOCK, BLOCK_COST = 64, 8
 #: Items that are searched together.
 ITEMS = 1_024
@@ -117,13 +117,13 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("item").take(pa.array(item)), pa.array(np.concatenate(found))], ["item", "term"])
 
 
-def block_ends(scores: np.ndarray, first: np.ndarray, most: int = BLOCK, cost: float = BLOCK_COST) -> tuple[np.ndarray, np.ndarray]:
-    """Where the blocks of the lists ``scores[first[i]:first[i + 1]]`` end, and where each list's blocks begin among them: of all
+def block_ends(docs: np.ndarray, scores: np.ndarray, first: np.ndarray, most: int = BLOCK, cost: float = BLOCK_COST) -> tuple[np.ndarray, np.ndarray]:
+    """Where the blocks of the lists ``docs[first[i]:first[i + 1]]`` end, and where each list's blocks begin among them: of all
     ways to cut a list into blocks of ``most`` postings at most, the one whose bounds are nearest.
 
-    A block's error is the sum of what its highest score is above each of its scores; each block costs ``cost`` times the
-    mean error a posting would have in one block for all. The least total for the first j postings is found
-    for j = 1, 2, ... from those before, for all lists side by side.
+    A block bounds all documents from its first to its last by its highest score; its error is the sum of what that is above the score of
+    each, which is 0 for those without a posting. Each block costs ``cost`` times the list's highest score. The least total for the first j
+    postings is found for j = 1, 2, ... from those before, for all lists side by side.
     """
     size = np.diff(first)
     lists = len(size)
@@ -131,31 +131,33 @@ def block_ends(scores: np.ndarray, first: np.ndarray, most: int = BLOCK, cost: f
         return np.zeros(0, np.int64), np.zeros(lists + 1, np.int64)
     order = np.argsort(-size, kind="stable")
     start, sizes = first[:-1][order], size[order]
-    price = cost * np.maximum(1e-9, np.maximum.reduceat(scores, first[:-1])[order] - np.add.reduceat(scores, first[:-1])[order] / sizes)
+    price = cost * np.maximum(1e-9, np.maximum.reduceat(scores, first[:-1])[order])
     longest = int(sizes[0])
     live = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")  # lists with a j-th posting
     before = np.zeros((most + 1, lists))  # ring of the last ``most`` + 1 least totals; the sum of all scores is the same for every way
     high = np.zeros((most, lists))  # row b - 1: the highest of the b postings up to j
+    low = np.zeros((most, lists))  # and the first document of these
     back = np.zeros(len(scores), np.int16)  # length of the last block of the best way to cut up to each posting
-    lengths = np.arange(1, most + 1)[:, None]
     for j in range(1, longest + 1):
         n, reach = int(live[j - 1]), min(j, most)
-        new = scores[start[:n] + j - 1].astype(float)
+        new, here = scores[start[:n] + j - 1].astype(float), docs[start[:n] + j - 1].astype(float)
+        low[1:reach, :n] = low[: reach - 1, :n]
+        low[0, :n] = here
         high[1:reach, :n] = high[: reach - 1, :n]
         high[0, :n] = 0
         np.maximum(high[:reach, :n], new, out=high[:reach, :n])
-        total = lengths[:reach] * high[:reach, :n]
+        total = (here + 1 - low[:reach, :n]) * high[:reach, :n]
         total += before[np.arange(j - 1, j - reach - 1, -1) % (most + 1), :n]
         pick = np.argmin(total, 0)
         before[j % (most + 1), :n] = total[pick, np.arange(n)] + price[:n]
         back[start[:n] + j - 1] = pick + 1
     ends = np.zeros(len(scores), bool)
-    at, low = first[1:] - 1, first[:-1]
+    at, begin = first[1:] - 1, first[:-1]
     while len(at):
         ends[at] = True
         at = at - back[at]
-        go = at >= low
-        at, low = at[go], low[go]
+        go = at >= begin
+        at, begin = at[go], begin[go]
     stops = np.flatnonzero(ends) + 1
     return stops, np.searchsorted(stops, first, "right")
 
@@ -186,7 +188,7 @@ class Shard:
         tf[tf == 255] = np.frombuffer(b"".join(r["many"] for r in rows), "<u4")
         impact = 1_000_000_000 * tf // (1000 * tf + 20 * m[docs])
         first = np.concatenate([[0], np.cumsum([r["df"] for r in rows])]).astype(np.int64)
-        stops, blocks = block_ends(impact, first)
+        stops, blocks = block_ends(docs, impact, first)
         top = np.maximum.reduceat(impact, np.concatenate([[0], stops[:-1]])) if len(stops) else impact
         terms = np.array([r["term"] for r in rows], np.int64)
         return cls(np.frombuffer(head["docs"], np.int64), np.frombuffer(head["many"], bool), terms, first, docs, impact, blocks, stops, top)

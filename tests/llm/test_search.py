@@ -78,18 +78,19 @@ def test_blocks_are_the_best_cut():
     rng = np.random.default_rng(5)
     lists = [rng.integers(0, 50, n) for n in (1, 2, 7, 9, 4, 1)]
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-    ends, begin = lexical.block_ends(np.concatenate(lists), first, most=4, cost=0.7)
+    docs = [np.sort(rng.choice(30, len(x), replace=False)) for x in lists]
+    ends, begin = lexical.block_ends(np.concatenate(docs), np.concatenate(lists), first, most=4, cost=0.7)
 
-    def cost(x, cut):
-        price = 0.7 * max(1e-9, x.max() - x.mean())
-        parts = [x[a:b] for a, b in zip([0, *cut], [*cut, len(x)], strict=True)]
-        return sum(len(p) * p.max() - p.sum() + price for p in parts) if all(len(p) <= 4 for p in parts) else math.inf
+    def cost(i, cut):
+        x, d = lists[i], docs[i]
+        parts = [(x[a:b], d[b - 1] + 1 - d[a]) for a, b in zip([0, *cut], [*cut, len(x)], strict=True)]
+        return sum(n * p.max() - p.sum() + 0.7 * max(1e-9, x.max()) for p, n in parts) if all(len(p) <= 4 for p, _ in parts) else math.inf
 
     for i, x in enumerate(lists):
         own = ends[begin[i] : begin[i + 1]] - first[i]
         assert own[-1] == len(x) and (np.diff(own) > 0).all()
-        best = min(cost(x, cut) for n in range(len(x)) for cut in combinations(range(1, len(x)), n))
-        assert math.isclose(cost(x, own[:-1].tolist()), best, rel_tol=1e-9, abs_tol=1e-6)
+        best = min(cost(i, cut) for n in range(len(x)) for cut in combinations(range(1, len(x)), n))
+        assert math.isclose(cost(i, own[:-1].tolist()), best, rel_tol=1e-9, abs_tol=1e-6)
 
 
 def test_search_skips_blocks():
