@@ -62,7 +62,7 @@ def whole(v: pa.Array, f: Form) -> np.ndarray:
     x = np.floor(SCALE * np.asarray(v.values)[offsets[0] : offsets[-1]]).astype(f.dtype)
     size = np.diff(offsets)
     if (size == f.dim).all():
-        return x.reshape(-1, f.dim)
+        return x.reshape(len(v), f.dim)
     out = np.zeros((len(v), f.dim), f.dtype)
     out[np.arange(f.dim) < size[:, None]] = x
     return out

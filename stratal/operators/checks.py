@@ -31,6 +31,40 @@ def judge(df: DataFrame, rules: list[Rule]) -> Judged:
     return Judged(df.where(~bad), df.where(bad).withColumn(REASONS, found), df.withColumn(REASONS, found))
 
 
+@dataclass(frozen=True)
+class SetRule:
+    """A rule over several rows: ``columns`` are unique among the rows judged or, with ``other``, are found in its columns
+    ``theirs``. Rows in which one of the columns is null break neither. ``reason`` goes to the log, under the first column."""
+
+    columns: tuple[str, ...]
+    reason: str
+    other: DataFrame | None = None
+    theirs: tuple[str, ...] = ()
+
+
+def judge_sets(marked: DataFrame, rules: list[SetRule]) -> DataFrame:
+    """``marked`` (as ``judge().all``) with the reasons of ``rules`` added, which judge all rows, rejected ones too.
+
+    Keys that occur twice are counted before they are joined, and parents are made distinct, so no rule multiplies rows or gathers
+    those of one key.
+    """
+    for i, r in enumerate(rules):
+        known = [F.col(c).isNotNull() for c in r.columns]
+        whole = known[0]
+        for k in known[1:]:
+            whole = whole & k
+        theirs = [F.col(t).alias(f"_{i}_{j}") for j, t in enumerate(r.theirs if r.other is not None else r.columns)]
+        side = (r.other.select(*theirs).distinct() if r.other is not None else marked.where(whole).groupBy(*theirs).count().where("count > 1").drop("count")).withColumn(f"_{i}", F.lit(True))
+        on = F.lit(True)
+        for j, c in enumerate(r.columns):
+            on = on & (marked[c] == side[f"_{i}_{j}"])
+        hit = F.col(f"_{i}").isNotNull()
+        broken = whole & (~hit if r.other is not None else hit)
+        added = F.when(broken, F.array_append(REASONS, F.lit(f"{r.columns[0]}::{r.reason}"))).otherwise(F.col(REASONS))
+        marked = marked.join(side, on, "left").select(*(added.alias(c) if c == REASONS else F.col(c) for c in marked.columns))
+    return marked
+
+
 def joined_reasons(rejected: DataFrame, name: str = "reasons") -> DataFrame:
     return rejected.withColumn(name, F.array_join(REASONS, " | ")).drop(REASONS)
 

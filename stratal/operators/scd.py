@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from stratal.functions.columns import UNKNOWN_KEY, differs, filled
 from stratal.operators.dedup import latest
 from stratal.operators.keys import assign_keys, max_key
+from stratal.session import staged
 
 OPEN_END = "9999-12-31 23:59:59"
 FIRST_START = "1900-01-01 00:00:00"
@@ -103,6 +104,60 @@ class Type2:
         return with_unknown(target, self.key, limits | (special or {}))
 
 
+@dataclass(frozen=True)
+class History:
+    """A type 2 dimension whose events come in any order.
+
+    Beside its versions (is_version) it keeps the events that only confirmed one, since a late event between may make a version start
+    at such an event. Of several events of a key at one instant the greatest in ``tracked`` counts, so that
+    batches in any order and of any cut give the history of all events.
+    """
+
+    key: str
+    bk: str
+    tracked: tuple[str, ...]
+    at: str
+
+    def apply(self, stored: DataFrame, batch: DataFrame, start: int | None = None) -> DataFrame:
+        """The new history of ``stored`` (key, bk, tracked, effective_from, effective_to, is_current, is_version) with _action: KEPT,
+        UPDATED (its values or its time have changed), INSERTED, or RETIRED (leave these out: a late event has made the version
+        part of an earlier one). Only keys of ``batch`` are worked out anew. A version keeps the surrogate key of the
+        first stored version that begins in its time.
+        """
+        rows = batch.where(filled(self.bk) & F.col(self.at).isNotNull()).select(self.bk, *self.tracked, F.col(self.at).alias("effective_from"))
+        met = rows.select(F.col(self.bk).alias("_met")).distinct()
+        rest = stored.join(met, stored[self.bk] == met["_met"], "left_anti").withColumn("_action", F.lit("KEPT"))
+        hit = stored.join(met, stored[self.bk] == met["_met"], "left_semi")
+        value = F.struct(*self.tracked).alias("_v")
+        known = hit.select(self.bk, "effective_from", value, F.when(F.col("is_version"), F.col(self.key)).alias("_k"))
+        seen = known.unionByName(rows.select(self.bk, "effective_from", value, F.lit(None).cast("long").alias("_k")))
+        moments = seen.groupBy(self.bk, "effective_from").agg(F.max("_v").alias("_v"), F.max("_k").alias("_k"))
+        order = Window.partitionBy(self.bk).orderBy("effective_from")
+        before, first = F.lag("_v").over(order), F.row_number().over(order) == 1
+        moments = moments.withColumn("is_version", first | ~F.col("_v").eqNullSafe(before))
+        moments = moments.withColumn("_run", F.sum(F.col("is_version").cast("int")).over(order))
+        later = order.rowsBetween(1, Window.unboundedFollowing)
+        ends = F.first(F.when(F.col("is_version"), F.col("effective_from")), ignorenulls=True).over(later)
+        inherited = F.first("_k", ignorenulls=True).over(Window.partitionBy(self.bk, "_run").orderBy("effective_from").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        moments = moments.withColumns({"_end": ends, self.key: F.when(F.col("is_version"), inherited)}).select(self.bk, "_v.*", self.key, "effective_from", "_end", "is_version")
+        moments = staged(moments, "history")
+        whole = {
+            "effective_to": F.when(F.col("is_version"), F.coalesce("_end", F.lit(OPEN_END).cast("timestamp"))),
+            "is_current": F.col("is_version") & F.col("_end").isNull(),
+        }
+        shown = [F.col(c).cast(t).alias(c) for c, t in stored.dtypes]
+        confirmed = moments.where("NOT is_version").withColumns(whole).select(*shown, F.lit("KEPT").alias("_action"))
+        had = hit.where("is_version").select(F.struct(*stored.columns).alias("_had"))
+        kept = moments.where(F.col("is_version") & F.col(self.key).isNotNull()).withColumns(whole).select(F.struct(*shown).alias("_now"))
+        both = kept.join(had, F.col(f"_now.{self.key}") == F.col(f"_had.{self.key}"), "full_outer")
+        action = F.when(F.col("_now").isNull(), "RETIRED").when(F.col("_now") == F.col("_had"), "KEPT").otherwise("UPDATED")
+        kept = both.select(F.coalesce("_now", "_had").alias("_row"), action.alias("_action")).select("_row.*", "_action")
+        new = moments.where(F.col("is_version") & F.col(self.key).isNull()).withColumns(whole).drop(self.key, "_end")
+        keys = max(0, max_key(stored, self.key)) if start is None else start
+        new = assign_keys(new, [self.bk, "effective_from"], self.key, keys).select(*shown, F.lit("INSERTED").alias("_action"))
+        return rest.unionByName(confirmed).unionByName(kept).unionByName(new)
+
+
 def versions(events: DataFrame, bk: str, tracked: list[str], at: str, ties: list[str]) -> DataFrame:
     """The whole history at once: a version starts where a tracked value changes, and ends where the next one
     starts. ``ties`` make the order of a key's events total."""

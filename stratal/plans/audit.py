@@ -7,10 +7,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from stratal.operators.merge import Clause, Merge
+from stratal.operators.merge import CardinalityError, Clause, Merge
 
 DONE = ("SUCCESS", "SKIPPED")
 STATUSES = ("RUNNING", "SUCCESS", "FAILED", "SKIPPED", "NOT_RUN")
@@ -145,7 +146,7 @@ class RetryPolicy:
     base_seconds: float = 5.0
     exponential: bool = True
     retryable: tuple[str, ...] = ("TIMEOUT", "CONNECTION", "THROTTLED")
-    final: tuple[str, ...] = ("DQ_VALIDATION", "SCHEMA", "CONFIG")
+    final: tuple[str, ...] = ("DQ_VALIDATION", "SCHEMA", "CONFIG", "PROGRAM")
 
     @classmethod
     def first_active(cls, policies: DataFrame) -> RetryPolicy:
@@ -194,10 +195,16 @@ class RetryLog:
         return spark.createDataFrame(named, RETRY_LOG)
 
 
+#: Errors of a program or of its declarations: the same attempt gives the same error.
+PROGRAM_ERRORS = (KeyError, IndexError, AttributeError, TypeError, NameError, AssertionError, NotImplementedError, CardinalityError, AnalysisException, ParseException)
+
+
 def error_type(e: BaseException) -> str:
     """An error's own ``error_type``, or one by its class and words."""
     if hasattr(e, "error_type"):
         return e.error_type
+    if isinstance(e, PROGRAM_ERRORS):
+        return "SCHEMA" if isinstance(e, AnalysisException) else "PROGRAM"
     words = f"{type(e).__name__} {e}".lower()
     for kind, marks in (("TIMEOUT", ("timeout", "timed out")), ("CONNECTION", ("connection", "unreachable")), ("THROTTLED", ("throttl", "too many requests")), ("SCHEMA", ("missing column", "schema")), ("CONFIG", ("valueerror", "unsupported"))):
         if any(m in words for m in marks):

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from stratal.operators.asof import last_before, version_at
-from stratal.operators.calendar import calendar
+from stratal.operators.calendar import calendar, extend_calendar
 from stratal.operators.facts import Bridge, Fact, Lookup, Parent
 from stratal.operators.keys import assign_keys
 from stratal.operators.merge import Clause, Merge, upsert
-from stratal.operators.scd import Type1, Type2, unknown_member, versions
+from stratal.operators.scd import History, Type1, Type2, versions, with_unknown
 from stratal.queries import query
 from stratal.queries.star import table
+from stratal.session import staged
 
 _TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
@@ -23,17 +25,21 @@ def ts_text(c: str):
 @query("""
 SELECT strftime(d, '%Y%m%d')::INTEGER AS date_key, strftime(d, '%Y-%m-%d') AS full_date, day(d)::INTEGER AS day_number, strftime(d, '%A') AS day_name, weekofyear(d)::INTEGER AS week_number,
        month(d)::INTEGER AS month_number, strftime(d, '%B') AS month_name, quarter(d)::INTEGER AS quarter_number, year(d)::INTEGER AS year_number, strftime(d, '%Y-%m') AS year_month, dayofweek(d) IN (0, 6) AS is_weekend
-FROM (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS d)
+FROM (SELECT unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(l_shipdate)::DATE FROM lineitem), INTERVAL 1 DAY)) AS d)
 UNION ALL SELECT -1, NULL, NULL, 'Unknown', NULL, NULL, 'Unknown', NULL, NULL, 'Unknown', false
 """)
 def dim_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = calendar(spark, "2020-01-01", "2030-12-31")
+    """The days of the orders, then extended to those of their shipments."""
+    o = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date").cast("string").alias("a"), F.max("o_orderdate").cast("date").cast("string").alias("b")).first()
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").cast("date").cast("string")).first()[0]
+    d = extend_calendar(calendar(spark, o["a"], o["b"]), calendar(spark, o["a"], last, unknown=False)).drop("_action")
     return d.withColumn("full_date", F.col("full_date").cast("string"))
 
 
-@query("SELECT -1::BIGINT AS c_custkey, 'Unknown' AS c_name, NULL::INTEGER AS c_nationkey, 'Unknown' AS c_mktsegment")
+@query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer UNION ALL SELECT -1, 'Unknown', NULL, 'Unknown'")
 def unknown_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unknown_member(table(spark, sf_dir, "customer").drop("c_acctbal"), "c_custkey")
+    """A dimension with its unknown member, once also where it has one already."""
+    return with_unknown(with_unknown(table(spark, sf_dir, "customer").drop("c_acctbal"), "c_custkey"), "c_custkey")
 
 
 @query("SELECT p_type, row_number() OVER (ORDER BY p_type) + 100 AS type_key FROM (SELECT DISTINCT p_type FROM part)")
@@ -135,6 +141,28 @@ def scd2_apply_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_key", "user_id", "event_type", "is_current", ts_text("effective_to").alias("effective_to"), "_action")
 
 
+@query(f"""
+WITH e AS (SELECT user_id, ts, max(event_type) AS event_type FROM events GROUP BY ALL),
+v AS (
+  SELECT user_id, event_type, ts AS effective_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt
+  FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) IS DISTINCT FROM event_type AS new FROM e) WHERE new)
+SELECT user_id, event_type, {_TS.format('effective_from')} AS effective_from, CASE WHEN nxt IS NULL THEN '9999-12-31 23:59:59' ELSE {_TS.format('nxt')} END AS effective_to, nxt IS NULL AS is_current,
+       1::BIGINT AS versions_of_key FROM v
+""")
+def scd2_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events dealt to three batches at random: late ones split versions, several of a key come at once, and the history is
+    that of all events. Every version has a key of its own."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    kinds = "user_key long, user_id long, event_type string, effective_from timestamp, effective_to timestamp, is_current boolean, is_version boolean"
+    stored, dim = spark.createDataFrame([], kinds), History("user_key", "user_id", ("event_type",), "ts")
+    for i in range(3):
+        batch = e.where(F.pmod(F.xxhash64("user_id", "ts", "event_type"), F.lit(3)) == i)
+        stored = staged(dim.apply(stored, batch).where("_action <> 'RETIRED'").drop("_action"), "scd2-any-order")
+    shared = F.count("*").over(Window.partitionBy("user_key")).alias("versions_of_key")
+    out = stored.where("is_version").select("user_id", "event_type", "effective_from", "effective_to", "is_current", shared)
+    return out.withColumns({c: ts_text(c) for c in ("effective_from", "effective_to")})
+
+
 _ORDER_AT = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (o_orderkey % 720) HOUR"
 _PIT = f"""
 WITH {_VERSIONS}, o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, {_ORDER_AT} AS moment FROM orders)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratal.functions.rules import Rule
-from stratal.operators.checks import joined_reasons, judge, missing_parents, reject_log_of, rule_counts
+from stratal.operators.checks import SetRule, joined_reasons, judge, judge_sets, missing_parents, reject_log, reject_log_of, rule_counts
 from stratal.queries import query
 from stratal.queries.star import table
 
@@ -97,3 +97,27 @@ def dq_missing_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dq_no_rules_pass_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null verdict is no violation."""
     return judge(table(spark, sf_dir, "events"), [Rule("min_value", "value", "negative", {"limit": 0})]).valid.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH r AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS n,
+         EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P') AS parent, EXISTS (SELECT 1 FROM part WHERE p_size = l_quantity) AS listed FROM lineitem)
+SELECT l_orderkey::VARCHAR AS record_id, l_linenumber, column_name, reason FROM (
+  SELECT *, 'l_quantity' AS column_name, 'quantity too small' AS reason FROM r WHERE l_quantity < 5
+  UNION ALL SELECT *, 'l_partkey', 'part and supplier twice' FROM r WHERE n > 1
+  UNION ALL SELECT *, 'l_orderkey', 'order is missing or open' FROM r WHERE NOT parent
+  UNION ALL SELECT *, 'l_quantity', 'no such size' FROM r WHERE NOT listed)
+""")
+def dq_rules_over_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on rows, on uniqueness, on parents and on the values of another table, in one reject log."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    row_rules = [Rule("min_value", "l_quantity", "quantity too small", {"limit": 5})]
+    sets = [
+        SetRule(("l_partkey", "l_suppkey"), "part and supplier twice"),
+        SetRule(("l_orderkey",), "order is missing or open", table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'"), ("o_orderkey",)),
+        SetRule(("l_quantity",), "no such size", table(spark, sf_dir, "part"), ("p_size",)),
+    ]
+    bad = judge_sets(judge(li, row_rules).all, sets).where(F.size("_reasons") > 0)
+    log = reject_log(bad, F.lit(1), "lineitem", "l_orderkey")
+    return log.select("record_id", F.get_json_object("record", "$.l_linenumber").cast("int").alias("l_linenumber"), "column_name", "reason")

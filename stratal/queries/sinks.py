@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,7 +17,7 @@ from stratal.queries.star import table
 from stratal.session import shared_dir
 from stratal.sources.readers import list_files, read_source
 from stratal.sources.snapshots import SnapshotTable
-from stratal.streaming.ingest import stream_upsert, windowed_counts
+from stratal.streaming.ingest import living, stream_upsert, windowed_counts
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -116,6 +117,40 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read()
 
 
+@query("SELECT user_id, event_id, event_type FROM (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1) WHERE event_type <> 'error'")
+def stream_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in micro-batches, newest files first: an older row never replaces a newer one, and a user whose last event is
+    an error stays away though older events come later."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.col("event_type") == "error").alias("gone"))
+    files, t = place(spark, "batches"), SnapshotTable(spark, place(spark, "versions"))
+    for i in range(3):
+        e.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i).orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(files)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    stream_upsert(stream, t, ["user_id"], "event_id", place(spark, "progress"), buckets=4).awaitTermination()
+    return living(t, "gone").drop("gone")
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE)::VARCHAR AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-04-15'")
+def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table appended year by year, read between two days: only parts whose bounds meet the days are opened."""
+    t = SnapshotTable(spark, place(spark, "bounds"), bounded=("day",))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("day"))
+    years = o.agg(F.min(F.year("day")).alias("a"), F.max(F.year("day")).alias("b")).first()
+    for y in range(years["a"], years["b"] + 1):
+        t.append(o.where(F.year("day") == y))
+    assert len(t.fitting("day", date(1995, 3, 1), date(1995, 4, 15))) == 1
+    return t.between("day", date(1995, 3, 1), date(1995, 4, 15)).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that append under a token and are done twice, after some of their parts were merged with others, leave their rows once."""
+    t, o = SnapshotTable(spark, place(spark, "tokens")), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for step in (0, 1, 2, 1, 3, 0, 3):
+        t.append(o.where(F.col("o_orderkey") % 4 == step), f"step {step}")
+    return t.read().groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type; over a stream the same plan leaves out rows later than the watermark."""

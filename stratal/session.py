@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,3 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="stratal-")
     return _OWN[app]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared folder and read back, so that what follows evaluates it no more. The folder is the
+    application's: ``clear_staged`` deletes it."""
+    path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staging_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stratal-staged/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what ``staged`` has written in this application; results that read it end here."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

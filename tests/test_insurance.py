@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from stratal.operators.reconcile import Key, Suite
 from stratal.plans.audit import GateClosed, RetryPolicy
-from stratal.plans.insurance import FEEDS, Platform, ValidationFailed
+from stratal.plans.batches import load_silver
+from stratal.plans.insurance import FEEDS, TYPE_2, Platform, ValidationFailed
+from stratal.sources.snapshots import SnapshotTable
 
 N = 40
 
@@ -78,7 +80,9 @@ def test_batch_twice_changes_nothing(spark, tmp_path):
     data = {k: data[k] for k in ("agent", "provider", "customer")}
     p.load(data, 1)
     before = {d: sorted(map(str, p.table("gold", f"dim_{d}").read().collect())) for d in data}
-    p.load(data, 1)
+    with pytest.raises(ValueError, match="has been loaded"):
+        p.load(data, 1)
+    p.load(data, 1, mode="REPLAY")
     assert before == {d: sorted(map(str, p.table("gold", f"dim_{d}").read().collect())) for d in data}
 
 
@@ -124,7 +128,7 @@ def test_failed_layer_stops_the_next_and_recovery_goes_on(spark, tmp_path):
     states = {(s, la): st for s, la, st in audit(p, "layer", "source", "layer", "status")}
     assert states == {("agent", "SILVER"): "SUCCESS", ("customer", "SILVER"): "FAILED", ("dim_customer", "GOLD"): "NOT_RUN", ("dim_agent", "GOLD"): "NOT_RUN"}
     assert audit(p, "session", "run_mode", "status") == [("NEW", "FAILED")]
-    assert [x for x in audit(p, "layer", "attempts", source="customer")] == [(2,)] and audit(p, "retry", "layer", "attempt_no", "is_retryable") == [("SILVER", 1, True)]
+    assert [x for x in audit(p, "layer", "attempts", source="customer")] == [(1,)] and not p.table("audit", "retry").exists()  # a missing column is not worth a retry
     p.load({"agent": data["agent"], "customer": data["customer"]}, 5, mode="RECOVERY")
     assert p.loaded.keys() == {"customer"} and p.table("gold", "dim_agent").read().count() == 5 and p.table("gold", "dim_customer").read().count() == N
     assert audit(p, "session", "run_mode", "status") == [("NEW", "FAILED"), ("RECOVERY", "SUCCESS")]
@@ -143,5 +147,140 @@ def test_validation_is_recorded_with_an_offending_row(spark, tmp_path):
     with pytest.raises(ValidationFailed, match="date quotation_date_key"):
         p.load({"quotation": far}, 1, strict=True)
     bad = p.table("audit", "validation").read().where("NOT passed").collect()
-    assert {(r["check"], r["column"]) for r in bad} == {("date", "quotation_date_key"), ("date", "expiry_date_key")}
+    assert {(r["check"], r["column"]) for r in bad} == {("date", "quotation_date_key"), ("date", "expiry_date_key"), *(("unresolved", f"{d}_key") for d in ("customer", "agent", "provider"))}  # no dimension has come
     assert '"quotation_id":"Q8"' in next(r["sample"] for r in bad if r["column"] == "quotation_date_key")
+
+
+def gold(p, name, *columns):
+    return sorted((tuple(r) for r in p.table("gold", name).read().select(*columns).collect()), key=str)
+
+
+def test_keys_are_put_right_when_a_dimension_comes_late(spark, tmp_path):
+    """Facts before their dimensions, a parent after its children, and a change that is told late: in the end keys are as if all had come in order."""
+    p, data = Platform(spark, f"file://{tmp_path}/late", buckets=8), bronze(spark)
+    p.load({k: data[k] for k in ("quotation", "payment")}, 1)
+    assert p.table("gold", "fact_quotation").read().where("customer_key <> -1 OR agent_key <> -1").count() == 0
+    before = {f.path for f in p.table("gold", "fact_quotation").version().parts}
+    p.load({"customer": data["customer"].where("customer_id IN ('CUS1', 'CUS2')")}, 2)
+    done = p.rekeyed["quotation"]
+    assert done["updated"] == 2 and done["inserted"] == 0 and p.rekeyed.keys() == {"quotation"}
+    after = {f.path for f in p.table("gold", "fact_quotation").version().parts}
+    assert 0 < len(after - before) <= 2  # only the buckets of the two rows were written
+    log = p.table("audit", "unresolved").read().where("target_table = 'gold.fact_quotation' AND column = 'customer_key'")
+    assert {r["bk"] for r in log.where("closed_batch = 2").collect()} == {"CUS1", "CUS2"} and log.where("closed_batch IS NULL").count() == N - 3
+    p.load({k: data[k] for k in ("customer", "agent", "provider", "vehicle", "policy")}, 3)
+    move = data["customer"].where("customer_id = 'CUS4'").withColumn("city", F.lit("Hue"))
+    p.load({"customer": move.withColumn("updated_date", F.lit("2024-01-20 00:00:00"))}, 4)
+    p.load({"customer": move.withColumn("city", F.lit("Vinh")).withColumn("updated_date", F.lit("2024-01-02 00:00:00"))}, 5)  # older, told later
+
+    q = Platform(spark, f"file://{tmp_path}/ordered")
+    q.load({k: data[k] for k in ("customer", "agent", "provider", "vehicle", "quotation", "policy")}, 1)
+    q.load({"customer": move.withColumn("city", F.lit("Vinh")).withColumn("updated_date", F.lit("2024-01-02 00:00:00"))}, 2)
+    q.load({"customer": move.withColumn("updated_date", F.lit("2024-01-20 00:00:00"))}, 3)
+    q.load({"payment": data["payment"]}, 4)
+
+    def star(x, fact, grain, dims):
+        """The fact with business keys and starts of versions in place of surrogate keys."""
+        rows = x.table("gold", fact).read()
+        for d, (key, bk) in dims.items():
+            side = x.dimension(d).select(F.col(key).alias("_k"), F.col(bk).alias(f"{d}_bk"), *([F.col("effective_from").alias(f"{d}_from")] if d in TYPE_2 else []))
+            rows = rows.join(side, F.col(key) == F.col("_k")).drop("_k")
+        return sorted(map(str, rows.select(grain, *(c for c in rows.columns if c.endswith(("_bk", "_from")))).collect()))
+
+    dims = {d: (f"{d}_key", TYPE_2[d][0]) for d in ("customer", "provider", "vehicle")}
+    for fact, grain in (("fact_quotation", "quotation_id"), ("fact_payment", "payment_id")):
+        assert star(p, fact, grain, dims) == star(q, fact, grain, dims)
+    assert [r["city"] for r in p.dimension("customer").where("customer_id = 'CUS4'").orderBy("effective_from").collect()] == ["Ha Noi", "Vinh", "Hue"]
+
+
+def test_validation_finds_what_is_wrong(spark, tmp_path):
+    """A row that is missing, an amount that is off, a key that was lost and a version that begins after its event, each by its check."""
+    p, data = Platform(spark, f"file://{tmp_path}"), bronze(spark)
+    data["vehicle"] = data["vehicle"].where("CAST(substr(vehicle_id, 2) AS INT) < 40")
+    data["payment"] = data["payment"].where("payment_id NOT IN ('PAY7')")  # its policy is rejected
+    data["customer"] = data["customer"].withColumn("email", F.lit("a@b.vn"))
+    p.load(data, 1, strict=True)  # nothing fails
+    checks = audit(p, "validation", "table_name", "check", "passed")
+    assert {c for _, c, _ in checks} == {"grain", "null_bk", "orphan", "unresolved", "temporal", "date", "soft_delete", "row_count", "metric"} and all(ok for _, _, ok in checks)
+    assert audit(p, "session", "failed_checks", "sla_met") == [(0, True)]
+    table, whole = p.table("gold", "fact_policy"), p.table("gold", "fact_policy").read()
+    failed = lambda: {(x["check"], x["column"], x["bad"]) for x in p.checks("policy", 1) if not x["passed"]}
+    number = table.version().number
+    older = p.dimension("provider").where("provider_code = 'BV'").first()["provider_key"]
+    damage = {
+        ("row_count", "", 1.0): whole.where("policy_id <> 'P3'"), ("metric", "premium_amount", 5.0): whole.withColumn("premium_amount", F.when(F.col("policy_id") == "P3", F.col("premium_amount") + 5).otherwise(F.col("premium_amount"))),
+        ("unresolved", "customer_key", 1.0): whole.withColumn("customer_key", F.when(F.col("policy_id") == "P3", -1).otherwise(F.col("customer_key"))),
+        ("orphan", "agent_key", 1.0): whole.withColumn("agent_key", F.when(F.col("policy_id") == "P3", 999).otherwise(F.col("agent_key"))),
+        ("soft_delete", "is_deleted", 1.0): whole.withColumn("is_deleted", F.col("policy_id") == "P3"),
+        ("date", "start_date_key", 1.0): whole.withColumn("start_date_key", F.when(F.col("policy_id") == "P3", 19000101).otherwise(F.col("start_date_key"))),
+        ("grain", "policy_id", 1.0): whole.unionByName(whole.where("policy_id = 'P3'")),
+    }
+    for want, rows in damage.items():
+        table.publish(rows.withColumns({c: F.col(c).cast(t) for c, t in whole.dtypes}))
+        assert want in failed(), want
+    table.publish(table.read(number))
+    assert failed() == set()
+    dim = p.table("gold", "dim_provider")
+    dim.publish(dim.read().withColumn("effective_from", F.when(F.col("provider_key") == older, F.lit("2024-02-20 00:00:00").cast("timestamp")).otherwise(F.col("effective_from"))))
+    assert {(c, k) for c, k, _ in failed()} == {("temporal", "provider_key")}
+
+
+def test_a_step_that_fails_anywhere_and_is_done_again_leaves_the_same(spark, tmp_path, monkeypatch):
+    """Each publishing of a load fails once; what is in force after the retry is what an undisturbed load leaves."""
+    data = bronze(spark)
+    feeds = {k: data[k] for k in ("customer", "quotation")}
+    content = lambda p: {n: sorted(map(str, p.table(*n.split("/")).read().drop("_loaded_at").collect())) for n in ("silver/customer", "silver/quotation", "rejected/customer", "rejected/quotation", "gold/dim_customer", "gold/dim_package", "gold/fact_quotation", "audit/invalid_record", "audit/unresolved") if p.table(*n.split("/")).exists()}
+    calm = Platform(spark, f"file://{tmp_path}/calm", policy=RetryPolicy(0, 0.0))
+    calm.load(feeds, 1, threads=1)
+    want, publish, calls = content(calm), SnapshotTable._publish, []
+
+    def counted(self, *args):
+        calls.append(self.root)
+        return publish(self, *args)
+
+    monkeypatch.setattr(SnapshotTable, "_publish", counted)
+    Platform(spark, f"file://{tmp_path}/count", policy=RetryPolicy(0, 0.0)).load(feeds, 1, threads=1)
+    points = [i for i, r in enumerate(calls) if "/audit/" not in r or r.endswith(("unresolved", "invalid_record"))]
+    for after in (False, True):
+        for fail_at in points[1 if after else 0 :: 4]:
+            seen = []
+
+            def broken(self, *args, seen=seen, fail_at=fail_at, after=after):
+                seen.append(self.root)
+                if len(seen) - 1 == fail_at and not after:
+                    raise TimeoutError("the store did not answer")
+                out = publish(self, *args)
+                if len(seen) - 1 == fail_at:
+                    raise TimeoutError("the store did not answer in time")
+                return out
+
+            monkeypatch.setattr(SnapshotTable, "_publish", broken)
+            p = Platform(spark, f"file://{tmp_path}/{after}-{fail_at}", policy=RetryPolicy(1, 0.0))
+            p.load(feeds, 1, threads=1)
+            assert content(p) == want, (fail_at, after)
+            assert audit(p, "retry", "attempt_no", "error_type") == [(1, "TIMEOUT")]
+
+
+def test_full_load_is_published_once(spark, tmp_path, monkeypatch):
+    """A full load whose publishing fails leaves the old table in force."""
+    mapping, table, rejects = FEEDS["agent"].mapping(1, "agent"), SnapshotTable(spark, f"file://{tmp_path}/s"), SnapshotTable(spark, f"file://{tmp_path}/r")
+    rows = bronze(spark)["agent"]
+    load_silver(rows, mapping, ["agent_id"], "updated_at", table, rejects, 1, full=True)
+    publish = SnapshotTable._publish
+    monkeypatch.setattr(SnapshotTable, "_publish", lambda *a: (_ for _ in ()).throw(TimeoutError()))
+    with pytest.raises(TimeoutError):
+        load_silver(rows.where("agent_id = 'AG1'"), mapping, ["agent_id"], "updated_at", table, rejects, 2, full=True)
+    assert table.read().count() == 4 and len(table.versions()) == 1
+    monkeypatch.setattr(SnapshotTable, "_publish", publish)
+    load_silver(rows.where("agent_id = 'AG1'"), mapping, ["agent_id"], "updated_at", table, rejects, 2, full=True)
+    assert table.read().count() == 1 and len(table.versions()) == 2
+
+
+def test_batches_are_numbered(spark, tmp_path):
+    p, data = Platform(spark, f"file://{tmp_path}"), bronze(spark)
+    for _ in range(2):
+        p.load({"agent": data["agent"]})
+    assert audit(p, "session", "batch_id", "status") == [(1, "SUCCESS"), (2, "SUCCESS")]
+    for mode in ("RECOVERY", "REPLAY", "other"):
+        with pytest.raises(ValueError):
+            p.load({"agent": data["agent"]}, mode=mode)
