@@ -2,11 +2,14 @@
 
 Every benchmark item is compared with the windows of its own number of words. A similar window has the
 share SIMILARITY of its weight in shingles of the items of its size; only windows that do are fingerprinted.
-A fingerprint has BITS bits in blocks of two bytes, and each block has a table of the items' values. Two
+
+A fingerprint sums signs of shingles times the root of their weight, each occurrence for itself. So the cosine of two sums is the weight
+they share over the root of the product of their weights, which is 0.889 or more wherever the weighted Jaccard is 0.8, however
+weights are spread. A fingerprint has BITS bits in blocks of two bytes, and each block has a table of the items' values. Two
 fingerprints within RADIUS bits agree in some block up to RADIUS // blocks bits, so looking up all values
-so close to a window's, block by block, misses none; unrelated items are rarely met. A similar pair may
-lie beyond the radius, above all where items share much text of little weight; so windows are compared with
-the items by the shingles' postings as well, which misses none. What is found is judged by exact weighted Jaccard.
+so close to a window's, block by block, misses none; unrelated items are rarely met. At a cosine of 0.889 a pair is within the radius with
+a probability of 0.92, so there are FAMILIES fingerprints of independent signs: one pair in 30,000 at the very limit is within
+the radius in none, and fewer above it. What is found is judged by exact weighted Jaccard.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BITS = 256
 BLOCKS = BITS // 16
-#: Equal weights and a Jaccard of 0.8 make 39 of 256 bits differ on average, with a deviation of six. A wider radius
+FAMILIES = 4
+#: A Jaccard of 0.8 makes 39 of 256 bits differ on average, with a deviation of six. A wider radius
 #: would meet more of the unrelated items in some block: within two bits of sixteen are 3 % of them, within three 16 %.
 RADIUS = 47
 #: Benchmark text in one index. A larger benchmark is searched index by index, each over all documents.
@@ -37,9 +41,9 @@ _MASKS = _VALUES[_ONES <= RADIUS // BLOCKS]
 _LANES = [np.uint64(x) for x in range(BITS // 64)]
 
 
-def signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 and -1 for the BITS bits of each shingle's hash."""
-    raw = np.stack([tk.mix64(shingles ^ (x << np.uint64(56))) for x in _LANES], 1).astype("<u8").view(np.uint8)
+def signs(shingles: np.ndarray, family: int = 0) -> np.ndarray:
+    """+1 and -1 for the BITS bits of each shingle's hash of a family."""
+    raw = np.stack([tk.mix64(shingles ^ ((x + np.uint64(family * len(_LANES))) << np.uint64(56))) for x in _LANES], 1).astype("<u8").view(np.uint8)
     return np.unpackbits(raw.reshape(len(shingles), -1), axis=1).astype(np.float64) * 2 - 1
 
 
@@ -48,6 +52,11 @@ def prints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(np.round(sums, 6) > 0, axis=1).view("<u2")
 
 
+def occurrence(shingles: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A shingle's first occurrence in a window is itself, each further one a shingle of its own."""
+    return np.where(times > 0, tk.mix64(shingles + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), shingles)
+
+
 class Blocks:
     """Tables from a block's value to the fingerprints that have it."""
 
@@ -91,8 +100,8 @@ class Index:
     weighed: np.ndarray  # sorted shingles whose weight is not that of a rare one
     weight: np.ndarray  # log(1 + items / items with the shingle)
     rare: float  # weight of a shingle that no item has, or one
-    groups: dict[int, tuple[list[int], Blocks, list[tuple[np.ndarray, np.ndarray]]]]  # words: ids, prints, counted shingles
-    posts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words: sorted shingles, item's place and count of each; items' weights
+    groups: dict[int, tuple[list[int], list[Blocks], list[tuple[np.ndarray, np.ndarray]]]]  # words: ids, prints by family, counted shingles
+    shingles: dict[int, np.ndarray]  # words: sorted shingles of the items of that size
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], counted: tuple[np.ndarray, np.ndarray, int] | None = None) -> Index:
@@ -110,16 +119,18 @@ class Index:
         for item, n, shingles, counts in sorted(sets, key=lambda s: s[0]):
             ids, marks, kept = out.groups.setdefault(n, ([], [], []))
             ids.append(item)
-            marks.append(prints((signs(shingles) * (out.weights(shingles) * counts)[:, None]).sum(0)[None])[0])
+            each = np.repeat(shingles, counts)
+            times = tk.ranges(np.zeros(len(counts), np.int64), counts)
+            marks.append(np.stack([out.print_of(each, times, f) for f in range(FAMILIES)]))
             kept.append((shingles, counts))
-        out.groups = {n: (ids, Blocks(np.array(marks)), kept) for n, (ids, marks, kept) in out.groups.items()}
-        for n, (_, _, kept) in out.groups.items():
-            shingles, counts = (np.concatenate([x[j] for x in kept]) for j in (0, 1))
-            place, order = np.repeat(np.arange(len(kept)), [len(x[0]) for x in kept]), np.argsort(shingles, kind="stable")
-            totals = np.bincount(place, out.weights(shingles) * counts, len(kept))
-            out.posts[n] = shingles[order], place[order], counts[order], totals
+        out.groups = {n: (ids, [Blocks(np.stack(marks)[:, f]) for f in range(FAMILIES)], kept) for n, (ids, marks, kept) in out.groups.items()}
+        out.shingles = {n: np.unique(np.concatenate([x[0] for x in kept])) for n, (_, _, kept) in out.groups.items()}
         return out
 
+    def print_of(self, each: np.ndarray, times: np.ndarray, family: int) -> np.ndarray:
+        """The fingerprint of a window's shingles; ``times``: how often each stands before."""
+        return prints((signs(occurrence(each, times), family) * np.sqrt(self.weights(each))[:, None]).sum(0)[None])[0]
+
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.zeros(len(shingles), bool)
@@ -142,33 +153,32 @@ class Index:
 
     def heavy(self, n: int, local: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
         """Which windows of ``size`` shingles of ``local`` from ``at`` on have the share SIMILARITY of their weight in shingles of items of ``n`` words."""
-        shingles, weight = self.posts[n][0], self.weights(local)
+        shingles, weight = self.shingles[n], self.weights(local)
         own = shingles[np.minimum(np.searchsorted(shingles, local), len(shingles) - 1)] == local
         whole, mine = (np.append(0, np.cumsum(x)) for x in (weight, weight * own))
         return np.flatnonzero(mine[at + size] - mine[at] >= SIMILARITY * (whole[at + size] - whole[at]) - 1e-6)
 
-    def overlapping(self, n: int, local: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-        """(window, item's place) of all pairs that reach SIMILARITY: windows of ``size`` shingles of ``local`` from ``at`` on, items of ``n`` words."""
-        shingles, place, counts, totals = self.posts[n]
-        weight = self.weights(local)
-        for w, a in enumerate(at.tolist()):
-            found, first, times = np.unique(local[a : a + size], return_index=True, return_counts=True)
-            lo = np.searchsorted(shingles, found, "left")
-            many = np.searchsorted(shingles, found, "right") - lo
-            posts, each = tk.ranges(lo, many), np.repeat(np.arange(len(found)), many)
-            both = np.bincount(place[posts], weight[a + first][each] * np.minimum(times[each], counts[posts]), len(totals))
-            for i in np.flatnonzero(both >= (SIMILARITY - 1e-6) * (weight[a : a + size].sum() + totals - both)).tolist():
-                yield w, i
-
-    def prints_of(self, local: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprints of the windows, from running sums over each stretch of them."""
+    def prints_of(self, local: np.ndarray, at: np.ndarray, size: int, family: int) -> np.ndarray:
+        """Fingerprints of the windows, from running sums over each stretch of them; windows in which a shingle stands twice are summed for themselves."""
         out = np.empty((len(at), BLOCKS), np.uint16)
         parts = np.flatnonzero(np.concatenate([[True], np.diff(at) > size, [True]]))
         for a, b in zip(parts[:-1].tolist(), parts[1:].tolist(), strict=True):
             first = int(at[a])
             own = local[first : int(at[b - 1]) + size]
-            sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs(own) * self.weights(own)[:, None], 0)])
+            sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs(own, family) * np.sqrt(self.weights(own))[:, None], 0)])
             out[a:b] = prints(sums[at[a:b] - first + size] - sums[at[a:b] - first])
+        order = np.argsort(local, kind="stable")
+        same = local[order[1:]] == local[order[:-1]]
+        before = np.full(len(local), -1)  # where the same shingle stood last
+        before[order[1:][same]] = order[:-1][same]
+        latest = -tk.sliding_min(-before, size)
+        for w in np.flatnonzero(latest[at] >= at).tolist():
+            window = local[at[w] : at[w] + size]
+            by = np.argsort(window, kind="stable")
+            starts = np.concatenate([[True], window[by][1:] != window[by][:-1]])
+            times = np.empty(size, np.int64)
+            times[by] = np.arange(size) - np.maximum.accumulate(np.where(starts, np.arange(size), 0))
+            out[w] = self.print_of(window, times, family)
         return out
 
     def matches(self, words: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
@@ -194,7 +204,8 @@ class Index:
             at = at[self.heavy(n, local, at, reach + 1)]
             if not len(at):
                 continue
-            pairs = {*blocks.within(self.prints_of(local, at, reach + 1)), *self.overlapping(n, local, at, reach + 1)}
+            at = at[np.sort(np.unique(tk.runs_of(local, reach + 1)[at], return_index=True)[1])]  # equal windows: the first
+            pairs = {p for f in range(FAMILIES) for p in blocks[f].within(self.prints_of(local, at, reach + 1, f))}
             best: dict[int, tuple[float, int]] = {}
             for x, y in sorted(pairs):
                 x = int(at[x])

@@ -38,17 +38,22 @@ def _letters() -> np.ndarray:
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the n-grams of one to three signs within words, word ends marked.
-    A long text is counted piece by piece (n-grams over a cut are lost with it only inside a word
-    of over 2 ** 20 letters)."""
+    A long text is counted piece by piece. A piece ends at a sign that is no letter; where there is none, the next one begins with
+    the last two letters, whose own n-grams have been counted."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    at = 0
+    at, again = 0, 0
     while at < len(text):
         to = min(len(text), at + _PIECE)
         if to < len(text):
-            back = max(text.rfind(" ", at, to), text.rfind("\n", at, to))
-            to = back if back > at else to
+            back = max(text.rfind(" ", at + 1, to), text.rfind("\n", at + 1, to))
+            to = back if back > at + again else to
         c = _letters()[np.frombuffer(text[at:to].encode("utf-32-le", "surrogatepass"), np.uint32)]
-        c = np.concatenate([[np.uint64(1)], c, [np.uint64(1)]])
+        inside = to < len(text) and c[-1] > 1 and _letters()[ord(text[to])] > 1
+        if inside and len(other := np.flatnonzero(c[again + 1 :] == 1)):
+            c = c[: again + 1 + int(other[-1])]
+            to, inside = at + len(c), False
+        ends = [np.array([1], np.uint64)]
+        c = np.concatenate([*(ends if not again else []), c, *(ends if not inside else [])])
         letter = c > 1
         keep = letter.copy()
         keep[1:] |= letter[:-1]
@@ -59,8 +64,10 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
         if len(c) > 2:
             two = (c[:-1] << _BITS) | c[1:]
             three = (two[:-1] << _BITS) | c[2:]
-            found.append(np.unique(np.concatenate([c[c > 1], two, three[c[1:-1] > 1]]), return_counts=True))
-        at = to
+            one, three = c[again:], three[c[1:-1] > 1]
+            found.append(np.unique(np.concatenate([one[one > 1], two[max(0, again - 1) :], three]), return_counts=True))
+        again = 2 if inside else 0
+        at = to - again
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(found) == 1:

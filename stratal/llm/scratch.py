@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-#: Paths of this process' tables, in the order they were written.
-_WRITTEN: list[str] = []
+#: Paths of the tables that were written inside the innermost ``temporary`` of this thread, in order.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/stratal/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    _WRITTEN.append(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     return path
 
 
@@ -52,14 +54,23 @@ def discard(df: DataFrame | None) -> None:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Tables written inside go at the end, but for those put into the list; what is lazy must have been run by then."""
-    begin, kept = len(_WRITTEN), []
-    yield kept
-    keep = {df.scratch_path for df in kept}
-    for path in _WRITTEN[begin:]:
-        if path not in keep:
-            drop_path(spark, path)
-    _WRITTEN[begin:] = keep
+    """Tables that this thread writes inside go at the end, also after an error, but for those put into the list; what is lazy must have been
+    run by then. An outer ``temporary`` has those that stay."""
+    kept: list[DataFrame] = []
+    token = _WRITTEN.set([])
+    try:
+        yield kept
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        written, keep = _WRITTEN.get(), {df.scratch_path for df in kept}
+        _WRITTEN.reset(token)
+        for path in written:
+            if path not in keep:
+                drop_path(spark, path)
+        if (outer := _WRITTEN.get()) is not None:
+            outer += keep
 
 
 @contextmanager

@@ -66,12 +66,13 @@ def _bucket(doc_id: str, cuts: list[int]) -> Column:
     return F.expr(f"aggregate(array({steps}), 0, (p, s) -> IF(p + s <= {len(cuts)} AND element_at({array}, IF(p + s <= {len(cuts)}, p + s, 1)) < {doc_id}, p + s, p))")
 
 
-def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``rows`` with next_<c> of the row that follows in descending doc_id (nulls last, equal ids in
+def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROWS, made: dict[str, Column] | None = None) -> DataFrame:
+    """``rows``, with the columns ``made``, with next_<c> of the row that follows in descending doc_id (nulls last, equal ids in
     order of ``mark``); the first row follows the last.
 
     Rows are dealt to ranges of doc_id; each range also gets a ghost of the row after its last,
-    so that neighbours stand in one range and rows are shuffled once.
+    so that neighbours stand in one range and rows are shuffled once. What is ``made`` is made after the ghosts are chosen,
+    so that no row pays for it to be looked through for them.
     """
     spark = rows.sparkSession
     n = rows.count()
@@ -86,6 +87,7 @@ def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROW
     target = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ghosts)), "array<struct<bucket:int,head:bigint>>")))
     target = F.broadcast(target.withColumnRenamed("bucket", "target"))
     extra = rows.join(target, rows["doc_id"].eqNullSafe(target["head"])).withColumn("bucket", F.col("target")).drop("target", "head")
+    rows, extra = (x.withColumns(made or {}) for x in (rows, extra))
     both = rows.withColumn("ghost", F.lit(0)).unionByName(extra.withColumn("ghost", F.lit(1)))
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "mark")
     out = both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
@@ -101,8 +103,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     anchors = common_words(rows)
-    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("fingerprint", fingerprint("text", anchors))
-    near = with_next(rows, ["text", "fingerprint"])
+    near = with_next(rows.withColumn("mark", F.xxhash64("text")), ["text", "fingerprint"], made={"fingerprint": fingerprint("text", anchors)})
     cut = near.withColumn("n_chars", F.char_length("text").cast("long")).withColumn(
         "edited", F.expr("concat(substring(text, 1, CAST(n_chars - n_chars DIV 3 AS INT)), substring(next_text, 1, CAST(n_chars DIV 3 AS INT)))")
     )
