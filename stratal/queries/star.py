@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratal.semantic.engine import Dimension, Star
+from stratal.semantic.engine import AGING, Dimension, Star, aging_bucket
 
 #: Provider codes.
 PROVIDERS = ("BV", "PVI", "PTI", "MIC", "LIB")
@@ -105,12 +105,14 @@ def cancellations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str, policy_role: str = "issued_date") -> dict[str, Star]:
     dated = lambda star, c: Star(with_date(star.fact, c), star.dimensions)
+    aged = lambda star: Star(star.fact.withColumn("aging_bucket", aging_bucket(F.datediff(F.lit(AS_OF), "payment_date"))), star.dimensions)
     return {
         "fact_quotation": dated(quotation_star(spark, sf_dir), "quoted_date"), "fact_policy": dated(policy_star(spark, sf_dir), policy_role),
-        "fact_payment": dated(payment_star(spark, sf_dir), "payment_date"), "fact_cancellation": Star(with_date(cancellations(spark, sf_dir), "cancelled_date")),
+        "fact_payment": aged(dated(payment_star(spark, sf_dir), "payment_date")), "fact_cancellation": Star(with_date(cancellations(spark, sf_dir), "cancelled_date")),
     }
 
 
+_BUCKET = "CASE " + " ".join(f"WHEN date_diff('day', payment_date, DATE '{AS_OF}') <= {last} THEN '{name}'" for name, _, last in AGING[:-1]) + f" ELSE '{AGING[-1][0]}' END"
 _DATE = "year({0})::INTEGER AS year_number, month({0})::INTEGER AS month_number, strftime({0}, '%Y-%m') AS year_month"
 STAR = f"""
 fq AS (
@@ -129,7 +131,7 @@ pol AS (
 fp AS (SELECT *, {_DATE.format('issued_date')} FROM pol),
 fpe AS (SELECT *, {_DATE.format('end_date')} FROM pol),
 fpay AS (
-  SELECT *, payment_date AS full_date, {_DATE.format('payment_date')} FROM (
+  SELECT *, payment_date AS full_date, {_BUCKET} AS aging_bucket, {_DATE.format('payment_date')} FROM (
     SELECT l_orderkey AS policy_id, {list(PROVIDERS)}[l_orderkey % 5 + 1] AS provider_code,
            CASE WHEN l_returnflag = 'A' THEN 'PAID' WHEN l_returnflag = 'R' THEN 'REFUNDED' WHEN l_linestatus = 'O' THEN 'PENDING' ELSE 'FAILED' END AS status,
            l_extendedprice::DECIMAL(18,2) AS payment_amount, l_shipdate::DATE AS payment_date, o_orderdate::DATE AS issued_date

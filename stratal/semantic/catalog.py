@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratal.functions.columns import divide
-from stratal.semantic.engine import AGING, Model, ratio, year_over_year
+from stratal.semantic.context import Each, Expr, Leaf, Op, Prior, Remove, Role, ToDate, Where, of
+from stratal.semantic.engine import AGING, Model, arrow_label, ratio, sign_color, year_over_year
 
 LOST = "status IN ('REJECTED', 'EXPIRED')"
 WON = "status IN ('ACCEPTED', 'CONVERTED')"
@@ -133,3 +134,60 @@ def growth(m: Model, measure: str, by: list[str] | None = None, where: str | Non
     fields = ["year_number", *(by or [])]
     df = m.evaluate([measure], fields, where)
     return year_over_year(df.toDF(*fields, column), "year_number", column, by or [], otherwise, difference)
+
+
+#: Measures that have a month-to-date form, and its name.
+TO_DATE = {"Total Quotations": "Quotation Count by Month", "Policies Issued": "Policies Issued by Month", "Conversion Rate": "Conversion Rate by Month", "Total Written Premium (VND)": "Written Premium by Month"}
+#: Measures of the year before.
+LAST_YEAR = {"Total Quotations": "Quotations PY", "Total Written Premium (VND)": "Premium PY", "Conversion Rate": "Conversion Rate PY"}
+#: Growth cards, what they are of, and whether they change in points.
+GROWTH = {
+    "Quotation Growth % YoY": ("Total Quotations", False), "Accepted Quotations Growth % YoY": ("Accepted Quotations", False), "Policies Issued Growth % YoY": ("Policies Issued", False),
+    "Policies In Force Growth % YoY": ("Policies In Force", False), "Active Customer Growth % YoY": ("Active Customers", False), "Premium Growth % YoY": ("Total Written Premium (VND)", False),
+    "Avg Premium Change % YoY": ("Avg Written Premium per Policy (VND)", False), "Conversion Rate Change YoY": ("Conversion Rate", True),
+}
+#: Fields of the agent and the provider dimension.
+AGENT, PROVIDER, STATUS = ("agent_id", "agent_name", "region"), ("provider_code",), ("status",)
+
+
+def expressions(m: Model) -> dict[str, Expr]:
+    """Every measure of a model by name, with those that change the filter context: shares, benchmarks, best members, other years and the month
+    to date. Where the facts lack a field that one needs, evaluating it is an error."""
+    out: dict[str, Expr] = {n: of(m, n) for n in m.measures}
+    share = lambda e, fields, times=1.0: Op(lambda n, d: divide(n, d, 0.0) * times, (e, Remove(e, fields)))
+    conversion, issued, quoted = out["Conversion Rate"], out["Policies Issued"], out["Total Quotations"]
+    out["Volume Share by Provider"] = share(quoted, PROVIDER, 100.0)
+    out["Policies Issued by Agent"] = Remove(issued, ("agent_name", "region"))
+    out["Conv Rate by Region"] = Remove(conversion, ("agent_id", "agent_name"))
+    out["Agent vs Regional Benchmark"] = conversion - out["Conv Rate by Region"]
+    out["Benchmark Color"] = Op(lambda x: F.when(x < 0, "#FF6666").otherwise("#32CD32"), (out["Agent vs Regional Benchmark"],))
+    out["Top Agent Name (Policies)"] = Each(issued, "agent_name", "last")
+    out["Top Agent Policies Count"] = Each(issued, "agent_name", "top")
+    out["Best Conv Rate Agent Name"] = Each(conversion, "agent_name", "last")
+    out["Average Conversion Rate (Agent)"] = Each(conversion, "agent_id", "mean")
+    for name, status in {"Lost Deals by City": "status IN ('REJECTED', 'EXPIRED')", "Rejected by City": "status = 'REJECTED'", "Expired by City": "status = 'EXPIRED'"}.items():
+        out[name] = Where(quoted, status)
+    out["Policy Status Distribution"] = share(issued, STATUS)
+    active = out["Active Policies"]
+    out["% Change Active vs Prior Year"] = Op(lambda n, p: divide(n - p, p, 0.0), (active, Prior(active)))
+    for name, later in TO_DATE.items():
+        out[later] = ToDate(out[name])
+    for name, before in LAST_YEAR.items():
+        out[before] = Prior(out[name])
+    premium = out["Total Written Premium (VND)"]
+    out["YoY Premium Growth %"] = Op(lambda n, p: divide(n - p, p, 0.0) * 100, (premium, Prior(premium)))
+    out["PY Label"] = Op(lambda y: F.concat(F.lit("PY ("), (y - 1).cast("string"), F.lit(")")), (Remove(Leaf("fact_quotation", "max(year_number)"), ("full_date", "year_number", "month_number", "year_month")),))
+    for name, (what, points) in GROWTH.items():
+        off = (lambda n, p: n - p) if points else (lambda n, p: divide(n - p, p))
+        out[name] = Op(off, (out[what], Prior(out[what])))
+        out[f"{name} Display"] = Op(lambda g, unit=" pts" if points else "%": arrow_label(F.round(g, 6), unit), (out[name],))
+        out[f"{name} Color"] = Op(sign_color, (out[name],))
+    known = f"{PROVIDER[0]} <> 'UNKNOWN'"
+    out["Top Premium Provider"] = Where(Each(out["Total Written Premium"], PROVIDER[0], "last"), known)
+    out["Best Collection Rate Provider"] = Each(out["Payment Collection Rate by Provider"], PROVIDER[0], "names")
+    out["Highest Cancel Rate Provider"] = Where(Each(out["Policy Cancellation Rate"], PROVIDER[0], "last"), known)
+    out["Active Providers"] = Leaf("fact_policy", "count(DISTINCT provider_code)")
+    out["Pending Aging Amount"] = Leaf("fact_payment", "sum(CASE WHEN status = 'PENDING' THEN payment_amount END)")
+    if "fact_policy@end" in m.facts:
+        out["Policies Issued (End Date)"] = Role(issued, "fact_policy", "end")
+    return out

@@ -5,7 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
+from stratal.semantic.catalog import expressions
+from stratal.semantic.context import Cube
 from stratal.semantic.engine import Model, column_name
 
 #: The pages' visuals, one a line: fields, a colon, measures (of one visual, in its order); a card has no field.
@@ -20,9 +23,12 @@ PAGES = {
         : Expired Quotations
         package_code: Total Quotations
         : Rejected Quotations
+        provider_code: Volume Share by Provider
         : Quote-to-Accept Rate
         provider_code: Conversion Rate; Avg Written Premium per Policy (VND)""",
     "agents": """
+        agent_name: Agent vs Regional Benchmark
+        : Average Conversion Rate (Agent)
         : Active Agents
         agent_name: Policies Issued; Conversion Rate""",
     "overview": """
@@ -36,6 +42,7 @@ PAGES = {
         : Conversion Rate
         : Avg Written Premium per Policy (VND)""",
     "providers": """
+        : Active Providers
         year_number, month_number, provider_code: Total Written Premium
         provider_code: Payment Collection Rate
         provider_code: Policy Cancellation Rate
@@ -45,6 +52,7 @@ PAGES = {
         status: Total payment
         : Total Amount
         : Successful Payment Rate
+        aging_bucket: Pending Aging Amount
         : Failed Payment Rate
         provider_code: Payment Collection Rate; Total Amount
         : Avg Payment Value""",
@@ -59,6 +67,8 @@ PAGES = {
         provider_code, package_code: Policies Issued
         : Policies Expiring Soon
         : Policies Issued""",
+    "demo": """
+        : Avg Payment Value; Avg Premium per Policy""",
     "operations": """
         : Total Written Premium (VND)
         : Policy Cancellation Rate
@@ -89,13 +99,28 @@ def slicers(selected: dict[str, list]) -> list[str]:
 
 
 def render(model: Model, page: str, selected: dict[str, list] | None = None) -> DataFrame:
-    """visual (from 1), category (the fields' values with a stroke between), measure, value: the numbers of a page under
-    its slicers. A visual's measures are evaluated at once; blanks are left out, as a chart does."""
+    """visual (from 1), category (the fields' values with a stroke between), measure, value, position: the numbers of a page under
+    its slicers, in the order in which each visual shows its categories. Blanks are left out, as a chart does.
+
+    All visuals of the page come from one scan of each fact.
+    """
+    cube, found = Cube(model, slicers(selected or {})), visuals(page)
+    known = expressions(model)
+    for v in found:
+        for m in v.measures:
+            cube.add(known[m], v.by)
     out = None
-    for i, v in enumerate(visuals(page), 1):
-        df = model.evaluate(list(v.measures), list(v.by), slicers(selected or {}))
+    for i, v in enumerate(found, 1):
+        df = cube.frame({column_name(m): known[m] for m in v.measures}, v.by)
         category = F.concat_ws(" | ", *(F.coalesce(F.col(b).cast("string"), F.lit("")) for b in v.by)) if v.by else F.lit("")
+        # dates rise; otherwise the first measure falls
+        order = [F.asc_nulls_last(b) for b in v.by] if v.by[:1] == ("year_number",) else [F.desc_nulls_last(F.col(column_name(v.measures[0])).cast("double"))]
+        shown = F.lit(False)
+        for m in v.measures:
+            shown = shown | F.col(column_name(m)).isNotNull()
+        position = F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(*order, category)).alias("position")  # of a visual's categories
         pairs = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(column_name(m)).cast("double").alias("value")) for m in v.measures))
-        long = df.select(F.lit(i).alias("visual"), category.alias("category"), F.explode(pairs).alias("p")).select("visual", "category", "p.measure", "p.value").where("value IS NOT NULL")
+        rows = df.where(shown).select(F.lit(i).alias("visual"), category.alias("category"), pairs.alias("pairs"), position)
+        long = rows.select("visual", "category", F.explode("pairs").alias("p"), "position").select("visual", "category", "p.measure", "p.value", "position").where("value IS NOT NULL")
         out = long if out is None else out.unionByName(long)
     return out
