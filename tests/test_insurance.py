@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from decimal import Decimal
 
 import pytest
@@ -11,6 +12,8 @@ from stratal.operators.reconcile import Key, Suite
 from stratal.plans.audit import GateClosed, RetryPolicy
 from stratal.plans.batches import load_silver
 from stratal.plans.insurance import FEEDS, TYPE_2, Platform, ValidationFailed
+from stratal.plans.monitoring import investigation_queue, layer_monitor, run_summary
+from stratal.plans.sources import Intake, Source, monitored
 from stratal.sources.snapshots import SnapshotTable
 
 N = 40
@@ -284,3 +287,36 @@ def test_batches_are_numbered(spark, tmp_path):
     for mode in ("RECOVERY", "REPLAY", "other"):
         with pytest.raises(ValueError):
             p.load({"agent": data["agent"]}, mode=mode)
+
+
+def test_two_batches_from_files_and_a_table(spark, tmp_path):
+    """New files and changed rows only; a failed batch is done again in RECOVERY; the monitoring views read the platform's own audit."""
+    p, data = Platform(spark, f"file://{tmp_path}/p", policy=RetryPolicy(0, 0.0)), bronze(spark)
+    files = f"{tmp_path}/quotation"
+    put = lambda name, where: data["quotation"].where(where).toPandas().to_csv(f"{files}/{name}", index=False)
+    os.makedirs(files)
+    put("a.csv", "quotation_id IN ('Q1', 'Q2')")
+    customers = lambda rows: rows.createOrReplaceTempView("source_customers")
+    customers(data["customer"].where("customer_id IN ('CUS1', 'CUS2')"))
+    intake = Intake(p, (Source("quotation", f"file://{files}", "csv"), Source("customer", "source_customers", changed=("updated_date", "created_date"))))
+    assert intake.load() == {"quotation": {"kept": 0, "updated": 0, "inserted": 2}}
+    assert intake.load() == {}  # nothing new
+    put("b.csv", "quotation_id = 'Q4'")
+    moved = data["customer"].where("customer_id IN ('CUS1', 'CUS2', 'CUS4')")
+    customers(moved.withColumn("updated_date", F.when(F.col("customer_id") == "CUS1", "2024-01-10 00:00:00").when(F.col("customer_id") == "CUS4", "2024-01-01 00:00:00")))
+    (tmp_path / "quotation" / "c.csv").write_text("nothing\n1\n")
+    good = Intake(p, (intake.sources[1],))
+    with pytest.raises(GateClosed):
+        Intake(p, (Source("quotation", f"file://{files}", "parquet"), intake.sources[1])).load()
+    assert [r for r in audit(p, "file", "batch_id", "file_name", "status") if r[0] == 3] == [(3, "b.csv", "FAILED"), (3, "c.csv", "FAILED")]
+    os.remove(f"{files}/c.csv")
+    put("c.csv", "quotation_id = 'Q6'")
+    assert intake.load(3, "RECOVERY") == {"quotation": {"kept": 2, "updated": 0, "inserted": 2}}
+    assert {(n, s) for _, n, s in audit(p, "file", "batch_id", "file_name", "status")} == {("a.csv", "SUCCESS"), ("b.csv", "SUCCESS"), ("c.csv", "SUCCESS")}
+    assert {r["customer_id"] for r in p.dimension("customer").collect()} == {"CUS1", "CUS2", "CUS4", "Unknown"} and good.load() == {}
+    assert audit(p, "watermark", "source_id", "watermark") == [("customer", "2024-01-10 00:00:00")]
+    monitor = layer_monitor(*monitored(p))
+    summary = {r["batch_id"]: r for r in run_summary(monitor).orderBy("session_started").collect()}
+    assert summary[1]["session_status"] == "SUCCESS" and summary[1]["failed_table_count"] == 0 and summary[1]["total_inserted_row"] >= 4
+    failed = investigation_queue(monitor).where("batch_id = 3 AND run_mode = 'NEW'").collect()
+    assert {r["source_table_name"] for r in failed if r["detail_status"] == "FAILED"} == {"quotation"}
