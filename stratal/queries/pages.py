@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stratal.queries import SQL, query
 from stratal.queries.kpis import AS_OF, Q_ALL, Q_CONV, Q_LOST, Q_WON, STAR, _long_growth, _long_sql, div, one, plain, r, two
 from stratal.queries.star import policies
-from stratal.semantic.catalog import GROWTH, expressions
+from stratal.semantic.catalog import GROWTH, GROWTH_TWO, expressions
 from stratal.semantic.context import Cube, running_distinct
 from stratal.semantic.engine import arrow_label, column_name, sign_color
-from stratal.semantic.pages import PAGES, render, visuals
+from stratal.semantic.pages import CARDS, PAGES, SLICERS, cards, choices, records, render, visuals
 from stratal.session import staged
 
 #: What is selected on every page: two years, three providers, and regions, which payments and cancellations do not have.
@@ -94,15 +94,8 @@ CARDS_ONE = {
     "Quotation Growth % YoY": "Total Quotations", "Accepted Quotations Growth % YoY": "Accepted Quotations", "Policies Issued Growth % YoY": "Policies Issued", "Policies In Force Growth % YoY": "Policies In Force",
     "Active Customer Growth % YoY": "Active Customers", "Premium Growth % YoY": "Total Written Premium (VND)", "Avg Premium Change % YoY": "Avg Written Premium per Policy (VND)", "Conversion Rate Change YoY": "Conversion Rate",
 }
-#: Those of dashboard two: label, value and what they are of; the rates change in points.
-CARDS_TWO = {
-    "Growth Policies Issued %": ("Growth Policies Issued % Value", "Policies Issued"), "Growth Total Written Premium %": ("Growth Total Written Premium Value %", "Total Written Premium (VND)"),
-    "Growth Total Collected Premium %": ("Growth Total Collected Premium Value %", "Total Collected Premium"), "Growth Expired Policies %": ("Growth Expired Policies Value %", "Expired Policies"),
-    "Growth Active Policies %": ("Growth Active Policies Value %", "Active Policies"), "Growth Avg Premium per Policy %": ("Growth Avg Premium per Policy Value %", "Avg Premium per Policy"),
-    "Growth Total Payment Amount %": ("Growth Total Payment Amount Value", "Total Amount"), "Growth Avg Payment Value %": ("Growth Avg Payment Value", "Avg Payment Value"),
-    "Growth Policies Expiring Soon %": ("Growth Policies Expiring Soon Value %", "Policies Expiring Soon"), "Growth Payment Collection Rate %": ("Growth Payment Collection Rate Value %", "Payment Collection Rate"),
-    "Growth Successful Payment Rate %": ("Growth Successful Payment Rate Value", "Successful Payment Rate"), "Growth Failed Payment Rate %": ("Growth Failed Payment Rate Value", "Failed Payment Rate"),
-}
+#: Those of dashboard two with a measure of one fact: label, value and what they are of.
+CARDS_TWO = {n: (v, m) for n, (v, m, _) in GROWTH_TWO.items() if m != "Policy Cancellation Rate"}
 _POINTS = ("Conversion Rate Change YoY", "Growth Payment Collection Rate %", "Growth Successful Payment Rate %", "Growth Failed Payment Rate %")
 
 
@@ -279,3 +272,40 @@ def kpi_growth_cards_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     icon = F.struct(F.lit("Growth Policies Issued Icon").alias("measure"), none.cast("double").alias("number"), F.when(new | (x >= 0), "▲").otherwise("▼").alias("text"))
     every = F.when(F.col("card") == "Growth Policies Issued %", F.array(*rows, icon)).otherwise(F.array(*rows))
     return g.select("year_number", F.explode(every).alias("x")).select("x.measure", "year_number", "x.number", "x.text")
+
+
+_GROWTH_PAGES = ("overview", "payments", "policies", "operations", "demo")
+_OF_PAGE = ", ".join(f"('{p}', '{m}')" for p in _GROWTH_PAGES for m in CARDS[p] if m != "Growth Policy Cancellation Rate %")
+
+
+@query(f"""
+WITH one AS ({SQL["kpi_growth_cards_one"]}), two AS ({SQL["kpi_growth_cards_two"]}), g AS (SELECT * FROM one UNION ALL SELECT * FROM two), c(page, measure) AS (VALUES {_OF_PAGE})
+SELECT page, measure, text FROM c JOIN g USING (measure) WHERE year_number = 1997
+""")
+def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The growth cards of the pages, for one year."""
+    out = None
+    for p in _GROWTH_PAGES:
+        rows = cards(one(spark, sf_dir) if p == "overview" else two(spark, sf_dir), p, [1997])
+        out = rows if out is None else out.unionByName(rows)
+    return out.where("measure <> 'Growth Policy Cancellation Rate %'")
+
+
+@query(f"""
+WITH {STAR}, p AS (SELECT *, status AS s FROM fp), s(page, field) AS (VALUES {", ".join(f"('{p}', '{f}')" for p, fs in SLICERS.items() for f in fs)}),
+v AS ({" UNION ".join(f"SELECT '{f}' AS field, {f}::VARCHAR AS value FROM fp" for f in ("city", "year_number", "provider_code", "region", "status"))})
+SELECT page, field, value FROM s JOIN v USING (field) WHERE value IS NOT NULL
+""")
+def page_slicers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page's slicers offer."""
+    out = None
+    for p in SLICERS:
+        rows = choices(one(spark, sf_dir), p).select(F.lit(p).alias("page"), "field", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH {STAR} SELECT policy_id, provider_code, region, status, premium_amount::DOUBLE AS premium_amount FROM fpe WHERE {_where('fpe')}")
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policies behind the pages, row by row."""
+    return plain(records(two(spark, sf_dir), SELECTED))

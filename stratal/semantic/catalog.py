@@ -146,10 +146,36 @@ GROWTH = {
     "Policies In Force Growth % YoY": ("Policies In Force", False), "Active Customer Growth % YoY": ("Active Customers", False), "Premium Growth % YoY": ("Total Written Premium (VND)", False),
     "Avg Premium Change % YoY": ("Avg Written Premium per Policy (VND)", False), "Conversion Rate Change YoY": ("Conversion Rate", True),
 }
+#: Growth labels of dashboard two: their value's name, what they are of, and whether they change in points.
+GROWTH_TWO = {
+    "Growth Policies Issued %": ("Growth Policies Issued % Value", "Policies Issued", False), "Growth Total Written Premium %": ("Growth Total Written Premium Value %", "Total Written Premium (VND)", False),
+    "Growth Total Collected Premium %": ("Growth Total Collected Premium Value %", "Total Collected Premium", False), "Growth Expired Policies %": ("Growth Expired Policies Value %", "Expired Policies", False),
+    "Growth Active Policies %": ("Growth Active Policies Value %", "Active Policies", False), "Growth Avg Premium per Policy %": ("Growth Avg Premium per Policy Value %", "Avg Premium per Policy", False),
+    "Growth Total Payment Amount %": ("Growth Total Payment Amount Value", "Total Amount", False), "Growth Avg Payment Value %": ("Growth Avg Payment Value", "Avg Payment Value", False),
+    "Growth Policies Expiring Soon %": ("Growth Policies Expiring Soon Value %", "Policies Expiring Soon", False), "Growth Payment Collection Rate %": ("Growth Payment Collection Rate Value %", "Payment Collection Rate", True),
+    "Growth Successful Payment Rate %": ("Growth Successful Payment Rate Value", "Successful Payment Rate", True), "Growth Failed Payment Rate %": ("Growth Failed Payment Rate Value", "Failed Payment Rate", True),
+    "Growth Policy Cancellation Rate %": ("Growth Policy Cancellation Rate Value %", "Policy Cancellation Rate", True),
+}
 #: Fields of the agent and the provider dimension.
 AGENT, PROVIDER, STATUS = ("agent_id", "agent_name", "region"), ("provider_code",), ("status",)
 
 
+def _is_new(prior: Column) -> Column:
+    return F.coalesce(prior.cast("double"), F.lit(0.0)) == 0
+
+
+def _off(now: Column, prior: Column, points: bool) -> Column:
+    off = F.coalesce(now.cast("double"), F.lit(0.0)) - prior.cast("double")
+    return off if points else F.when(~_is_new(prior), off / prior.cast("double"))
+
+
+def _label(now: Column, prior: Column, points: bool) -> Column:
+    """New without a year before, or with one of zero; else an arrow and the change."""
+    x = _off(now, prior, points)
+    arrow = F.when(x > 0, "▲ ").when(x < 0, "▼ ").otherwise("▬ ")
+    return F.when(_is_new(prior), F.lit("🆕 New")).otherwise(F.concat(arrow, F.format_string("%.1f", x * 100), F.lit("pts vs PY" if points else "% vs PY")))
+
+
 def expressions(m: Model) -> dict[str, Expr]:
     """Every measure of a model by name, with those that change the filter context: shares, benchmarks, best members, other years and the month
     to date. Where the facts lack a field that one needs, evaluating it is an error."""
@@ -182,6 +208,13 @@ def expressions(m: Model) -> dict[str, Expr]:
         out[name] = Op(off, (out[what], Prior(out[what])))
         out[f"{name} Display"] = Op(lambda g, unit=" pts" if points else "%": arrow_label(F.round(g, 6), unit), (out[name],))
         out[f"{name} Color"] = Op(sign_color, (out[name],))
+    for name, (value, what, points) in GROWTH_TWO.items():
+        if what in out:
+            pair = (out[what], Prior(out[what]))
+            out[value] = Op(lambda n, p, points=points: F.when(~_is_new(p), F.round(_off(n, p, points), 6)), pair)
+            out[name] = Op(lambda n, p, points=points: _label(n, p, points), pair)
+    out["Growth Policies Issued Icon"] = Op(lambda n, p: F.when(_is_new(p) | (_off(n, p, False) >= 0), "▲").otherwise("▼"), (issued, Prior(issued)))
+    out["NA Label"] = Op(lambda n: F.when(n.isNotNull() | n.isNull(), "N/A"), (issued,))
     known = f"{PROVIDER[0]} <> 'UNKNOWN'"
     out["Top Premium Provider"] = Where(Each(out["Total Written Premium"], PROVIDER[0], "last"), known)
     out["Best Collection Rate Provider"] = Each(out["Payment Collection Rate by Provider"], PROVIDER[0], "names")

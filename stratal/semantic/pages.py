@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from stratal.semantic.catalog import expressions
 from stratal.semantic.context import Cube
-from stratal.semantic.engine import Model, column_name
+from stratal.semantic.engine import Model, Star, column_name
 
 #: The pages' visuals, one a line: fields, a colon, measures (of one visual, in its order); a card has no field.
 PAGES = {
@@ -78,6 +78,25 @@ PAGES = {
 }
 
 
+#: The pages' cards of text. They show one year; with several selected they are blank.
+CARDS = {
+    "overview": ("Avg Premium Change % YoY Display", "Premium Growth % YoY Display", "Conversion Rate Change YoY Display", "Accepted Quotations Growth % YoY Display", "Active Customer Growth % YoY Display",
+                 "Quotation Growth % YoY Display", "Policies In Force Growth % YoY Display", "Policies Issued Growth % YoY Display"),
+    "agents": ("Top Agent Name (Policies)", "Best Conv Rate Agent Name"),
+    "providers": ("Top Premium Provider", "Best Collection Rate Provider", "Highest Cancel Rate Provider"),
+    "payments": ("Growth Total Payment Amount %", "Growth Avg Payment Value %", "Growth Failed Payment Rate %", "Growth Successful Payment Rate %"),
+    "policies": ("Growth Active Policies %", "Growth Policies Issued %", "Growth Expired Policies %", "Growth Policies Expiring Soon %", "Growth Avg Premium per Policy %"),
+    "operations": ("Growth Total Collected Premium %", "Growth Policies Issued %", "Growth Total Written Premium %", "Growth Payment Collection Rate %", "Growth Policy Cancellation Rate %"),
+    "demo": ("Growth Policies Expiring Soon %", "Growth Policy Cancellation Rate %"),
+}
+#: The pages' slicers.
+SLICERS = {
+    "geography": ("city", "year_number", "provider_code", "region"), "product": ("year_number", "provider_code", "region", "city"), "agents": ("provider_code", "year_number", "city", "region"),
+    "overview": ("provider_code", "city", "region", "year_number"), "providers": ("provider_code", "region", "year_number", "status"), "payments": ("provider_code", "status", "region"),
+    "policies": ("status", "year_number", "provider_code", "region"), "operations": ("provider_code", "region", "year_number", "status"), "records": ("region", "provider_code", "status", "year_number"),
+}
+
+
 @dataclass(frozen=True)
 class Visual:
     by: tuple[str, ...]
@@ -124,3 +143,34 @@ def render(model: Model, page: str, selected: dict[str, list] | None = None) ->
         long = rows.select("visual", "category", F.explode("pairs").alias("p"), "position").select("visual", "category", "p.measure", "p.value", "position").where("value IS NOT NULL")
         out = long if out is None else out.unionByName(long)
     return out
+
+
+def cards(model: Model, page: str, years: list[int], selected: dict[str, list] | None = None) -> DataFrame:
+    """page, measure, text: what the cards of a page say; blank unless one year is selected. One scan of each fact."""
+    cube, known, by = Cube(model, slicers((selected or {}) | {"year_number": years})), expressions(model), ("year_number",)
+    for m in CARDS[page]:
+        cube.add(known[m], by)
+    wide = cube.frame({column_name(m): known[m] for m in CARDS[page]}, by)
+    pairs = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(column_name(m)).cast("string").alias("text")) for m in CARDS[page]))
+    rows = wide.where(F.lit(len(years) == 1)).select(F.lit(page).alias("page"), F.explode(pairs).alias("p"))
+    return rows.select("page", "p.measure", "p.text")
+
+
+def choices(model: Model, page: str, fact: str = "fact_policy") -> DataFrame:
+    """field, value: what the slicers of a page offer."""
+    star = model.facts[fact]
+    out = None
+    for f in SLICERS[page]:
+        rows = (star.with_columns({f}) if isinstance(star, Star) else star).select(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")).where("value IS NOT NULL").distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def records(model: Model, selected: dict[str, list], fact: str = "fact_policy", fields: tuple[str, ...] = ("policy_id", "provider_code", "region", "status", "premium_amount")) -> DataFrame:
+    """The rows behind a page: a fact's under its slicers."""
+    star, where = model.facts[fact], slicers(selected)
+    used = {c for w, own in model.filters(where) for c in own}
+    rows = star.with_columns({*fields, *used}) if isinstance(star, Star) else star
+    for w in where:
+        rows = rows.where(w)
+    return rows.select(*fields)
