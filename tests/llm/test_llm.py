@@ -899,6 +899,24 @@ def test_item_blocks(spark, odd):
     assert [len(b) for b in decontam.item_blocks(items, limit=100)] == [3, 3, 3, 1]
 
 
+def test_decontamination_of_repeated_items_and_long_texts(spark):
+    """Each row of a repeated item_id is searched; the best window of a very long text is found, the first among equals."""
+    one, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(25))
+    filler = " ".join(f"f{i}" for i in range(40_000))
+    items = spark.createDataFrame([(7, one), (7, other), (8, one)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{filler} {one} {filler} {one}"), (2, other.upper()), (3, filler)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["word"], r["n_words"], round(r["similarity"], 9)) for r in decontam.matches(docs, items).collect())
+    assert got == [(1, 7, 40_000, 30, 1.0), (1, 8, 40_000, 30, 1.0), (2, 7, 0, 25, 1.0)]
+    assert [r["doc_id"] for r in decontam.clean(docs, items).collect()] == [3]
+
+
+def test_near_pairs_on_odd_rows(spark, odd, empty):
+    members, pairs = spotsigs.near_pairs(odd, 0.8)
+    assert members.count() == len(ODD) and pairs.count() == 0  # copies share a fingerprint
+    members, pairs = spotsigs.near_pairs(empty, 0.8)
+    assert members.count() == 0 and pairs.count() == 0
+
+
 # --- 10 language model
 
 
