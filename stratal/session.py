@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,19 +40,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Tables that were staged inside the innermost ``staging`` of this thread.
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once into the shared folder and read back, so that what follows evaluates it no more. The folder is the
-    application's: ``clear_staged`` deletes it."""
+    """``df`` written once into the shared folder and read back, so that what follows evaluates it no more. The table goes with the
+    ``staging`` it was written in; without one the folder is the application's, and ``clear_staged`` deletes it."""
     path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if (written := _STAGED.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stages inside are deleted at the end; what reads them must have been run by then."""
+    token = _STAGED.set([])
+    try:
+        yield
+    finally:
+        written = _STAGED.get()
+        _STAGED.reset(token)
+        for path in written:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staging_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stratal-staged/{spark.sparkContext.applicationId}"
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete what ``staged`` has written in this application; results that read it end here."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, staging_dir(spark))
