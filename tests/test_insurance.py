@@ -228,6 +228,73 @@ def test_validation_finds_what_is_wrong(spark, tmp_path):
     assert {(c, k) for c, k, _ in failed()} == {("temporal", "provider_key")}
 
 
+def test_totals_of_silver_and_facts_agree_without_a_scan(spark, tmp_path, monkeypatch):
+    """Totals kept with the parts through two batches; damage shows in its bucket, and only that bucket is read to name the rows."""
+    p, data = Platform(spark, f"file://{tmp_path}", buckets=4), bronze(spark)
+    p.load(data, 1)
+    later = {n: data[n].withColumn("last_updated_at", F.lit("2024-03-05 00:00:00")) for n in ("policy", "payment")}
+    later["payment"] = later["payment"].withColumn("_operation_type", F.when(F.col("payment_id") == "PAY2", "D").otherwise("U")).withColumn("payment_amount", F.lit("75.50"))
+    p.load(later, 2)
+    log = {(t, m): (int(s), int(o), int(x), ok) for t, m, s, o, x, ok in audit(p, "balance", "table_name", "measure", "source", "outside", "target", "passed") if m == "rows"}
+    assert log == {("gold.fact_quotation", "rows"): (N - 1, 0, N - 1, True), ("gold.fact_quotation_item", "rows"): (N + 1, 2, N - 1, True), ("gold.fact_policy", "rows"): (9, 0, 9, True), ("gold.fact_payment", "rows"): (10, 0, 10, True), ("gold.fact_cancellation", "rows"): (1, 0, 1, True)}
+    with monkeypatch.context() as m:
+        m.setattr(SnapshotTable, "_rows", lambda *a, **k: pytest.fail("rows were read"))
+        found = p.balance("payment")
+    assert all(x["passed"] for x in found) and {x["bucket"] for x in found} == {0, 1, 2, 3}
+    assert sum(x["target"] for x in found if x["measure"] == "payment_amount") == Decimal("679.50")  # nine of 75.50, one deleted
+    assert p.differences("payment").count() == 0
+
+    table = p.table("gold", "fact_payment")
+    v, whole = table.version(), table.read()
+    spoilt = next(x.bucket for x in v.parts if x.rows > 1)
+    rows = table.bucket_rows({spoilt})
+    first, second = [r["payment_id"] for r in rows.orderBy("payment_id").limit(2).collect()]
+    names = whole.columns
+    bad = rows.where(F.col("payment_id") != first).withColumn("payment_amount", F.when(F.col("payment_id") == second, F.lit(Decimal("1.00"))).otherwise(F.col("payment_amount")).cast("decimal(18,2)"))
+    table.replace_buckets(bad.select(names), {spoilt})
+    assert {x["bucket"] for x in p.balance("payment") if not x["passed"]} == {spoilt}
+    read, inner = [], SnapshotTable._rows
+    monkeypatch.setattr(SnapshotTable, "_rows", lambda self, v, parts, token=False: read.extend(x.bucket for x in parts) or inner(self, v, parts, token))
+    assert {(r["payment_id"], r["state"]) for r in p.differences("payment").collect()} == {(first, "missing"), (second, "amount")}
+    assert set(read) == {spoilt}
+    twice = table.read(v.number).unionByName(table.read(v.number).where(F.col("payment_id") == second))
+    table.publish(twice.unionByName(whole.limit(1).withColumn("payment_id", F.lit("PAY99"))), ["payment_id"], 4)
+    assert {(r["payment_id"], r["state"]) for r in p.differences("payment").collect()} >= {(second, "repeated"), ("PAY99", "surplus")}
+    # a key in place of another leaves numbers and amounts as they are
+    table.publish(table.read(v.number).withColumn("payment_id", F.when(F.col("payment_id") == first, "PAY98").otherwise(F.col("payment_id"))))
+    assert {x["measure"] for x in p.balance("payment") if not x["passed"]} == {"keys"}
+    with pytest.raises(ValidationFailed, match="balance"):
+        p.load({"payment": later["payment"].where("payment_id = 'PAY3'")}, 3, strict=True)
+
+
+def test_rows_outside_a_fact_come_in_with_their_parent(spark, tmp_path):
+    p, data = Platform(spark, f"file://{tmp_path}"), bronze(spark)
+    p.load({"quotation": data["quotation"].where("quotation_id <> 'Q7'"), "quotation_item": data["quotation_item"]}, 1)
+    outside = lambda: {r[0] for r in p.table("audit", "outside_quotation_item").read().where("outside").select("quotation_item_id").collect()}
+    assert outside() == {"I5", "I7", f"I{N}"}  # Q5 was rejected
+    p.load({"quotation": data["quotation"].where("quotation_id = 'Q7'"), "quotation_item": data["quotation_item"].where("quotation_item_id = 'I7'")}, 2)
+    assert outside() == {"I5", f"I{N}"} and all(x["passed"] for x in p.balance("quotation_item"))
+
+
+def test_parts_of_other_totals_are_read(spark, tmp_path):
+    """Tables written before totals were declared, in buckets or not, with nulls, and one without rows."""
+    for buckets in (0, 3):
+        bare = SnapshotTable(spark, f"file://{tmp_path}/{buckets}")
+        rows = lambda a, b: spark.range(a, b).selectExpr("id", "IF(id % 5 = 0, NULL, CAST(id AS DECIMAL(18,2)) / 4) AS x")
+        bare.publish(rows(0, 40), ["id"] if buckets else None, buckets)
+        t = SnapshotTable(spark, f"file://{tmp_path}/{buckets}", totals={"x": "x", "n": "CAST(id AS BIGINT)"})
+        t.append(rows(40, 60))
+        want = [r.asDict() for r in rows(0, 60).selectExpr("count(*) AS rows", "sum(x) AS x", "sum(id) AS n").collect()][0]
+        found = t.sums()
+        assert {k: sum(x[k] for x in found.values()) for k in want} == want and set(found) == ({0, 1, 2} if buckets else {None})
+        t.merge(rows(0, 60), ["id"])
+        again = SnapshotTable(spark, f"file://{tmp_path}/{buckets}", totals=t.totals)
+        assert all(x.totals for x in again.version().parts) and {k: sum(x[k] for x in again.sums().values()) for k in want} == want
+    t = SnapshotTable(spark, f"file://{tmp_path}/none", totals={"x": "x"})
+    t.publish(rows(0, 0))
+    assert all(v == 0 for x in t.sums().values() for v in x.values())
+
+
 def test_a_step_that_fails_anywhere_and_is_done_again_leaves_the_same(spark, tmp_path, monkeypatch):
     """Each publishing of a load fails once; what is in force after the retry is what an undisturbed load leaves."""
     data = bronze(spark)
