@@ -17,11 +17,12 @@ from pyspark.sql.window import Window
 from stratal.llm import textkernel as tk
 from stratal.llm.scratch import materialize
 
-#: Blocks are ranges of doc_id of about BLOCK_BYTES of text, a task's work each. There are MAX_BLOCKS at most, beyond which they
-#: grow; the driver gets a number of each. A block's files hold FILE_SEGMENTS segments at most, so that files do not grow.
+#: Blocks are ranges of doc_id of about BLOCK_BYTES of text, sorted by a task each. There are MAX_BLOCKS at most, beyond which they
+#: grow (the sort spills, all else takes a block in as it comes); the driver gets a number of each. A file ends with the
+#: segment that brings it to FILE_BYTES.
 MAX_BLOCKS = 10_000
 BLOCK_BYTES = 24 << 20
-FILE_SEGMENTS = 16
+FILE_BYTES = 32 << 20
 SEGMENT_IDS = 1 << 20
 #: Words whose ids a worker keeps, at about 25 bytes each.
 CACHE_WORDS = 2_000_000
@@ -297,18 +298,27 @@ def _tokenize(path: str, end_id: int, cuts: list[int]) -> Callable:
     return run
 
 
-def _pack(width: int) -> Callable:
+def _pack(width: int, segment_ids: int, file_bytes: int) -> Callable:
+    """Segments with their block, part (file of the block) and place in the block."""
     kind = "<u2" if width == 2 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, held, block = [], [], 0, None
+        last, part, place, size = None, 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([f"{block:06d}"]), pa.array([pack_segment(names, ids, width)], pa.binary())], ["block", "blob"])
+            nonlocal last, part, place, size
+            blob = pack_segment(names, ids, width)
+            if block != last:
+                last, part, place, size = block, 0, 0, 0
+            elif size >= file_bytes:
+                part, size = part + 1, 0
+            place, size = place + 1, size + len(blob)
+            return pa.record_batch([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([place], pa.int64()), pa.array([blob], pa.binary())], ["block", "part", "place", "blob"])
 
         for batch in batches:
             for b, d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if ids and (b != block or held >= SEGMENT_IDS):
+                if ids and (b != block or held >= segment_ids):
                     yield flush()
                     names, ids, held = [], [], 0
                 block = b
@@ -321,13 +331,13 @@ def _pack(width: int) -> Callable:
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_bytes: int = BLOCK_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_bytes: int = BLOCK_BYTES, segment_ids: int = SEGMENT_IDS, file_bytes: int = FILE_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) and write the ids in ascending doc_id order under ``path``.
 
     Null texts count as empty: their only id is ``end_id``. Null doc_ids come first; rows
     with equal doc_ids stand in order of their ids' checksum. An empty table writes no file.
-    Blocks are ranges of doc_id, in folders block=000000, block=000001, ... of one file or, for
-    many documents, several in the order of their names; only ids are shuffled, not texts.
+    Blocks are ranges of doc_id, in folders block=0, block=1, ... whose folders part=0, part=1, ... have a file
+    each; only ids are shuffled, not texts.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     stats = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()
@@ -340,24 +350,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
     ids = rows.mapInArrow(_tokenize(tokenizer, end_id, cuts), "block int, doc_id long, mark long, ids binary")
     # a block goes to the task of its number: none has two
     dealt = ids.repartitionById(len(cuts) + 1, F.col("block")).sortWithinPartitions("block", F.asc_nulls_first("doc_id"), "mark", "ids")
-    packed = dealt.select("block", "doc_id", "ids").mapInArrow(_pack(width), "block string, blob binary")
+    packed = dealt.select("block", "doc_id", "ids").mapInArrow(_pack(width, segment_ids, file_bytes), "block int, part int, place long, blob binary")
+    # the order that the sink asks for and one more column, so that no sort of its own can exchange segments of a file
+    packed = packed.sortWithinPartitions("block", "part", "place")
     # the text sink writes a string's bytes as they are: the blob and a line feed, by any file system Spark knows
-    values = packed.select("block", F.col("blob").cast("string").alias("value"))
-    values.write.option("maxRecordsPerFile", FILE_SEGMENTS).partitionBy("block").text(path)
+    values = packed.select("block", "part", F.col("blob").cast("string").alias("value"))
+    values.write.partitionBy("block", "part").text(path)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            block, start = int(file.rpartition("block=")[2].split("/")[0]), 0
+            block, part = (int(file.rpartition(f"{k}=")[2].split("/")[0]) for k in ("block", "part"))
+            start = 0
             for s in segments(raw.as_buffer()):
                 bounds = np.array([s.bounds.select(i) for i in range(s.n_docs + 1)], np.int64)
                 ids = s.ids.astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 n = len(crc)
                 yield pa.record_batch(
-                    [pa.array(np.full(n, block, np.int32)), pa.array([file.rpartition("/")[2]] * n), pa.array(s.doc_ids(), pa.int64()), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                    ["block", "file", "doc_id", "at", "n_tokens", "ids_crc32"],
+                    [pa.array(np.full(n, block, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(s.doc_ids(), pa.int64()), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                    ["block", "part", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
                 start += s.n_ids
 
@@ -369,10 +382,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     block, those of the blocks before on the driver.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    schema = "block int, file string, doc_id long, at long, n_tokens long, ids_crc32 long"
+    schema = "block int, part int, doc_id long, at long, n_tokens long, ids_crc32 long"
     found = materialize(files.select("path", "content").mapInArrow(_unpack, schema), "token-docs")
-    sums = found.groupBy("block", "file").agg(F.sum("n_tokens").alias("n"))
-    order = Window.partitionBy("block").orderBy(F.length("file"), "file")
+    sums = found.groupBy("block", "part").agg(F.sum("n_tokens").alias("n"))
+    order = Window.partitionBy("block").orderBy("part")
     sums = materialize(sums.withColumn("earlier", F.sum("n").over(order) - F.col("n")), "token-files")
     totals = sorted((r["block"], r["n"]) for r in sums.groupBy("block").agg(F.sum("n").alias("n")).collect())
     before, so_far = [], 0
@@ -380,8 +393,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         before.append((block, so_far))
         so_far += n
     blocks = F.broadcast(spark.createDataFrame(before or [(0, 0)], "b int, before long"))
-    offsets = sums.join(blocks, F.col("block") == F.col("b")).select("block", "file", (F.col("earlier") + F.col("before")).alias("offset"))
-    return found.join(offsets, ["block", "file"]).select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    offsets = sums.join(blocks, F.col("block") == F.col("b")).select("block", "part", (F.col("earlier") + F.col("before")).alias("offset"))
+    return found.join(offsets, ["block", "part"]).select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:

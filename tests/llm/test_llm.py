@@ -368,6 +368,19 @@ def test_token_files(spark, docs, texts, tokenizer, tmp_path):
     assert token_store.read_document(spark, path, -5) == []
 
 
+def test_token_files_end_by_bytes(spark, docs, texts, tokenizer, tmp_path, monkeypatch):
+    """Few blocks, which hold many segments in many files: what is read is the same, and a file ends with the segment that fills it."""
+    monkeypatch.setattr(token_store, "MAX_BLOCKS", 2)
+    token_store.write_tokens(docs, f"file://{tmp_path}/t", queries.tokenizer_path("word_bpe_49k.json"), 2, block_bytes=1_000, segment_ids=150, file_bytes=1_500)
+    files = list((tmp_path / "t").glob("block=*/part=*/part-*"))
+    assert len(list((tmp_path / "t").glob("block=*"))) == 2 and len(files) > 22  # parts of two digits
+    for f in files:
+        sizes = [s.size for s in token_store.segments(f.read_bytes())]
+        assert sum(sizes[:-1]) < 1_500
+    assert len({len(list(token_store.segments(f.read_bytes()))) for f in files}) > 1
+    assert sorted(tuple(r) for r in token_store.read_tokens(spark, f"file://{tmp_path}/t").collect()) == expected_tokens(sorted(texts.items()), tokenizer)
+
+
 def test_token_files_odd_rows(spark, odd, empty, tokenizer, tmp_path):
     p = queries.tokenizer_path("word_bpe_49k.json")
     more = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, "a<|endoftext|>b <|ENDOFTEXT|> It's, x1. Ǆ İI"), (21, "...!? 'S")], "doc_id long, text string"))
