@@ -236,11 +236,11 @@ n AS (
 SELECT t.region, t.d::VARCHAR AS full_date, t.n AS customers, p.n AS last_year FROM n AS t LEFT JOIN n AS p ON t.region = p.region AND p.d = (t.d - INTERVAL 1 YEAR)::DATE
 """)
 def kpi_month_to_date_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different customers with policies from the month's first day to each day, beside the same period of the year before: no day looks back."""
+    """Different customers with policies from the month's first day to each day, beside the same period of the year before (of 29 February: up to the 28th)."""
     rows = policies(spark, sf_dir).where("status IN ('ACTIVE', 'ISSUED')").withColumn("full_date", F.col("issued_date"))
     n = staged(running_distinct(rows, ["region"], "customer_key"), "customers")
-    before = n.select(F.col("region").alias("_r"), F.add_months("full_date", 12).alias("_d"), F.col("n").alias("last_year")).where(F.dayofmonth("_d") == F.dayofmonth(F.add_months("_d", -12)))
-    out = n.join(before, (F.col("region") == F.col("_r")) & (F.col("full_date") == F.col("_d")), "left")
+    before = n.select(F.col("region").alias("_r"), F.col("full_date").alias("_d"), F.col("n").alias("last_year"))
+    out = n.join(before, (F.col("region") == F.col("_r")) & (F.add_months("full_date", -12) == F.col("_d")), "left")
     return out.select("region", F.col("full_date").cast("string").alias("full_date"), F.col("n").alias("customers"), "last_year")
 
 

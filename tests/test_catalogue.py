@@ -48,3 +48,23 @@ def test_validation_suite_finds_each_defect(spark):
 def test_dirty_json(spark):
     out = catalogue.QUERIES["dirty_json_reader"](spark, DATA).collect()
     assert len(out) == spark.read.parquet(f"{DATA}/customer.parquet").count() and any("\u2028" in (r["cancellation_reason"] or "") for r in out)
+
+
+def test_month_to_date_of_a_leap_day(spark, duck, tmp_path):
+    """29 February stands beside 28 February of the year before."""
+    duck.execute("CREATE SCHEMA leap")
+    for t in ("region", "nation", "customer", "supplier", "part", "lineitem"):
+        duck.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    moved = "SELECT * REPLACE (CASE o_orderkey // 16 % 4 WHEN 0 THEN TIMESTAMP '1995-02-28' WHEN 1 THEN TIMESTAMP '1996-02-28' WHEN 2 THEN TIMESTAMP '1996-02-29' ELSE TIMESTAMP '1997-02-28' END AS o_orderdate) FROM main.orders"
+    duck.execute(f"COPY ({moved}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    duck.execute(f"CREATE VIEW leap.orders AS FROM '{tmp_path}/orders.parquet'")
+    duck.execute("SET schema = 'leap'")
+    try:
+        got = duck.execute(catalogue.SQL["kpi_month_to_date_customers"])
+        columns, want = [d[0] for d in got.description], got.fetchall()
+    finally:
+        duck.execute("SET schema = 'main'")
+        duck.execute("DROP SCHEMA leap CASCADE")
+    df = catalogue.QUERIES["kpi_month_to_date_customers"](spark, str(tmp_path))
+    assert any(r[columns.index("full_date")] == "1996-02-29" and r[columns.index("last_year")] for r in want)
+    assert rows(df.columns, df.collect()) == rows(columns, want)
