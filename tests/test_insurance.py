@@ -387,3 +387,18 @@ def test_two_batches_from_files_and_a_table(spark, tmp_path):
     assert summary[1]["session_status"] == "SUCCESS" and summary[1]["failed_table_count"] == 0 and summary[1]["total_inserted_row"] >= 4
     failed = investigation_queue(monitor).where("batch_id = 3 AND run_mode = 'NEW'").collect()
     assert {r["source_table_name"] for r in failed if r["detail_status"] == "FAILED"} == {"quotation"}
+
+
+def test_many_rows_are_not_sent_whole_to_each_executor(spark, tmp_path):
+    """Rows that take little room in files: a table of many is joined by sort and merge, one of a few is broadcast."""
+    from stratal.plans.batches import staged
+
+    def plan(side):
+        other = spark.range(200_000).select(F.col("id").alias("k"))
+        return other.join(side.select("id"), F.col("k") == F.col("id"), "left_semi")._jdf.queryExecution().sparkPlan().toString()
+
+    for rows, kind in ((60_000, "SortMergeJoin"), (100, "BroadcastHashJoin")):
+        table = SnapshotTable(spark, f"file://{tmp_path}/{rows}")
+        table.publish(spark.range(rows))
+        for side in (table.read(), staged(spark.range(rows), f"file://{tmp_path}/{rows}")[0]):
+            assert kind in plan(side)
