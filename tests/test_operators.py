@@ -326,3 +326,39 @@ def test_keys_are_ranks_at_every_size(spark):
     one = rows(assign_keys(df, ["bk"], "k", 10), "bk", "k")
     assert one == rows(assign_keys(df, ["bk"], "k", 10, range_rows=13), "bk", "k")
     assert [k for _, k in sorted(one, key=lambda x: (x[0] is not None, x[0] or ""))] == list(range(11, 512))
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """Rows of few buckets are not left to as few tasks."""
+    from stratal.sources.snapshots import SnapshotTable
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200000")
+    try:
+        table = SnapshotTable(spark, str(tmp_path / "t"))
+        table.publish(spark.range(0, 400_000, 1, 8).selectExpr("id", "uuid() AS v"), ["id"], 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert table.read().count() == 400_000 and len(table.read().inputFiles()) > 1
+
+
+def test_keys_by_lists_of_versions_are_those_of_the_join(spark, monkeypatch):
+    """A payment's customer and vehicle come by its policy: the versions of dimensions of many rows go with the policy, so that payments are dealt once."""
+    from stratal.operators import facts
+    from stratal.operators.facts import Bridge, Fact, Lookup, Parent
+
+    f = Fact(
+        ("id",), (), (Parent("policy", "policy", "policy", {"customer": "customer"}),), (Bridge("car", "customer", "customer", "vehicle", "vehicle"),),
+        (Lookup("customer", "customer", "customer", "customer_key", None, "at"), Lookup("vehicle", "vehicle", "vehicle", "vehicle_key", None, "at")),
+    )
+    rows = spark.sql("SELECT id, concat('p', id % 5) AS policy, if(id % 11 = 0, NULL, timestamp_seconds(id)) AS at FROM range(100)")
+    version = "SELECT concat('{0}', id % 3) AS {1}, id AS {1}_key, timestamp_seconds(10 + 20 * id) AS effective_from, timestamp_seconds(70 + 20 * id) AS effective_to FROM range(3, 6) UNION ALL SELECT '{0}0', 1, timestamp_seconds(0), timestamp_seconds(70)"
+    frames = {
+        "policy": spark.sql("SELECT concat('p', id) AS policy, concat('c', id) AS customer FROM range(4)"), "car": spark.sql("SELECT concat('c', id % 3) AS customer, concat('v', id) AS vehicle FROM range(5)"),
+        "customer": spark.sql(version.format("c", "customer")), "vehicle": spark.sql(version.format("v", "vehicle")),
+    }
+    show = lambda df: sorted(map(str, df.collect()))
+    joined = show(f.keyed(rows, frames))
+    monkeypatch.setattr(facts, "BROADCAST_ROWS", 0)
+    listed = f.keyed(rows, frames)
+    assert show(listed) == joined and len({x.split("customer_key=")[1] for x in joined}) > 3
+    assert "filter(" in listed._jdf.queryExecution().optimizedPlan().toString()
