@@ -402,3 +402,37 @@ def test_many_rows_are_not_sent_whole_to_each_executor(spark, tmp_path):
         table.publish(spark.range(rows))
         for side in (table.read(), staged(spark.range(rows), f"file://{tmp_path}/{rows}")[0]):
             assert kind in plan(side)
+
+
+def test_checks_are_the_same_whether_silver_is_joined_or_not(spark, tmp_path, monkeypatch):
+    """Where fact and silver agree on rows and days, the checks do not join all rows of both; figures and samples are those of the join."""
+    p, first = Platform(spark, f"file://{tmp_path}", days=("2023-01-01", "2026-12-31")), bronze(spark)
+    p.load(first, 1)
+    facts = ("quotation", "quotation_item", "payment", "cancellation")
+    rows = {f: p.table("gold", f"fact_{f}").read() for f in facts}
+    assert all(p._agreed(f, 1, rows[f]) for f in facts)
+    short = {f: p.checks(f, 1) for f in facts}
+    assert any(not x["passed"] and x["sample"] for x in short["quotation"])
+    with monkeypatch.context() as m:
+        m.setattr(Platform, "_agreed", lambda *_: None)
+        assert all(sorted(map(str, p.checks(f, 1))) == sorted(map(str, short[f])) for f in facts)
+    # a row that is gone from silver, one that is there twice, and another day: the rows are joined
+    q = rows["quotation"]
+    assert p._agreed("quotation", 1, q.union(q.limit(1))) is None
+    assert p._agreed("quotation", 1, q.withColumn("quotation_date_key", F.lit(20240131))) is None
+    assert p._agreed("payment", 1, rows["payment"].withColumn("payment_id", F.concat("payment_id", F.lit("x")))) is None
+    assert p._agreed("quotation_item", 1, rows["quotation_item"].withColumn("quotation_id", F.lit("Q_none"))) is None
+
+
+def test_rows_are_staged_without_what_can_be_made_anew(spark, tmp_path, monkeypatch):
+    """Literals and columns with the source of an earlier one are neither staged nor dealt, and are in silver all the same."""
+    import stratal.plans.batches as batches
+
+    seen, write = [], batches.staged
+    monkeypatch.setattr(batches, "staged", lambda df, root: seen.append(df.columns) or write(df, root))
+    p = Platform(spark, f"file://{tmp_path}")
+    p._silver("payment", bronze(spark)["payment"], 7)
+    assert "updated_at" not in seen[0] and "_batch_id" not in seen[0]
+    rows = p.table("silver", "payment").read()
+    assert rows.columns == [*(t.name for t in FEEDS["payment"].mapping(7, "payment").columns), "_batch_id"]
+    assert rows.count() == 10 and rows.where("updated_at = last_updated_at AND _batch_id = '7'").count() == 10
