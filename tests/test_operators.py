@@ -362,3 +362,13 @@ def test_keys_by_lists_of_versions_are_those_of_the_join(spark, monkeypatch):
     listed = f.keyed(rows, frames)
     assert show(listed) == joined and len({x.split("customer_key=")[1] for x in joined}) > 3
     assert "filter(" in listed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_few_buckets_are_written_where_they_are(spark, tmp_path):
+    """They are not dealt by bucket first: each task writes a file for each bucket."""
+    from stratal.sources.snapshots import SnapshotTable
+
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    table.publish(spark.range(0, 4_000, 1, 8).selectExpr("id"), ["id"], 2)
+    assert len(table.read().inputFiles()) == 16 and table.read().count() == 4_000
+    assert sum(table.bucket_rows({b}).count() for b in (0, 1)) == 4_000
